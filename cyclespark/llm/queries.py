@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, licenses, line_dedup, near, packing, pii, quality
+from . import ann, bpe, chat, licenses, line_dedup, near, packing, pii, quality, suffix_dedup
 from .sql import ORACLES
 
 
@@ -63,13 +63,18 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(extra)))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(_table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
-        op1_line_dedup, op2_nearest, op3_license_scan, op4_bpe_round_trip, op5_pack, op6_near_dedup, op7_quality_rules, op8_chat_format, op10_pii,
+        op1_line_dedup, op2_nearest, op3_license_scan, op4_bpe_round_trip, op5_pack, op6_near_dedup, op7_quality_rules, op8_chat_format, op9_suffix_dedup, op10_pii,
     ]
     return {f.__name__: f for f in made}
 
