@@ -39,7 +39,7 @@ def byte_letters() -> dict[str, int]:
 class SpeculativeBpe:
     """Encoder and decoder for one vocabulary file; ``cache_words`` bounds its memory."""
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()

@@ -31,7 +31,7 @@ class WordTokenizer:
     Right for tokenizers that drop white space and never join words across it.
     """
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -39,7 +39,29 @@ class WordTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.cache: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
         self.cache_words = cache_words
+        self.marks = {c: self._ids([c])[0] for c in ",.;:!?"}
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Put new words into the cache. A word of Latin letters, in lower case and less one
+        closing mark, is looked up by itself: the tokenizer lowers case and splits off marks."""
+        parts = {}
+        for w in words:
+            bare = w[:-1] if w[-1:] in self.marks else w
+            if bare.isalpha() and max(bare) < "\u0250":
+                parts[w] = (bare.lower(), b"" if bare is w else self.marks[w[-1]])
+            else:
+                parts[w] = (w, b"")
+        plain = self.plain
+        if len(plain) > self.cache_words:
+            plain.clear()
+        new = list({a for a, _ in parts.values() if a not in plain})
+        plain.update(zip(new, self._ids(new), strict=True))
+        self.cache.update((w, plain[a] + b) for w, (a, b) in parts.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
@@ -47,8 +69,7 @@ class WordTokenizer:
             cache.clear()
         words = [_SPACES.split(t) if _ODD.search(t) else t.split() for t in texts]
         if new := list({w for ws in words for w in ws if w not in cache}):
-            for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
+            self._learn(new)
         return [b"".join(map(cache.__getitem__, ws)) for ws in words]
 
 
@@ -126,7 +147,7 @@ def pack(
     max_attention: float = 2048.0**2,
     weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
     score: str = "norm",
-    block: int = 20_000,
+    block: int = 10_000,
 ) -> DataFrame:
     """Add sequence_id and offset to rows that have ``length`` (1 to ``size``).
 
