@@ -42,26 +42,39 @@ class WordTokenizer:
         self.plain: dict[str, bytes] = {}
         self.cache_words = cache_words
         self.marks = {c: self._ids([c])[0] for c in ",.;:!?"}
+        # a token with this suffix ends a word
+        spelt = self.library.get_vocab()
+        self.ends = np.zeros(max(spelt.values()) + 1, bool)
+        self.ends[[i for t, i in spelt.items() if t.endswith("</w>")]] = True
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _ids_of_letters(self, words: list[str]) -> list[bytes]:
+        """The same for words of letters only, many of them encoded as one text."""
+        lines = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        ids = [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(lines, add_special_tokens=False)]
+        whole = np.concatenate([np.empty(0, "<u4"), *ids])
+        to = 4 * (np.flatnonzero(self.ends[whole]) + 1)
+        raw = whole.tobytes()
+        return [raw[a:b] for a, b in zip([0, *to.tolist()], to.tolist(), strict=False)]
 
     def _learn(self, words: list[str]) -> None:
         """Put new words into the cache. A word of Latin letters, in lower case and less one
         closing mark, is looked up by itself: the tokenizer lowers case and splits off marks."""
-        parts = {}
-        for w in words:
-            bare = w[:-1] if w[-1:] in self.marks else w
-            if bare.isalpha() and max(bare) < "\u0250":
-                parts[w] = (bare.lower(), b"" if bare is w else self.marks[w[-1]])
-            else:
-                parts[w] = (w, b"")
-        plain = self.plain
+        plain, marks, other, parts = self.plain, self.marks, [], []
         if len(plain) > self.cache_words:
             plain.clear()
-        new = list({a for a, _ in parts.values() if a not in plain})
-        plain.update(zip(new, self._ids(new), strict=True))
-        self.cache.update((w, plain[a] + b) for w, (a, b) in parts.items())
+        for w in words:
+            bare = w[:-1] if w[-1] in marks else w
+            if bare.isalpha() and (bare.isascii() or max(bare) < "\u0250"):
+                parts.append((w, bare.lower()))
+            else:
+                other.append(w)
+        new = list({a for _, a in parts if a not in plain})
+        plain.update(zip(new, self._ids_of_letters(new), strict=True))
+        self.cache.update([(w, plain[a] if w[-1] not in marks else plain[a] + marks[w[-1]]) for w, a in parts])
+        self.cache.update(zip(other, self._ids(other), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
