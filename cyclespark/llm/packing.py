@@ -80,7 +80,7 @@ class WordTokenizer:
         cache = self.cache
         if len(cache) > self.cache_words:
             cache.clear()
-        words = [_SPACES.split(t) if _ODD.search(t) else t.split() for t in texts]
+        words = [[w for w in _SPACES.split(t) if w] if _ODD.search(t) else t.split() for t in texts]
         if new := list({w for ws in words for w in ws if w not in cache}):
             self._learn(new)
         return [b"".join(map(cache.__getitem__, ws)) for ws in words]
