@@ -66,9 +66,9 @@ class WordTokenizer:
         if len(plain) > self.cache_words:
             plain.clear()
         for w in words:
-            bare = w[:-1] if w[-1] in marks else w
+            bare = (w[:-1] if w[-1] in marks else w).lower()
             if bare.isalpha() and (bare.isascii() or max(bare) < "\u0250"):
-                parts.append((w, bare.lower()))
+                parts.append((w, bare))
             else:
                 other.append(w)
         new = list({a for _, a in parts if a not in plain})
