@@ -8,10 +8,12 @@ symbols to leave out. So the join misses no pair under the signature distance; t
 distance is set so that a pair at the similarity asked for exceeds it with a probability
 under 1e-5. Candidates are confirmed on the full sets.
 
-Equal sets are one class. In each bucket of the index all members are first compared
-with the smallest one, which joins a group of copies with as many pairs as it has
-members. Only members that are still in different components after that are compared
-with each other, so no link between components is lost and none inside one is paid for.
+Equal sets are one class. In each bucket of the index the members of about one size are
+first compared with the smallest and the largest of them, which joins a group of copies with
+two pairs a member. Only where a bucket still holds different components its members
+are compared further, by exact prefixes: sorted by how frequent its shingles are, two sets
+over the similarity share one of the rarest fifth. So no link between components is lost
+and none inside one is paid for, and texts that share a frequent passage only don't meet.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -99,18 +101,36 @@ def sketch(docs: DataFrame, key: str, text: str, width: int, symbols: int) -> Da
     return docs.select(key, text).mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, n long, s1 long, s2 long, sig binary")
 
 
-def full_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, shingles as array<long>) of whole texts."""
+SLOTS = 1 << 20
+
+
+def _slot(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int")
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, shingles as array<long>) of the whole texts of ``ids`` (column key).
+
+    A bitmap of SLOTS bits, whatever the number of ids, keeps most other texts from being
+    shingled; the exact semi join follows on the sets.
+    """
+    asked = np.zeros(SLOTS, bool)
+    asked[[r[0] for r in ids.select(_slot(key)).distinct().collect()]] = True
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(asked))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.unpackbits(wanted.value).view(bool)
         for b in batches:
+            b = b[bits[b["slot"].to_numpy()]]
             yield pd.DataFrame({key: b[key], "shingles": [shingles(t, width).view(np.int64) for t in b[text]]})
 
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, shingles array<long>")
+    rows = docs.select(key, text, _slot(key).alias("slot"))
+    sets = rows.mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, shingles array<long>")
+    return sets.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def keys_of(sketches: DataFrame, plan: list[tuple[int, ...]]) -> DataFrame:
-    """(bucket, id, n, sig): a row for each key of the index."""
+    """(bucket, id, n): a row for each key of the index."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         salt = _mixed(np.arange(1, len(plan) + 1, dtype=np.uint64))
@@ -125,9 +145,10 @@ def keys_of(sketches: DataFrame, plan: list[tuple[int, ...]]) -> DataFrame:
                     h = (h ^ sig[:, i]) * np.uint64(0x9E3779B97F4A7C15)
                     h ^= h >> np.uint64(32)
                 keys[:, j] = _mixed(h)
-            yield pd.DataFrame({"bucket": keys.view(np.int64).ravel(), "id": np.repeat(b["id"].to_numpy(), len(plan))})
+            each = {c: np.repeat(b[c].to_numpy(), len(plan)) for c in ("id", "n")}
+            yield pd.DataFrame({"bucket": keys.view(np.int64).ravel(), **each})
 
-    return sketches.select("id", "sig").mapInPandas(run, "bucket long, id long")
+    return sketches.select("id", "n", "sig").mapInPandas(run, "bucket long, id long, n long")
 
 
 def near_signatures(pairs: DataFrame, reps: DataFrame, errors: int, share: float) -> DataFrame:
@@ -147,13 +168,56 @@ def near_signatures(pairs: DataFrame, reps: DataFrame, errors: int, share: float
 
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, on the full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
-    sets = cut(full_sets(docs.join(ids, key, "left_semi"), key, text, width), "near-sets")
+    ids = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
+    sets = cut(full_sets(docs, ids, key, text, width), "near-sets")
     one, two = (sets.select(F.col(key).alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = pairs.join(one, "a").join(two, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return both.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
+def prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can reach ``percent`` on their full sets.
+
+    In one order of all shingles, rare ones first, two such sets share one of the first
+    n - ceil(n * percent / 100) + 1 of each. Frequencies are counted in SLOTS counters, so what
+    is broadcast has a fixed size; equal counts are ordered by the hash.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for x in b["shingles"]:
+                total += np.bincount(x & (SLOTS - 1), minlength=SLOTS) if len(x) > SLOTS // 8 else 0
+                if len(x) <= SLOTS // 8:
+                    np.add.at(total, x & (SLOTS - 1), 1)
+        slot = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": slot, "n": total[slot]})
+
+    counts = sets.select("shingles").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(SLOTS, np.int64)
+    table[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    often = sets.sparkSession.sparkContext.broadcast(table)
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for k, c, x in zip(b["id"], b["c"], b["shingles"], strict=True):
+                n = len(x)
+                first = x[np.lexsort((x, often.value[x & (SLOTS - 1)]))][: n - (n * percent + 99) // 100 + 1]
+                found.append(pd.DataFrame({"token": first, "id": k, "c": c, "n": n}))
+            if found:
+                yield pd.concat(found, ignore_index=True)
+
+    tokens = sets.join(placed, "id").select("id", "c", "shingles").mapInPandas(prefixes, "token long, id long, c long, n long")
+    tokens = cut(tokens, "near-prefixes")
+    mixed = tokens.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("token")
+    tokens = cut(tokens.join(mixed, "token", "left_semi"), "near-tokens")
+    one = tokens.toDF("token", "a", "ca", "na")
+    two = tokens.toDF("token", "b", "cb", "nb")
+    close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component): smallest id of each connected part, for all ids in ``edges`` (a, b).
 
@@ -202,24 +266,29 @@ def near_duplicates(
     classes = members.groupBy("s1", "s2").agg(F.min("id").alias("id"))
     reps = cut(members.join(classes, ["s1", "s2", "id"], "left_semi").dropDuplicates(["id", "s1", "s2"]), "near-classes")
     keys = keys_of(reps, index_plan(symbols, errors, chunks))
-    shared = keys.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
-    buckets = cut(keys.join(shared.select("bucket", "first"), "bucket"), "near-buckets")
+    # one band of sizes holds what can be similar, but for its two neighbours
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("int")
+    ends = keys.groupBy("bucket", band.alias("band")).agg(F.min(F.struct("n", "id")).alias("low"), F.max(F.struct("n", "id")).alias("high"))
+    over = Window.partitionBy("bucket")
+    ends = ends.withColumns({"least": F.min("low").over(over), "most": F.max("high").over(over), "next": F.lead("low").over(over.orderBy("band"))})
+    ends = cut(ends.where("least.id != most.id").select("bucket", "band", F.col("low.id").alias("low"), F.col("high.id").alias("high"), F.col("next.id").alias("next")), "near-ends")
+    buckets = cut(keys.withColumn("band", band).join(ends, ["bucket", "band"]), "near-buckets")
     share = percent / 100
 
     def links(pairs: DataFrame) -> DataFrame:
-        return confirmed(cut(near_signatures(pairs.distinct(), reps, errors, share), "near-pairs"), known, "id", "text", width, percent)
+        return confirmed(cut(near_signatures(pairs, reps, errors, share), "near-pairs"), known, "id", "text", width, percent)
 
-    stars = cut(links(buckets.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))), "near-links")
+    pair = lambda x, y: buckets.where(f"{x} != {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    across = ends.where("next is not null and next != high").select(F.least("high", "next").alias("a"), F.greatest("high", "next").alias("b"))
+    stars = cut(links(pair("id", "low").union(pair("id", "high")).union(across).distinct()), "near-links")
     joined = cut(components(stars), "near-components")
-    # members of one bucket that are in different components so far
-    placed = buckets.join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("bucket")
-    open_ = cut(placed.join(mixed, "bucket", "left_semi"), "near-open")
-    one, two = open_.toDF("bucket", "a", "ca"), open_.toDF("bucket", "b", "cb")
-    rest = one.join(two, "bucket").where("a < b and ca != cb").select("a", "b").distinct().join(
-        buckets.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), ["a", "b"], "left_anti"
-    )
-    edges = stars.union(links(rest))
+    # buckets that hold several components so far
+    placed = buckets.select("bucket", "id").join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    placed = cut(placed, "near-placed")
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least != most").select("bucket")
+    open_ = cut(placed.join(mixed, "bucket", "left_semi").select("id", "c").distinct(), "near-open")
+    sets = cut(full_sets(known, open_.select("id"), "id", "text", width), "near-open-sets")
+    edges = stars.union(links(prefix_pairs(sets, open_, percent)))
     # copies of a set reach its class; a key with several texts joins their classes
     copies = members.join(classes.withColumnRenamed("id", "first"), ["s1", "s2"]).where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     final = components(edges.union(copies))
