@@ -16,9 +16,9 @@ from .telemetry_queries import CELL, CYC, KEY, LABEL, PHASES
 # --- F: cycles, health and life -------------------------------------------------------------
 
 
-@query(f"WITH {fx.READINGS} SELECT cell_id, cycle_number, max(qd) AS qd_max, max(qc) AS qc_max, min(v) AS v_min, max(v) AS v_max, round(avg(i), 7) AS i_mean, count(*) AS n_points, round(max(t) - min(t), 6) AS duration FROM readings GROUP BY 1, 2")
+@query(f"WITH {fx.READINGS} SELECT cell_id, cycle_number, max(qd) AS qd_max, max(qc) AS qc_max, min(v) AS v_min, max(v) AS v_max, round(avg(i), 9) AS i_mean, count(*) AS n_points, round(max(t) - min(t), 6) AS duration FROM readings GROUP BY 1, 2")
 def f01_cycle_summary(spark, sf_dir):
-    return rounded(life.cycle_summary(fx.readings(spark, sf_dir)), "i_mean", places=7).withColumn("duration", F.round("duration", 6))
+    return rounded(life.cycle_summary(fx.readings(spark, sf_dir)), "i_mean", places=9).withColumn("duration", F.round("duration", 6))
 
 
 @query(f"WITH {fx.READINGS} SELECT cell_id, cycle_number, round(coalesce(max(qd) FILTER (i < 0), max(qd)) / 1.1 / 0.8, 6) AS soh FROM readings GROUP BY 1, 2")

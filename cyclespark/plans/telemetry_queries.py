@@ -435,10 +435,10 @@ def c11_time_descents(spark, sf_dir):
 # --- D: integration and segmentation -----------------------------------------------------------------
 
 
-@query(f"WITH {fx.FAULTY}, {FIXED}, {COULOMB} SELECT cell_id, cycle_number, idx, round(qc2, 4) AS qc, round(qd2, 4) AS qd FROM counted")
+@query(f"WITH {fx.FAULTY}, {FIXED}, {COULOMB} SELECT cell_id, cycle_number, idx, round(qc2, 9) AS qc, round(qd2, 9) AS qd FROM counted")
 def d01_coulomb_count(spark, sf_dir):
     r = segment.coulomb_count(timeaxis.fix_time_resets(fx.faulty(spark, sf_dir)))
-    return rounded(r.select(*KEY, "qc", "qd"), "qc", "qd")
+    return rounded(r.select(*KEY, "qc", "qd"), "qc", "qd", places=9)
 
 
 @query()
