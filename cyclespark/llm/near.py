@@ -101,7 +101,8 @@ def sketch(docs: DataFrame, key: str, text: str, width: int, symbols: int) -> Da
     return docs.select(key, text).mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, n long, s1 long, s2 long, sig binary")
 
 
-SLOTS = 1 << 20
+SLOTS = 1 << 20  # bits of the map of wanted ids
+COUNTERS = 1 << 16  # counters of shingle frequencies
 
 
 def _slot(column: str):
@@ -114,17 +115,23 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int)
     A bitmap of SLOTS bits, whatever the number of ids, keeps most other texts from being
     shingled; the exact semi join follows on the sets.
     """
-    asked = np.zeros(SLOTS, bool)
-    asked[[r[0] for r in ids.select(_slot(key)).distinct().collect()]] = True
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(asked))
+    slot = _slot(key)
+    bit = F.expr("shiftleft(1L, _slot % 64)")
+    words = ids.select(slot.alias("_slot")).groupBy(F.floor(F.col("_slot") / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
+    asked = np.zeros(SLOTS // 64, np.int64)
+    for r in words:  # SLOTS / 64 rows at most
+        asked[r["w"]] = r["bits"]
+    wanted = docs.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.unpackbits(wanted.value).view(bool)
+        bits = wanted.value.view(np.uint64)
         for b in batches:
-            b = b[bits[b["slot"].to_numpy()]]
-            yield pd.DataFrame({key: b[key], "shingles": [shingles(t, width).view(np.int64) for t in b[text]]})
+            at = b["slot"].to_numpy()
+            b = b[(bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0]
+            if len(b):
+                yield pd.DataFrame({key: b[key], "shingles": [shingles(t, width).view(np.int64) for t in b[text]]})
 
-    rows = docs.select(key, text, _slot(key).alias("slot"))
+    rows = docs.select(key, text, slot.alias("slot"))
     sets = rows.mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, shingles array<long>")
     return sets.join(ids.select(key).distinct(), key, "left_semi")
 
@@ -179,23 +186,22 @@ def prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that can reach ``percent`` on their full sets.
 
     In one order of all shingles, rare ones first, two such sets share one of the first
-    n - ceil(n * percent / 100) + 1 of each. Frequencies are counted in SLOTS counters, so what
+    n - ceil(n * percent / 100) + 1 of each. Frequencies are counted in COUNTERS counters, so what
     is broadcast has a fixed size; equal counts are ordered by the hash.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            for x in b["shingles"]:
-                total += np.bincount(x & (SLOTS - 1), minlength=SLOTS) if len(x) > SLOTS // 8 else 0
-                if len(x) <= SLOTS // 8:
-                    np.add.at(total, x & (SLOTS - 1), 1)
+            if len(b):
+                total += np.bincount(np.concatenate(b["shingles"].tolist()) & (COUNTERS - 1), minlength=COUNTERS)
         slot = np.flatnonzero(total)
         yield pd.DataFrame({"slot": slot, "n": total[slot]})
 
-    counts = sets.select("shingles").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(SLOTS, np.int64)
-    table[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    counts = sets.select("shingles").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    table = np.zeros(COUNTERS, np.int64)
+    for r in counts:  # COUNTERS rows at most
+        table[r["slot"]] = r["n"]
     often = sets.sparkSession.sparkContext.broadcast(table)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,7 +209,7 @@ def prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
             found = []
             for k, c, x in zip(b["id"], b["c"], b["shingles"], strict=True):
                 n = len(x)
-                first = x[np.lexsort((x, often.value[x & (SLOTS - 1)]))][: n - (n * percent + 99) // 100 + 1]
+                first = x[np.lexsort((x, often.value[x & (COUNTERS - 1)]))][: n - (n * percent + 99) // 100 + 1]
                 found.append(pd.DataFrame({"token": first, "id": k, "c": c, "n": n}))
             if found:
                 yield pd.concat(found, ignore_index=True)
