@@ -72,7 +72,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     low = np.minimum(low[: len(h) - SPREAD + 1], low[SPREAD - width :][: len(h) - SPREAD + 1])
     place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     starts = np.arange(len(place))
-    inside = starts + LENGTH <= ends[np.searchsorted(ends, starts, side="right")]
+    inside = starts + LENGTH <= np.repeat(ends, np.diff(ends, prepend=0))[: len(starts)]
     new = np.ones(len(place), bool)
     new[1:] = (place[1:] != place[:-1]) | ~inside[:-1]
     first = np.flatnonzero(new & inside)
@@ -115,7 +115,8 @@ def suffix_ranks(t: np.ndarray, depth: int) -> np.ndarray:
     below = np.searchsorted(np.sort(wide[one] * big + rank[one + 1]), key)
     pair = (wide[rest] * k + wide[rest + 1]) * big + rank[rest + 2]
     below += np.searchsorted(np.sort((wide[two] * k + wide[two + 1]) * big + rank[two + 2]), pair)
-    order = np.argsort(key, kind="stable")
+    # of equal symbols and names the pair tells, which looks one symbol further
+    order = np.lexsort((pair, key))
     out = np.empty(n, np.int64)
     at = np.empty(len(rest), np.int64)
     at[order] = np.arange(len(rest))
@@ -129,15 +130,14 @@ def suffix_ranks(t: np.ndarray, depth: int) -> np.ndarray:
 def classes(contexts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, string in it, class) of every LENGTH-byte string; equal strings have one class."""
     rows, width = contexts.shape
-    t = np.zeros((rows, width + 1), np.int64)
-    t[:, :width] = contexts.astype(np.int64) + 2
-    t[np.arange(width + 1)[None, :] >= lengths[:, None]] = 1  # an end sorts before all bytes
-    flat = t.ravel()
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    flat = np.ones(int((lengths + 1).sum()), np.int64)  # an end sorts before all bytes
+    flat[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))] = contexts[np.arange(width)[None, :] < lengths[:, None]].astype(np.int64) + 2
     rank = suffix_ranks(flat, LENGTH + 4)
     counts = lengths - LENGTH + 1
     context = np.repeat(np.arange(rows), counts)
     string = np.arange(len(context)) - np.repeat(np.cumsum(counts) - counts, counts)
-    place = context * (width + 1) + string
+    place = starts[context] + string
     order = np.argsort(rank[place], kind="stable")
     place = place[order]
     # neighbours compared eight bytes at a time
@@ -154,6 +154,31 @@ def classes(contexts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     return context, string, out
 
 
+_odd = np.random.default_rng(9).integers(0, 2**63, (2, 32), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def distinct_rows(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each distinct one, number of each row's) of a byte table, ordered by the first eight bytes.
+
+    Rows are told apart by a hash of their words; should two rows share one, bytes decide.
+    """
+    wide = np.zeros((len(table), -(-table.shape[1] // 8) * 8), np.uint8)
+    wide[:, : table.shape[1]] = table
+    words = wide.view(np.uint64)
+    h = np.zeros(len(table), np.uint64)
+    for j in range(words.shape[1]):
+        h = _mixed(h ^ (words[:, j] * _odd[0, j]))
+    order = np.lexsort((h, words[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (words[order, 0][1:] != words[order, 0][:-1])
+    lead = order[new]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    if not (words == words[lead][back]).all():
+        _, lead, back = np.unique(wide.view(f"V{wide.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return lead, back
+
+
 def _blob(*arrays: np.ndarray) -> bytes:
     return pickle.dumps(arrays, protocol=5)
 
@@ -197,7 +222,7 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
             hs.append(h & ~np.uint64(1))
             rows.append(first + np.searchsorted(ends, place, side="right"))
         h, row = np.concatenate(hs), np.concatenate(rows)
-        order = np.lexsort((row, h))
+        order = np.argsort(h, kind="stable")  # rows ascend already
         h, row = h[order], row[order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
@@ -248,7 +273,7 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
         if not len(h):
             return pd.DataFrame(columns=columns)
         whole = np.concatenate([h[:, None].view(np.uint8), off[:, None], size[:, None], bytes_], 1)
-        _, lead, back = np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        lead, back = distinct_rows(whole)
         h, whole = h[lead], whole[lead]
         order, buckets, at = _dealt(h, n)
         bucket_of = np.empty(len(h), np.int64)
@@ -269,9 +294,8 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
         parts = [pickle.loads(b) for b in part["blob"]]
         records = np.concatenate([p[0] for p in parts])
         shift = np.cumsum([0, *[len(p[0]) for p in parts]])
-        distinct, back = np.unique(np.ascontiguousarray(records).view(f"V{records.shape[1]}").ravel(), return_inverse=True)
-        # void bytes sort by the hash first, so a hash's contexts are neighbours
-        table = distinct.view(np.uint8).reshape(len(distinct), -1)
+        lead, back = distinct_rows(records)  # those of one anchor are neighbours
+        table = records[lead]
         spot = np.concatenate([back[p[1] + s] for p, s in zip(parts, shift, strict=False)])
         ids = np.concatenate([p[4] for p in parts])
         least = np.full(len(table), np.iinfo(np.int64).max)
