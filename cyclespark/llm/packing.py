@@ -8,6 +8,7 @@ smallest weighted residual norm (or dot product with the piece's demand).
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import cut
 
 #: Control characters that str.split() takes for white space and the tokenizer doesn't.
@@ -42,21 +44,46 @@ class WordTokenizer:
         self.plain: dict[str, bytes] = {}
         self.cache_words = cache_words
         self.marks = {c: self._ids([c])[0] for c in ",.;:!?"}
-        # a token with this suffix ends a word
-        spelt = self.library.get_vocab()
-        self.ends = np.zeros(max(spelt.values()) + 1, bool)
-        self.ends[[i for t, i in spelt.items() if t.endswith("</w>")]] = True
+        self._plain_merges(path)
+
+    def _plain_merges(self, path: str) -> None:
+        """The vocabulary for tiktoken, which merges words of letters several times faster.
+
+        A zero byte stands for the end of a word; it joins the last byte first, as the
+        tokenizer's suffix does. Merging by the rank of the joined bytes is merging by the
+        list of pairs: a token's bytes, with no merge across their ends, come together as they do alone.
+        """
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters, suffix = byte_letters(), model["end_of_word_suffix"]
+
+        def spelt(token: str) -> bytes:
+            end = token.endswith(suffix)
+            return bytes(letters[c] for c in (token[: -len(suffix)] if end else token)) + b"\0" * end
+
+        ranks = {bytes([c]): c for c in range(256)} | {bytes([c, 0]): 256 + c for c in range(256)}
+        for k, pair in enumerate(model["merges"]):
+            x, y = pair.split(" ") if isinstance(pair, str) else pair
+            ranks[spelt(x + y)] = 512 + k
+        self.fast = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.id_of_rank = np.zeros(512 + len(model["merges"]), "<u4")
+        self.ends = np.zeros(len(self.id_of_rank), bool)
+        for token, i in model["vocab"].items():
+            r = ranks[spelt(token)]
+            self.id_of_rank[r], self.ends[r] = i, token.endswith(suffix)
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
     def _ids_of_letters(self, words: list[str]) -> list[bytes]:
         """The same for words of letters only, many of them encoded as one text."""
-        lines = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
-        ids = [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(lines, add_special_tokens=False)]
-        whole = np.concatenate([np.empty(0, "<u4"), *ids])
+        lines = ["\0".join([*words[i : i + 5000], ""]) for i in range(0, len(words), 5000)]
+        ranks = [self.fast.encode_to_numpy(x, disallowed_special=()) for x in lines]
+        whole = np.concatenate([np.empty(0, np.uint32), *ranks])
         to = 4 * (np.flatnonzero(self.ends[whole]) + 1)
-        raw = whole.tobytes()
+        raw = self.id_of_rank[whole].tobytes()
         return [raw[a:b] for a, b in zip([0, *to.tolist()], to.tolist(), strict=False)]
 
     def _learn(self, words: list[str]) -> None:
@@ -81,7 +108,10 @@ class WordTokenizer:
         if len(cache) > self.cache_words:
             cache.clear()
         words = [[w for w in _SPACES.split(t) if w] if _ODD.search(t) else t.split() for t in texts]
-        if new := list({w for ws in words for w in ws if w not in cache}):
+        seen: set[str] = set()
+        for ws in words:
+            seen.update(ws)
+        if new := list(seen.difference(cache)):
             self._learn(new)
         return [b"".join(map(cache.__getitem__, ws)) for ws in words]
 
