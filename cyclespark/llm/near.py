@@ -67,16 +67,23 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+_rng = np.random.default_rng(11)
+_odd = _rng.integers(0, 2**31, 256, np.uint32) * np.uint32(2) + np.uint32(1)
+_products = np.empty((256, 1024), np.uint32)
+
+
 def signature(sets: np.ndarray, symbols: int) -> np.ndarray:
-    """``symbols`` 16-bit MinHash values of a set of hashes."""
-    rng = np.random.default_rng(11)
-    odd = rng.integers(0, 2**63, symbols, np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 2**63, symbols, np.uint64)
-    least = np.full(symbols, np.uint64(2**64 - 1))
-    for at in range(0, len(sets), 4096):  # bounds the table of a very long text
-        part = sets[at : at + 4096]
-        least = np.minimum(least, (part[None, :] * odd[:, None] + add[:, None]).min(1))
-    return (_mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)
+    """``symbols`` (up to 256) 16-bit MinHash values of a set of hashes.
+
+    The hashes are mixed already, so 32 of their bits under odd multipliers serve as permutations.
+    """
+    odd = _odd[:symbols, None]
+    h = (sets >> np.uint64(32)).astype(np.uint32)
+    least = np.full(symbols, np.uint32(2**32 - 1))
+    for at in range(0, len(h), 1024):  # bounds the table of a long text
+        part = h[None, at : at + 1024]
+        least = np.minimum(least, np.multiply(part, odd, out=_products[:symbols, : part.shape[1]]).min(1))
+    return (_mixed(least.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def index_plan(symbols: int, errors: int, chunks: int) -> list[tuple[int, ...]]:
@@ -185,6 +192,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int
 def prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that can reach ``percent`` on their full sets.
 
+    Shingles that only one of the sets has are in no intersection: sets with too many of them
+    go, and a pair's intersection is at most what either has besides them.
     In one order of all shingles, rare ones first, two such sets share one of the first
     n - ceil(n * percent / 100) + 1 of each. Frequencies are counted in COUNTERS counters, so what
     is broadcast has a fixed size; equal counts are ordered by the hash.
@@ -207,20 +216,25 @@ def prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = []
-            for k, c, x in zip(b["id"], b["c"], b["shingles"], strict=True):
+            for k, c, u, x in zip(b["id"], b["c"], b["u"], b["shingles"], strict=True):
                 n = len(x)
                 first = x[np.lexsort((x, often.value[x & (COUNTERS - 1)]))][: n - (n * percent + 99) // 100 + 1]
-                found.append(pd.DataFrame({"token": first, "id": k, "c": c, "n": n}))
+                found.append(pd.DataFrame({"token": first, "id": k, "c": c, "n": n, "u": u}))
             if found:
                 yield pd.concat(found, ignore_index=True)
 
-    tokens = sets.join(placed, "id").select("id", "c", "shingles").mapInPandas(prefixes, "token long, id long, c long, n long")
+    alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    alone = alone.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+    placed = placed.join(alone, "id", "left").na.fill(0, ["u"])
+    able = sets.join(placed, "id").where(100 * (F.size("shingles") - F.col("u")) >= percent * F.size("shingles"))
+    tokens = able.select("id", "c", "u", "shingles").mapInPandas(prefixes, "token long, id long, c long, n long, u long")
     tokens = cut(tokens, "near-prefixes")
     mixed = tokens.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("token")
     tokens = cut(tokens.join(mixed, "token", "left_semi"), "near-tokens")
-    one = tokens.toDF("token", "a", "ca", "na")
-    two = tokens.toDF("token", "b", "cb", "nb")
-    close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    one = tokens.toDF("token", "a", "ca", "na", "ua")
+    two = tokens.toDF("token", "b", "cb", "nb", "ub")
+    common = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))
+    close = 100 * common >= percent * (F.col("na") + F.col("nb") - common)
     return one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
 
 
