@@ -6,7 +6,7 @@ at equal places. Anchors that occur in one document only can't belong to a repea
 and are dropped after one exchange of their hashes. The strings around the others, equal
 ones of a batch once, are dealt out by anchor, and each task sorts the suffixes of its
 strings by a difference cover: triples at two of three places are sorted and named, the
-names are sorted in turn until they tell 50 bytes apart, the remaining suffixes are
+names are sorted in turn until all are distinct, the remaining suffixes are
 merged in by symbol and rank, and neighbours are compared over 50 bytes. Strings of a
 class are copies of the one in the document of smallest id.
 """
@@ -93,18 +93,20 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = to
 
 
-def suffix_ranks(t: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of each suffix of positive symbols, by at least its first ``depth`` symbols (difference cover mod 3)."""
+def suffix_ranks(t: np.ndarray) -> np.ndarray:
+    """Rank of each suffix of positive symbols (difference cover modulo 3)."""
     n = len(t)
     wide = np.concatenate([t, np.zeros(3, np.int64)])
     k = int(wide.max()) + 1
+    two_symbols = wide[:n] * k + wide[1 : n + 1]
+    if k * k * (n + k) >= 2**62:  # keeps the keys below in 64 bits
+        two_symbols = np.unique(two_symbols, return_inverse=True)[1]
     one, two = np.arange(1, n, 3), np.arange(2, n, 3)
     sample = np.concatenate([one, two])
-    triple = (wide[sample] * k + wide[sample + 1]) * k + wide[sample + 2]
-    distinct, names = np.unique(triple, return_inverse=True)
-    if len(distinct) < len(sample) and depth > 3:
-        # a suffix of the names of places 1 mod 3 runs on into those of 2 mod 3, past a 0
-        r = suffix_ranks(np.concatenate([names[: len(one)] + 2, [1], names[len(one) :] + 2]), math.ceil(depth / 3))
+    distinct, names = np.unique(two_symbols[sample] * k + wide[sample + 2], return_inverse=True)
+    if len(distinct) < len(sample):
+        # a suffix of the names of places 1 mod 3 runs on into those of 2 mod 3, past a 1
+        r = suffix_ranks(np.concatenate([names[: len(one)] + 2, [1], names[len(one) :] + 2]))
         names = np.concatenate([r[: len(one)], r[len(one) + 1 :]])
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = names + 1
@@ -113,13 +115,11 @@ def suffix_ranks(t: np.ndarray, depth: int) -> np.ndarray:
     # counts of samples below each remaining suffix, by symbol and rank, and by two symbols and rank
     key = wide[rest] * big + rank[rest + 1]
     below = np.searchsorted(np.sort(wide[one] * big + rank[one + 1]), key)
-    pair = (wide[rest] * k + wide[rest + 1]) * big + rank[rest + 2]
-    below += np.searchsorted(np.sort((wide[two] * k + wide[two + 1]) * big + rank[two + 2]), pair)
-    # of equal symbols and names the pair tells, which looks one symbol further
-    order = np.lexsort((pair, key))
+    pair = two_symbols[rest] * big + rank[rest + 2]
+    below += np.searchsorted(np.sort(two_symbols[two] * big + rank[two + 2]), pair)
     out = np.empty(n, np.int64)
     at = np.empty(len(rest), np.int64)
-    at[order] = np.arange(len(rest))
+    at[np.argsort(key, kind="stable")] = np.arange(len(rest))
     out[rest] = at + below
     free = np.ones(n, bool)
     free[out[rest]] = False
@@ -133,7 +133,7 @@ def classes(contexts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.cumsum(lengths + 1) - lengths - 1
     flat = np.ones(int((lengths + 1).sum()), np.int64)  # an end sorts before all bytes
     flat[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))] = contexts[np.arange(width)[None, :] < lengths[:, None]].astype(np.int64) + 2
-    rank = suffix_ranks(flat, LENGTH + 4)
+    rank = suffix_ranks(flat)
     counts = lengths - LENGTH + 1
     context = np.repeat(np.arange(rows), counts)
     string = np.arange(len(context)) - np.repeat(np.cumsum(counts) - counts, counts)
