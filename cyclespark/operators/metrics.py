@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,23 +139,54 @@ def grouped_forecast_score(series: DataFrame, freq: dict[str, int]) -> DataFrame
     return out.select("grp", *[F.round(c, 3).alias(c) for c in ("smape", "mape", "mase")], F.round(owa, 3).alias("owa"))
 
 
-def mmd_rbf(pairs: DataFrame, vector: str, block: int = 32, multiplier: float = 2.0, kernels: int = 5) -> DataFrame:
-    """Two-sample statistic of the rows of side 0 and 1 (id, side, vector), equal in number.
+def mmd_rbf(pairs: DataFrame, vector: str, block_rows: int = 2048, multiplier: float = 2.0, kernels: int = 5) -> DataFrame:
+    """Two-sample statistic of all rows of side 0 and 1 (id, side, vector); rows without a vector don't count.
 
-    Blocks of rows meet blocks of rows; the bandwidth is the mean squared distance.
+    The bandwidth is the mean squared distance, from sums by place in the vector. Then each block
+    of about ``block_rows`` rows meets each other one once, so a task's size is bounded and the
+    number of block pairs grows with the square of the table. Sides of unlike number are weighed
+    by their own numbers. An empty side gives null, rows that are all equal give NaN.
     """
-    rows = pairs.withColumn("_b", F.pmod(F.xxhash64("id", "side"), F.lit(block)).cast("int"))
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(block - 1)))
-    x = rows.select(F.col("side").alias("s1"), F.col("id").alias("i1"), F.col(vector).alias("v1"), F.col("_b").alias("b1")).withColumn("b2", numbers)
-    y = rows.select(F.col("side").alias("s2"), F.col("id").alias("i2"), F.col(vector).alias("v2"), F.col("_b").alias("b2")).withColumn("b1", numbers)
-    square = F.aggregate(F.zip_with("v1", "v2", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda a, d: a + d)
-    dist = x.join(y, ["b1", "b2"]).select((F.col("s1") == F.col("s2")).alias("same"), square.alias("d"))
-    n = pairs.count()
-    width = dist.agg((F.sum("d") / (float(n) * n - n)).alias("w")).withColumn("_one", F.lit(1))
-    kernel = sum((F.exp(-F.col("d") / (F.col("w") * multiplier ** (k - kernels // 2))) for k in range(kernels)), F.lit(0.0))
-    signed = F.when(F.col("same"), kernel).otherwise(-kernel)
-    half = n / 2
-    return dist.withColumn("_one", F.lit(1)).join(F.broadcast(width), "_one").agg((F.sum(signed) / (half * half)).alias("mmd"))
+    rows = pairs.where(F.col(vector).isNotNull()).select("id", "side", F.col(vector).cast("array<double>").alias("x"))
+    number = {r["side"]: r["n"] for r in rows.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(number.values())
+    if not (number.get(0) and number.get(1)):
+        return pairs.sparkSession.range(1).select(F.lit(None).cast("double").alias("mmd"))
+    places = rows.select(F.posexplode("x").alias("p", "v")).groupBy("p").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    width = places.agg(F.sum(2 * (n * F.col("q") - F.col("s") * F.col("s")))).first()[0] / (float(n) * n - n)
+    blocks = math.ceil(n / block_rows)
+
+    def packed(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("side", kind="stable")
+        return pd.DataFrame({"b": [key[0]], "n0": [int((b["side"] == 0).sum())], "n": [len(b)], "x": [np.stack(b["x"].to_list()).tobytes()]})
+
+    def signed(b: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        share = np.full(b["n"], -1.0 / number[1])
+        share[: b["n0"]] = 1.0 / number[0]
+        return np.frombuffer(b["x"]).reshape(b["n"], -1), share
+
+    def met(key: tuple, two: pd.DataFrame) -> pd.DataFrame:
+        if key[0] != key[1] and len(two) == 1:  # the other block has no rows
+            return pd.DataFrame({"part": [0.0]})
+        (x, a), (y, c) = signed(two.iloc[0]), signed(two.iloc[-1])
+        total, y2 = 0.0, (y * y).sum(1)
+        with np.errstate(invalid="ignore", divide="ignore", under="ignore"):
+            for at in range(0, len(x), 256):
+                part = x[at : at + 256]
+                d = np.maximum((part * part).sum(1)[:, None] + y2 - 2 * part @ y.T, 0)
+                kernel = np.exp(d / (-width * multiplier ** (kernels - 1 - kernels // 2)))  # the widest
+                summed = kernel.copy()
+                for _ in range(kernels - 1):
+                    kernel = kernel**multiplier
+                    summed += kernel
+                total += float(a[at : at + 256] @ summed @ c)
+        return pd.DataFrame({"part": [total * (1 if key[0] == key[1] else 2)]})
+
+    own = F.pmod(F.xxhash64("id", "side"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("_b", own).groupBy("_b").applyInPandas(packed, "b int, n0 long, n long, x binary")
+    other = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = other.withColumns({"p": F.least("b", "o"), "q": F.greatest("b", "o")})
+    return both.groupBy("p", "q").applyInPandas(met, "part double").agg(F.sum("part").alias("mmd"))
 
 
 def point_adjust(points: DataFrame) -> DataFrame:

@@ -548,9 +548,8 @@ def j12_grouped_forecast_score(spark, sf_dir):
 
 @query()
 def j13_mmd_rbf(spark, sf_dir):
-    s = fx.series(spark, sf_dir)
-    half = s.where("id % 10 < 2").withColumn("side", (F.col("id") % 2).cast("int"))
-    return rounded(metrics.mmd_rbf(half, "x"), "mmd")
+    s = fx.series(spark, sf_dir).withColumn("side", (F.col("id") % 2).cast("int"))
+    return rounded(metrics.mmd_rbf(s, "x"), "mmd", places=8)
 
 
 @query(f"""WITH {fx.PREDS}, s AS (SELECT cell_id AS series, row_number() OVER (PARTITION BY cell_id ORDER BY id) AS idx, CAST((id // 3) % 2 AS INTEGER) AS truth, CAST(id % 4 = 0 AS INTEGER) AS pred FROM preds),

@@ -156,3 +156,35 @@ def test_point_adjust(spark):
     rows = [("s", k, t, p) for k, (t, p) in enumerate(zip([1, 1, 0, 1, 1, 1], [0, 1, 0, 0, 0, 1], strict=True))]
     out = metrics.point_adjust(spark.createDataFrame(rows, "series string, idx int, truth int, pred int"))
     assert column(out, "adjusted", ("idx",)) == [0, 1, 0, 1, 1, 1]
+
+
+def brute_mmd(x, side):
+    """The two-sample statistic of all pairs, five kernels a factor of two apart."""
+    import numpy as np
+
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    width = d.sum() / (len(x) ** 2 - len(x)) / 4
+    kernel = sum(np.exp(-d / (width * 2**k)) for k in range(5))
+    a, b = side == 0, side == 1
+    return kernel[a][:, a].mean() + kernel[b][:, b].mean() - 2 * kernel[a][:, b].mean()
+
+
+@pytest.mark.parametrize("n, block_rows", [(60, 7), (60, 1), (61, 20), (60, 2048)])
+def test_mmd_against_numpy(spark, n, block_rows):
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(n, 6)) + np.arange(n)[:, None] % 2
+    df = spark.createDataFrame([(k, k % 2, v.tolist()) for k, v in enumerate(x)], "id long, side int, x array<double>")
+    want = brute_mmd(x, np.arange(n) % 2)
+    assert metrics.mmd_rbf(df, "x", block_rows=block_rows).first()["mmd"] == pytest.approx(want, rel=1e-9)
+    assert metrics.mmd_rbf(df.where("side = 0"), "x").first()["mmd"] is None
+
+
+def test_mmd_query_takes_the_whole_table(spark, small):
+    import numpy as np
+
+    from cyclespark.plans import registry
+
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, side = np.array([r[1] for r in rows], float), np.array([r[0] % 2 for r in rows])
+    assert registry.queries()["j13_mmd_rbf"](spark, small).first()["mmd"] == pytest.approx(brute_mmd(x, side), abs=1e-8)
