@@ -24,6 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 #: (label, keyword, name as words, SPDX identifier as words); names are regular expressions.
+#: Every string that a name matches contains the keyword; names without a common one have a
+#: row each, without an identifier but the first.
 FAMILIES = [
     ("mit", "licen", r"(?:expat|mit) licen[cs]e", "mit"),
     ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?", "mit 0"),
@@ -48,11 +50,13 @@ FAMILIES = [
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", "zlib"),
     ("boost-1", "boost", r"boost software licen[cs]e(?: version)?(?: 1 0)?", "bsl 1 0"),
     ("unlicense", "unlicen", r"(?:the )?unlicen[cs]e", "unlicense"),
-    ("wtfpl", "wtf", r"(?:wtfpl|do what the fuck you want to public licen[cs]e)", "wtfpl"),
+    ("wtfpl", "wtf", r"wtfpl", "wtfpl"),
+    ("wtfpl", "fuck", r"do what the fuck you want to public licen[cs]e", None),
     ("artistic-2", "artistic", r"artistic licen[cs]e(?: version)?(?: 2 0)?", "artistic 2 0"),
     ("perl", "perl", r"same terms as perl(?: itself)?", "artistic 1 0 perl"),
     ("php-3", "php", r"php licen[cs]e(?: version)?(?: 3 0[01]?)?", "php 3 0[01]?"),
-    ("python-2", "python", r"(?:python software foundation|psf) licen[cs]e(?: version)?(?: 2)?", "(?:psf|python) 2 0"),
+    ("python-2", "python", r"python software foundation licen[cs]e(?: version)?(?: 2)?", "(?:psf|python) 2 0"),
+    ("python-2", "psf", r"psf licen[cs]e(?: version)?(?: 2)?", None),
     ("ruby", "ruby", r"ruby licen[cs]e", "ruby"),
     ("openssl", "openssl", r"openssl licen[cs]e", "openssl"),
     ("postgresql", "postgresql", r"postgresql licen[cs]e", "postgresql"),
@@ -60,7 +64,8 @@ FAMILIES = [
     ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e", "ms rl"),
     ("ofl-1.1", "open font", r"(?:sil )?open font licen[cs]e(?: version)?(?: 1 1)?", "ofl 1 1"),
     ("odbl-1", "open da", r"open (?:data commons open )?database licen[cs]e(?: odbl)?", "odbl 1 0"),
-    ("cc0-1", "cc", r"(?:cc0|creative commons zero)(?: 1 0)?", "cc0 1 0"),
+    ("cc0-1", "cc0", r"cc0(?: 1 0)?", "cc0 1 0"),
+    ("cc0-1", "creative", r"creative commons zero(?: 1 0)?", None),
     ("cc-by", "cc", r"cc by(?: [1-4] 0)?(?! (?:sa|nc|nd))", "cc by [1-4] 0"),
     ("cc-by-sa", "cc", r"cc by sa(?: [1-4] 0)?", "cc by sa [1-4] 0"),
     ("cc-by-nd", "cc", r"cc by nd(?: [1-4] 0)?", "cc by nd [1-4] 0"),
@@ -95,7 +100,7 @@ GENERIC = [
 ]
 
 #: No rule and no base phrase matches a text without one of these.
-GATES = ("licen", "spdx", "copyright", "public domain", "rights", "terms", "confidential", "wtf", "bsd", "no attribution", "creative", "cc0")
+GATES = ("licen", "spdx", "copyright", "public domain", "rights", "terms", "confidential", "wtf", "bsd", "attribution", "creative", "cc0")
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
@@ -104,6 +109,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         (label, "spdx" if "{spdx}" in t else keyword, t.format(name=name, spdx=spdx), priority, score)
         for t, priority, score in TEMPLATES
         for label, keyword, name, spdx in FAMILIES
+        if spdx or "{spdx}" not in t
     ]
     return made + GENERIC
 

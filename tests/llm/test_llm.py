@@ -139,6 +139,63 @@ def test_licenses(spark, docs, rows, empty):
     assert {r["doc_id"]: r["labels"] for r in got}[901] == "apache-2,gpl-3"
 
 
+def spellings(expression: str) -> list[str]:
+    """All strings that a rule's name matches, its look-aheads aside."""
+    from re import _constants as c
+    from re import _parser
+
+    def of(parsed) -> list[str]:
+        out = [""]
+        for op, arg in parsed:
+            if op is c.LITERAL:
+                part = [chr(arg)]
+            elif op is c.IN:
+                part = [chr(k) for o, a in arg for k in (range(a[0], a[1] + 1) if o is c.RANGE else [a])]
+            elif op is c.MAX_REPEAT:
+                assert arg[:2] == (0, 1)
+                part = ["", *of(arg[2])]
+            elif op is c.SUBPATTERN:
+                part = of(arg[-1])
+            elif op is c.BRANCH:
+                part = [x for branch in arg[1] for x in of(branch)]
+            else:
+                assert op is c.ASSERT_NOT
+                part = [""]
+            out = [x + y for x in out for y in part]
+        return out
+
+    return of(_parser.parse(expression))
+
+
+def test_license_keywords():
+    """A rule's keyword and the text gate occur in all that the rule matches."""
+    names = [(k, x) for _, k, name, _ in licenses.FAMILIES for x in spellings(name)]
+    names += [(k, x) for _, k, e, _, _ in licenses.GENERIC for x in spellings(e)]
+    assert len(names) > 400
+    assert [x for k, x in names if k not in x] == []
+    for joint in (" ", "-", "\n", ", "):
+        assert [x for _, x in names if not licenses.gated(x.replace(" ", joint))] == []
+
+
+UNGATED = [
+    "creative commons zero", "Released under the Creative Commons Zero 1.0", "psf license", "subject to the PSF licence version 2",
+    "do what the fuck you want to public license", "covered under the Do What The Fuck You Want To Public Licence", "MIT No-Attribution", "mit no\nattribution", "MIT No  Attribution",
+    "cc0", "wtfpl", "Python Software Foundation License 2", "SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: Python-2.0, WTFPL", "no attribution needed",
+]
+
+
+def test_licenses_without_gates(spark):
+    """All rules are matched with no gate before them."""
+    df = spark.createDataFrame(list(enumerate(UNGATED)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    for k, t in enumerate(UNGATED):
+        joined = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()))
+        found = [(m.start(), m.end(), p, label, s) for label, _, e, p, s in licenses.rules() for m in re.finditer(rf"(?<![^ ])((?:{e}))(?![^ ])", joined)]
+        kept = [d for d in found if not any(x[2] < d[2] and x[0] <= d[0] and x[1] >= d[1] for x in found)]
+        assert (got[k]["labels"], got[k]["score"]) == (",".join(sorted({d[3] for d in kept})), max([0, *[d[4] for d in kept]]))
+    assert [got[k]["labels"] for k in (0, 2, 4, 6, 14)] == ["cc0-1", "python-2", "wtfpl", "mit-0", ""]
+
+
 # --- 4: BPE ----------------------------------------------------------------------------------------
 
 
