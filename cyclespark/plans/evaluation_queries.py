@@ -158,6 +158,14 @@ def g05_apply_prefix_mask(spark, sf_dir):
     return rounded(curves.apply_prefix_mask(s, h, ["v"]).select(CELL, "n_seen", CYC, F.get("v", 0).alias("y")), "y", places=6)
 
 
+@query(f"WITH {fx.HEALTH}, s AS (SELECT cell_id, CAST(unnest([5, 20]) AS INTEGER) AS n_seen FROM (SELECT DISTINCT cell_id FROM health)) SELECT s.cell_id, n_seen, cycle_number, round(CASE WHEN cycle_number <= n_seen THEN soh ELSE 0 END, 6) AS y FROM s JOIN health h ON s.cell_id = h.cell_id")
+def g05_apply_prefix_mask_all(spark, sf_dir):
+    """The mask over all cycles of the table."""
+    h = fx.health(spark, sf_dir).select(CELL, CYC, F.array("soh").alias("v"))
+    s = h.select(CELL).distinct().withColumn("n_seen", F.explode(F.array(F.lit(5), F.lit(20))))
+    return rounded(curves.apply_prefix_mask(s, h, ["v"]).select(CELL, "n_seen", CYC, F.get("v", 0).alias("y")), "y", places=6)
+
+
 @query(f"WITH {fx.HEALTH} SELECT cell_id, 2 * count(*) AS n, round(sum(soh * 3), 4) AS total FROM health GROUP BY 1")
 def g06_flatten_features(spark, sf_dir):
     h = fx.health(spark, sf_dir).select(CELL, CYC, F.array("soh").alias("v"), F.array(F.col("soh") * 2).alias("q"))
@@ -271,6 +279,15 @@ def g23_operating_note(spark, sf_dir):
     return curves.operating_note(h.withColumn("attribute", F.when(F.col(CYC) % 10 == 0, "RPT").otherwise("Cycling")))
 
 
+@query(f"""WITH {fx.HEALTH}, a AS (SELECT cell_id, cell_id % 2 = 1 AND cycle_number % 10 = 0 AS test, cycle_number FROM health),
+  b AS (SELECT cell_id, string_agg(CAST(cycle_number AS VARCHAR), ', ' ORDER BY cycle_number) FILTER (NOT test) AS n, string_agg(CAST(cycle_number AS VARCHAR), ', ' ORDER BY cycle_number) FILTER (test) AS r FROM a GROUP BY 1)
+  SELECT cell_id, CASE WHEN r IS NULL THEN 'All cycles are normal cycles.' ELSE 'Normal cycles: ' || coalesce(n, '') || '. Reference tests: ' || r || '.' END AS note FROM b""")
+def g23_operating_note_all(spark, sf_dir):
+    """Notes of all cycles of the table; cells of even number have no tests."""
+    test = (F.col(CELL) % 2 == 1) & (F.col(CYC) % 10 == 0)
+    return curves.operating_note(fx.health(spark, sf_dir).withColumn("attribute", F.when(test, "RPT").otherwise("Cycling")))
+
+
 @query(f"WITH {fx.READINGS}, p AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle_number, idx) - 1 AS p, greatest(1, ceil(count(*) OVER (PARTITION BY cell_id) / 20)) AS k FROM readings) SELECT cell_id, cycle_number, idx FROM p WHERE p % k = 0")
 def g24_stride_downsample(spark, sf_dir):
     return curves.stride_downsample(fx.readings(spark, sf_dir), 20).select(*KEY)

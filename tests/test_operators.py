@@ -188,3 +188,21 @@ def test_mmd_query_takes_the_whole_table(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding").collect()
     x, side = np.array([r[1] for r in rows], float), np.array([r[0] % 2 for r in rows])
     assert registry.queries()["j13_mmd_rbf"](spark, small).first()["mmd"] == pytest.approx(brute_mmd(x, side), abs=1e-8)
+
+
+def test_mask_and_note_take_all_cycles(spark, small):
+    from cyclespark.plans import fixtures, registry
+
+    made = registry.queries()
+    cycles = {}
+    for r in fixtures.health(spark, small).select("cell_id", "cycle_number").collect():
+        cycles.setdefault(r[0], []).append(r[1])
+    assert max(map(max, cycles.values())) > 40
+    masked = made["g05_apply_prefix_mask_all"](spark, small).collect()
+    assert sorted((r["cell_id"], r["n_seen"], r["cycle_number"]) for r in masked) == sorted((c, n, k) for c, ks in cycles.items() for n in (5, 20) for k in ks)
+    assert all((r["y"] == 0) == (r["cycle_number"] > r["n_seen"]) for r in masked)
+    for r in made["g23_operating_note_all"](spark, small).collect():
+        ks = sorted(cycles[r["cell_id"]])
+        tests = [k for k in ks if r["cell_id"] % 2 and k % 10 == 0]
+        text = ["Normal cycles: " + ", ".join(str(k) for k in ks if k not in tests), " Reference tests: " + ", ".join(map(str, tests)), ""]
+        assert r["note"] == (".".join(text) if tests else "All cycles are normal cycles.")
