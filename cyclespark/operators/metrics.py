@@ -219,7 +219,7 @@ def nucleus_filter(probs: DataFrame, p: float, seed: int = 0) -> tuple[DataFrame
 
 
 def linear_life_model(train: DataFrame, features: list[str], label: str = "label", weight: str | None = None):
-    """A fitted pipeline: assembled features, linear regression of the standardised label."""
+    """A fitted pipeline: assembled features, linear regression of ``label``, which the caller standardises."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression

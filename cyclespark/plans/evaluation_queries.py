@@ -607,6 +607,34 @@ def j17_linear_life_model(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.lit(float(model.intercept)), 3).alias("intercept"), F.round(F.lit(float(model.coefficients[0])), 3).alias("slope"))
 
 
+def life_samples(spark, sf_dir, threshold: int = 6):
+    """Samples of all cells that have readings: label, split and the pooled, masked curve features of the cycles seen.
+
+    Readings cover six cycles. Returns the samples and the names of their features.
+    """
+    c = fx.cells(spark, sf_dir).select(F.concat(F.lit("c"), F.col("num").cast("string")).alias(CELL), "eol", F.col(CELL).alias("name"))
+    split = fx.splits(spark, sf_dir).select(F.col(CELL).alias("name"), "split")
+    curve = curves.cycle_curves(segment.phase_slices(fx.readings(spark, sf_dir), 1.0), 1.1, 20)
+    padded = curves.pad_missing_cycles(curve, threshold, 20, list("vcq"))
+    life_of = c.join(curve.groupBy(CELL).agg(F.max(CYC).alias("valid_cycles")), CELL)
+    samples = curves.expand_samples(life_of, 1, threshold).join(c.join(split, "name").select(CELL, "split"), CELL)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+    halves = {f"{x}_{h}": F.sum(total(F.slice(x, 1 + 10 * k, 10))) / (10 * F.col("n_seen")) for x in "vcq" for k, h in enumerate(("charge", "discharge"))}
+    pooled = curves.apply_prefix_mask(samples, padded, list("vcq")).groupBy(CELL, "n_seen", "label", "split").agg(*[e.alias(k) for k, e in halves.items()])
+    return pooled, list(halves)
+
+
+@query()
+def j17_linear_life_model_curves(spark, sf_dir):
+    """The standardised life on pooled, masked curve features: fitted on train, all splits scored."""
+    pooled, features = life_samples(spark, sf_dir)
+    z = curves.standardise_labels(pooled, pooled.where("split = 'train'"))
+    model = metrics.linear_life_model(z.where("split = 'train'"), features, "label_z")
+    scored = metrics.batch_score(model, z, ["split", CELL, "n_seen", F.col("label").cast("double").alias("y")], "mean", "std")
+    m = {k: e.alias(k) for k, e in metrics.error_metrics((0.15, 0.10)).items()}
+    return rounded(scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *m.values()), *m)
+
+
 @query()
 def j18_batch_score(spark, sf_dir):
     p = fx.preds(spark, sf_dir).withColumn("label", F.col("y"))

@@ -106,9 +106,8 @@ def a05_read_nested_json(spark, sf_dir):
     r = fx.readings(spark, sf_dir)
     arrays = r.groupBy(CELL, CYC).agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("p")).select(F.struct(F.col("p.v").alias("voltage")).alias("cycles_interpolated"))
     arrays.write.json(path)
-    doc = spark.read.schema("cycles_interpolated struct<voltage: array<double>>").json(path)
-    zipped = doc.select(F.posexplode("cycles_interpolated.voltage").alias("p", "v")).select((F.col("p") + 1).alias("idx"), "v")
-    return rounded(zipped.groupBy("idx").agg(F.sum("v").alias("total_v")), "total_v")
+    back = readers.read_nested_json(spark, path, {"voltage": "double"}, multi_line=False)
+    return rounded(back.groupBy("idx").agg(F.sum("voltage").alias("total_v")), "total_v")
 
 
 @query(f"WITH {fx.READINGS} SELECT cell_id, count(*) AS n, round(sum(CASE WHEN i > 0 THEN qc ELSE 0 END), 4) AS charge, round(sum(CASE WHEN i > 0 THEN 0 ELSE qd END), 4) AS discharge FROM readings GROUP BY 1")

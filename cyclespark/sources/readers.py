@@ -42,10 +42,13 @@ def read_csv_charset(spark: SparkSession, path: str, charset: str, names: list[s
     return rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns[first : first + len(names)], names, strict=True)])
 
 
-def read_nested_json(spark: SparkSession, path: str, fields: dict[str, str], root: str = "cycles_interpolated") -> DataFrame:
-    """Column arrays below ``root`` to rows, with idx from 1."""
+def read_nested_json(spark: SparkSession, path: str, fields: dict[str, str], root: str = "cycles_interpolated", multi_line: bool = True) -> DataFrame:
+    """Column arrays below ``root`` to rows, with idx from 1.
+
+    A file is one document, or with ``multi_line`` off has one a line.
+    """
     inner = ", ".join(f"{c}: array<{t}>" for c, t in fields.items())
-    rows = spark.read.option("multiLine", True).schema(f"{root} struct<{inner}>").json(path)
+    rows = spark.read.option("multiLine", multi_line).schema(f"{root} struct<{inner}>").json(path)
     zipped = F.arrays_zip(*[F.col(f"{root}.{c}").alias(c) for c in fields])
     return rows.select(F.col("_metadata.file_name").alias("file"), F.posexplode(zipped).alias("p", "x")).select("file", (F.col("p") + 1).alias("idx"), "x.*")
 

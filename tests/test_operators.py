@@ -206,3 +206,45 @@ def test_mask_and_note_take_all_cycles(spark, small):
         tests = [k for k in ks if r["cell_id"] % 2 and k % 10 == 0]
         text = ["Normal cycles: " + ", ".join(str(k) for k in ks if k not in tests), " Reference tests: " + ", ".join(map(str, tests)), ""]
         assert r["note"] == (".".join(text) if tests else "All cycles are normal cycles.")
+
+
+def test_nested_json(spark, tmp_path, monkeypatch, small):
+    """Files of one indented document each, files of one a line, and the query's own."""
+    import json
+
+    from cyclespark.plans import registry
+    from cyclespark.sources import readers
+
+    docs = [{"other": 1, "cycles_interpolated": {"voltage": [1.0, 2.5], "n": [3, 4]}}, {"cycles_interpolated": {"n": [5], "voltage": [7.0]}}]
+    want = [(1, 1.0, 3), (1, 7.0, 5), (2, 2.5, 4)]
+    for k, d in enumerate(docs):
+        (tmp_path / "indented").mkdir(exist_ok=True)
+        (tmp_path / "indented" / f"{k}.json").write_text(json.dumps(d, indent=2))
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, docs)))
+    for path, multi_line in ((tmp_path / "indented", True), (tmp_path / "lines.json", False)):
+        got = readers.read_nested_json(spark, f"file://{path}", {"voltage": "double", "n": "int"}, multi_line=multi_line)
+        assert sorted((r["idx"], r["voltage"], r["n"]) for r in got.collect()) == want
+    used, read = [], readers.read_nested_json
+    monkeypatch.setattr(readers, "read_nested_json", lambda *a, **b: used.append(a) or read(*a, **b))
+    assert registry.queries()["a05_read_nested_json"](spark, small).count() > 0 and used
+
+
+def test_life_model_scores_all_splits(spark, small):
+    """The fit of the query against least squares in numpy."""
+    import numpy as np
+
+    from cyclespark.plans import evaluation_queries, registry
+
+    df, features = evaluation_queries.life_samples(spark, small)
+    rows = df.collect()
+    assert len({r["cell_id"] for r in rows}) > 5 and {r["split"] for r in rows} == {"train", "val", "test"}
+    x, y = np.array([[r[f] for f in features] for r in rows]), np.array([r["label"] for r in rows], float)
+    split = np.array([r["split"] for r in rows])
+    train = split == "train"
+    label = np.array(sorted({(r["cell_id"], r["label"]) for r in rows if r["split"] == "train"}), object)[:, 1].astype(float)
+    z = (y - label.mean()) / label.std()
+    one = np.c_[np.ones(len(x)), x]
+    got = {r["split"]: r for r in registry.queries()["j17_linear_life_model_curves"](spark, small).collect()}
+    p = (one @ np.linalg.lstsq(one[train], z[train], rcond=None)[0]) * label.std() + label.mean()
+    for s in ("train", "val", "test"):
+        assert got[s]["n"] == (split == s).sum() and got[s]["mae"] == pytest.approx(np.abs(p - y)[split == s].mean(), rel=0.02)
