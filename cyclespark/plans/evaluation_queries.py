@@ -11,7 +11,7 @@ from cyclespark.operators import checks, cohort, curves, life, metrics, segment
 
 from . import fixtures as fx
 from .registry import query, rounded
-from .telemetry_queries import CELL, CYC, KEY, LABEL, PHASES
+from .telemetry_queries import CELL, CYC, KEY, LABEL, PHASES, scratch
 
 # --- F: cycles, health and life -------------------------------------------------------------
 
@@ -628,6 +628,9 @@ def life_samples(spark, sf_dir, threshold: int = 6):
 def j17_linear_life_model_curves(spark, sf_dir):
     """The standardised life on pooled, masked curve features: fitted on train, all splits scored."""
     pooled, features = life_samples(spark, sf_dir)
+    path = scratch(spark, "samples")  # read by the fit and the scores, each of several jobs
+    pooled.write.parquet(path)
+    pooled = spark.read.parquet(path)
     z = curves.standardise_labels(pooled, pooled.where("split = 'train'"))
     model = metrics.linear_life_model(z.where("split = 'train'"), features, "label_z")
     scored = metrics.batch_score(model, z, ["split", CELL, "n_seen", F.col("label").cast("double").alias("y")], "mean", "std")
