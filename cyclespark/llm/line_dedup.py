@@ -1,15 +1,13 @@
-"""Line dedup by a suffix array over line ids (operator 1), DataFrame functions only.
-
-The corpus is read as sequences of line ids, one sequence a document. Suffixes are
-sorted by prefix doubling: ranks by the first 1, 2, 4 ... lines come from the ranks of
-two halves, each round a range-partitioned sort of the distinct pairs. A suffix whose
-prefix has no partner left is fully placed and drops out of later rounds, so the rounds
-work on repeated lines only. Suffixes that share a long enough prefix are an interval of
-the LCP array; its member that comes first in the corpus stays, the others are copies.
-Adjacent copies join to the maximal repeated runs, and their lines go.
-
-Only prefixes up to ``min_lines`` have to be ordered: a deeper order splits intervals
-that the shallower one already condemns, and never changes which lines go.
+"""Line dedup by windows of line ids (operator 1), DataFrame functions only.
+
+The corpus is read as sequences of line ids, one sequence a document. Windows of 1, 2 and
+3 lines are named by doubling: the names of a window come from those of two halves. A window
+that has no equal drops out of later rounds, so the rounds work on repeated lines only. Of
+equal windows the one that comes first in the corpus stays, the others are copies; their
+lines go, and adjacent ones join to the maximal repeated runs.
+
+No suffix array is built and no LCP is read: a longer run is the union of its windows of
+``min_lines``, which repeat with it, so grouping windows gives the same deletions.
 """
 
 from __future__ import annotations
