@@ -194,20 +194,21 @@ def pack(
 ) -> DataFrame:
     """Add sequence_id and offset to rows that have ``length`` (1 to ``size``).
 
-    Rows are dealt into blocks of about ``block`` by a hash of all their columns, so no
-    task holds more and a lost one is redone alike. A block wastes about one sequence.
+    Rows are written once with a number each and dealt into blocks of about ``block`` by a hash
+    of the number, so copies of a row don't meet and a lost task is redone alike. A block
+    wastes about one sequence.
     Weights choose the sequence among those that fit; all three capacities always hold,
     but for a piece that exceeds one of them alone. Copies of rows are packed each; an
     empty table gives an empty result.
     """
-    n = parts.count()
-    blocks = max(1, math.ceil(n / block))
-    keyed = parts.withColumn("_block", F.pmod(F.xxhash64(*parts.columns), F.lit(blocks)))
+    numbered = cut(parts.withColumn("_number", F.monotonically_increasing_id()), "pieces")
+    blocks = max(1, math.ceil(numbered.count() / block))
+    keyed = numbered.withColumn("_block", F.pmod(F.xxhash64("_number"), F.lit(blocks)))
     schema = ", ".join([*[f"`{c}` {t}" for c, t in parts.dtypes], "sequence_id long, offset long"])
     columns = parts.columns
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(columns, kind="stable", ignore_index=True)
+        b = b.sort_values([*columns, "_number"], kind="stable", ignore_index=True)
         bins, offsets = best_fit(b["length"].to_numpy(), (size, max_documents, max_attention), weights, score)
         return b[columns].assign(sequence_id=(int(key[0]) << 32) | bins, offset=offsets)
 
@@ -217,4 +218,4 @@ def pack(
 def packed_documents(docs: DataFrame, path: str, *, key: str = "doc_id", **capacities) -> DataFrame:
     """Pieces of all documents with a digest of their ids, packed. The ids stay with ``pieces``."""
     cuts = pieces(docs, path, key=key).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(cut(cuts, "pieces"), **capacities)
+    return pack(cuts, **capacities)

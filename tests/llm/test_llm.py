@@ -258,6 +258,15 @@ def test_packing(spark, docs, rows, empty):
     assert packing.packed_documents(empty, path).count() == 0
 
 
+def test_packing_of_repeated_rows(spark):
+    """Copies of one row are dealt over the blocks."""
+    rows = spark.createDataFrame([(1, 0, 0, 100, 7)] * 2000, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    packed = packing.pack(rows, size=256, block=100).collect()
+    per_block = Counter(r["sequence_id"] >> 32 for r in packed)
+    assert len(packed) == 2000 and len(per_block) == 20 and max(per_block.values()) < 200
+    assert all(r["offset"] + r["length"] <= 256 for r in packed)
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_vector_capacities(score):
     rng = np.random.default_rng(3)
