@@ -19,11 +19,18 @@ def shared_folder(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("cyclespark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-cyclespark-")
         spark.conf.set("cyclespark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _folder(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -31,8 +38,40 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     Parquet table is preferred to ``checkpoint()``, which runs its last stage twice.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made.append(path)
+    return _folder(df, path)
+
+
+#: Folders that this session's operators have written and not removed, oldest first.
+made: list[str] = []
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders in the shared store."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in made:
+            made.remove(path)
+
+
+class Tables:
+    """The intermediate tables of one run of an operator, in a folder of their own.
+
+    A table is dropped once all that reads it has been written itself, so a lost executor
+    never needs it again.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        made.append(self.path)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        return _folder(df, f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        remove(self.spark, [f"{self.path}/{n}" for n in names])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -6,14 +6,14 @@ into ``chunks`` parts, so that some part of any such pair differs in at most
 ``errors // chunks`` symbols, and each part is indexed once for every choice of as many
 symbols to leave out. So the join misses no pair under the signature distance; the
 distance is set so that a pair at the similarity asked for exceeds it with a probability
-under 1e-5. Candidates are confirmed on the full sets.
+under 2e-5. Candidates are confirmed on the full sets.
 
 Equal sets are one class. In each bucket of the index the members of about one size are
 first compared with the smallest and the largest of them, which joins a group of copies with
-two pairs a member. Only where a bucket still holds different components its members
-are compared further, by exact prefixes: sorted by how frequent its shingles are, two sets
-over the similarity share one of the rarest fifth. So no link between components is lost
-and none inside one is paid for, and texts that share a frequent passage only don't meet.
+two pairs a member. Members of buckets that still hold different components are
+compared further by exact prefixes: sorted by how frequent its shingles are, two sets over the
+similarity share one of the rarest few, fewer the nearer their sizes are. So copies that differ from a
+common text each by their own words meet at those words only, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Tables
 
 _words: dict[bytes, int] = {}
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -108,26 +108,19 @@ def sketch(docs: DataFrame, key: str, text: str, width: int, symbols: int) -> Da
     return docs.select(key, text).mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, n long, s1 long, s2 long, sig binary")
 
 
-SLOTS = 1 << 20  # bits of the map of wanted ids
-COUNTERS = 1 << 16  # counters of shingle frequencies
+def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int, most_slots: int = 1 << 24) -> DataFrame:
+    """(columns of ids, r, n, shingles as array<long>) for each text of ``ids``, which has distinct keys.
 
-
-def _slot(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int")
-
-
-def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, shingles as array<long>) of the whole texts of ``ids`` (column key).
-
-    A bitmap of SLOTS bits, whatever the number of ids, keeps most other texts from being
-    shingled; the exact semi join follows on the sets.
+    r tells the texts of one key apart, n is the size of the set. A bitmap keeps most other
+    texts from being shingled; it has about 16 bits an id, up to ``most_slots``. The exact join
+    follows on the sets.
     """
-    slot = _slot(key)
+    slots = min(most_slots, max(1 << 16, 1 << int(16 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
     bit = F.expr("shiftleft(1L, _slot % 64)")
-    words = ids.select(slot.alias("_slot")).groupBy(F.floor(F.col("_slot") / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
-    asked = np.zeros(SLOTS // 64, np.int64)
-    for r in words:  # SLOTS / 64 rows at most
-        asked[r["w"]] = r["bits"]
+    words = ids.select(slot.alias("_slot")).groupBy(F.floor(F.col("_slot") / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    asked = np.zeros(slots // 64, np.int64)
+    asked[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)  # slots / 64 rows at most
     wanted = docs.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,11 +129,13 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int)
             at = b["slot"].to_numpy()
             b = b[(bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0]
             if len(b):
-                yield pd.DataFrame({key: b[key], "shingles": [shingles(t, width).view(np.int64) for t in b[text]]})
+                sets = [shingles(t, width).view(np.int64) for t in b[text]]
+                r = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                yield pd.DataFrame({key: b[key], "r": r, "n": [len(s) for s in sets], "shingles": sets})
 
     rows = docs.select(key, text, slot.alias("slot"))
-    sets = rows.mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, shingles array<long>")
-    return sets.join(ids.select(key).distinct(), key, "left_semi")
+    sets = rows.mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, r long, n long, shingles array<long>")
+    return ids.join(sets, key)
 
 
 def keys_of(sketches: DataFrame, plan: list[tuple[int, ...]]) -> DataFrame:
@@ -180,84 +175,104 @@ def near_signatures(pairs: DataFrame, reps: DataFrame, errors: int, share: float
     return both.select("a", "b", "ga", "gb").mapInPandas(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union, on the full sets."""
-    ids = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
-    sets = cut(full_sets(docs, ids, key, text, width), "near-sets")
-    one, two = (sets.select(F.col(key).alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union, on the full sets (id, shingles)."""
+    one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = pairs.join(one, "a").join(two, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
+    return both.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select(*pairs.columns).distinct()
 
 
-def prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that can reach ``percent`` on their full sets.
+FEW = 30  # a shingle that so many sets hold at most is rare
 
-    Shingles that only one of the sets has are in no intersection: sets with too many of them
-    go, and a pair's intersection is at most what either has besides them.
-    In one order of all shingles, rare ones first, two such sets share one of the first
-    n - ceil(n * percent / 100) + 1 of each. Frequencies are counted in COUNTERS counters, so what
-    is broadcast has a fixed size; equal counts are ordered by the hash.
-    """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            if len(b):
-                total += np.bincount(np.concatenate(b["shingles"].tolist()) & (COUNTERS - 1), minlength=COUNTERS)
-        slot = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": slot, "n": total[slot]})
+def prefixes(sets: DataFrame, percent: int, steps: int = 3) -> DataFrame:
+    """(token, size, large, id, c, far): where sets of different components could meet.
 
-    counts = sets.select("shingles").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    table = np.zeros(COUNTERS, np.int64)
-    for r in counts:  # COUNTERS rows at most
-        table[r["slot"]] = r["n"]
-    often = sets.sparkSession.sparkContext.broadcast(table)
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = []
-            for k, c, u, x in zip(b["id"], b["c"], b["u"], b["shingles"], strict=True):
-                n = len(x)
-                first = x[np.lexsort((x, often.value[x & (COUNTERS - 1)]))][: n - (n * percent + 99) // 100 + 1]
-                found.append(pd.DataFrame({"token": first, "id": k, "c": c, "n": n, "u": u}))
-            if found:
-                yield pd.concat(found, ignore_index=True)
-
-    alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-    alone = alone.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
-    placed = placed.join(alone, "id", "left").na.fill(0, ["u"])
-    able = sets.join(placed, "id").where(100 * (F.size("shingles") - F.col("u")) >= percent * F.size("shingles"))
-    tokens = able.select("id", "c", "u", "shingles").mapInPandas(prefixes, "token long, id long, c long, n long, u long")
-    tokens = cut(tokens, "near-prefixes")
-    mixed = tokens.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("token")
-    tokens = cut(tokens.join(mixed, "token", "left_semi"), "near-tokens")
-    one = tokens.toDF("token", "a", "ca", "na", "ua")
-    two = tokens.toDF("token", "b", "cb", "nb", "ub")
-    common = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))
-    close = 100 * common >= percent * (F.col("na") + F.col("nb") - common)
-    return one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
-
-
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    In one order of all shingles, rare ones first, a set of n and one of m that share at least
+    t = percent * (n + m) / (100 + percent) of them also share one of the first n - t + 1
+    and m - t + 1 of each. So the smaller of two sets shows its first shingles for a partner
+    of its own size at least, under its class of sizes; the larger one shows, under each class
+    of sizes that its partner can have, those that this size leaves. Shingles that one
+    set alone has come first and meet nothing. far: how many shingles of a set are rare.
+    """
+    each = sets.select("id", "c", "r", "n", F.explode("shingles").alias("token"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.min("c").alias("low"), F.max("c").alias("high"))
+    counts = counts.where("f > 1").select("token", "f", (F.col("low") != F.col("high")).alias("mixed"))
+    listed = each.join(counts, "token").groupBy("id", "c", "r", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token", "mixed"))).alias("t"))
+    able = listed.where(100 * F.size("t") >= percent * F.col("n"))
+    n, alone = F.col("n"), F.col("n") - F.size("t")
+    width = np.log(100 / percent) / steps
+    size_class = lambda x: F.floor(F.log(x.cast("double")) / width).cast("int")
+    shared = lambda total: F.ceil(percent * total / (100 + percent) - 1e-9)
+    least = F.ceil(percent * n / 100 - 1e-9)
+
+    def shown(partner: Column, cls: Column, large: bool) -> Column:
+        first = F.slice("t", 1, F.greatest(n - shared(n + partner) + 1 - alone, F.lit(0)).cast("int"))
+        return F.transform(F.filter(first, lambda x: x["mixed"]), lambda x: F.struct(x["token"].alias("token"), cls.alias("size"), F.lit(large).alias("large")))
+
+    smallest = lambda j: F.greatest(least, F.ceil(F.exp(j * width) * (1 - 1e-9)))
+    as_large = F.flatten(F.transform(F.sequence(size_class(least), size_class(n)), lambda j: shown(smallest(j), j, True)))
+    far = (alone + F.size(F.filter("t", lambda x: x["f"] <= FEW))).alias("far")
+    return able.select("id", "c", far, F.explode(F.concat(shown(n, size_class(n), False), as_large)).alias("x")).select("x.*", "id", "c", "far")
+
+
+def mixed_groups(met: DataFrame) -> DataFrame:
+    """Groups (token, size) of ``prefixes`` that hold both roles and several components: n, its most common
+    component (main) and, as (far, id, c), the member that is nearest to the frequent shingles (centre)."""
+    of = met.groupBy("token", "size", "c").agg(F.count(F.lit(1)).alias("k"), F.count_if("large").alias("l"), F.min(F.struct("far", "id", "c")).alias("centre"))
+    group = of.groupBy("token", "size").agg(
+        F.sum("k").alias("n"), F.sum("l").alias("l"), F.max(F.struct("k", "c"))["c"].alias("main"), F.min("centre").alias("centre"), F.count(F.lit(1)).alias("components")
+    )
+    return group.where("components > 1 and l > 0 and l < n").select("token", "size", "n", "main", "centre")
+
+
+def prefix_links(t: Tables, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components c of ``sets`` (id, c, r, n, shingles); enough of them to join all that are linked.
+
+    The centre of a large group is compared with its members first. Then only pairs of different
+    components are left, which never needs two members of a group's main component.
+    """
+    met = prefixes(sets, percent)
+    met = t.write(met, "met")
+    met = t.write(met.join(mixed_groups(met), ["token", "size"]), "groups")
+    t.drop("met")
+    spokes = met.where((F.col("n") > FEW) & (F.col("c") != F.col("centre.c"))).select(F.col("centre.id").alias("a"), F.col("id").alias("b"), F.col("centre.c").alias("ca"), F.col("c").alias("cb"))
+    first = t.write(confirmed(spokes.distinct(), sets, percent), "spokes")
+    joined = components(t, first.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "spoke-components").withColumnRenamed("id", "c")
+    met = met.select("token", "size", "large", "id", "c", "far").join(joined, "c", "left")
+    met = t.write(met.withColumn("c", F.coalesce("component", "c")).drop("component"), "joined")
+    met = t.write(met.join(mixed_groups(met).select("token", "size", "main"), ["token", "size"]), "open-groups")
+    side = lambda large, name: met.where("large" if large else "not large").select("token", "size", "main", F.col("id").alias(name), F.col("c").alias(f"c{name}"))
+    small, large = side(False, "a"), side(True, "b").drop("main")
+    on = ["token", "size"]
+    pairs = small.where("ca != main").join(large, on).where("ca != cb").select("a", "b")
+    others = small.where("ca = main").join(side(True, "b").where("cb != main").drop("main"), on).select("a", "b")
+    pairs = t.write(pairs.union(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "prefix-pairs")
+    return first.select("a", "b").union(t.write(confirmed(pairs, sets, percent), "prefix-links"))
+
+
+def components(t: Tables, edges: DataFrame, name: str) -> DataFrame:
     """(id, component): smallest id of each connected part, for all ids in ``edges`` (a, b).
 
     Alternates large-star and small-star steps, which only ever pass on minima, so a hub
     is never gathered; ends when the edges stop changing.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    for _ in range(rounds):
+    mark = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first()
+    e = t.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{name}-0")
+    was, at = mark(e), 0
+    while True:
         both = e.union(e.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        new = cut(small.where("u != v").distinct(), "edges")
-        mark = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first()
-        same = mark(new) == mark(e)
-        e = new
-        if same:
-            break
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+        e = t.write(small.where("u != v").distinct(), f"{name}-{at + 1}")
+        now = mark(e)
+        t.drop(f"{name}-{at}")
+        at += 1
+        if now == was:
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+        was = now
 
 
 def near_duplicates(
@@ -280,38 +295,41 @@ def near_duplicates(
     repeat a key are judged as the texts they hold: the key's component is that of all
     its texts. An empty table gives an empty result.
     """
+    t = Tables(docs.sparkSession, "near")
     known = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sketches = cut(sketch(known, "id", "text", width, symbols), "near-sketches")
+    sketches = t.write(sketch(known, "id", "text", width, symbols), "sketches")
     members = sketches.where("n > 0")
     classes = members.groupBy("s1", "s2").agg(F.min("id").alias("id"))
-    reps = cut(members.join(classes, ["s1", "s2", "id"], "left_semi").dropDuplicates(["id", "s1", "s2"]), "near-classes")
+    reps = t.write(members.join(classes, ["s1", "s2", "id"], "left_semi").dropDuplicates(["id", "s1", "s2"]), "classes")
     keys = keys_of(reps, index_plan(symbols, errors, chunks))
     # one band of sizes holds what can be similar, but for its two neighbours
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("int")
     ends = keys.groupBy("bucket", band.alias("band")).agg(F.min(F.struct("n", "id")).alias("low"), F.max(F.struct("n", "id")).alias("high"))
     over = Window.partitionBy("bucket")
     ends = ends.withColumns({"least": F.min("low").over(over), "most": F.max("high").over(over), "next": F.lead("low").over(over.orderBy("band"))})
-    ends = cut(ends.where("least.id != most.id").select("bucket", "band", F.col("low.id").alias("low"), F.col("high.id").alias("high"), F.col("next.id").alias("next")), "near-ends")
-    buckets = cut(keys.withColumn("band", band).join(ends, ["bucket", "band"]), "near-buckets")
-    share = percent / 100
-
-    def links(pairs: DataFrame) -> DataFrame:
-        return confirmed(cut(near_signatures(pairs, reps, errors, share), "near-pairs"), known, "id", "text", width, percent)
-
+    ends = t.write(ends.where("least.id != most.id").select("bucket", "band", F.col("low.id").alias("low"), F.col("high.id").alias("high"), F.col("next.id").alias("next")), "ends")
+    buckets = t.write(keys.withColumn("band", band).join(ends, ["bucket", "band"]), "buckets")
     pair = lambda x, y: buckets.where(f"{x} != {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     across = ends.where("next is not null and next != high").select(F.least("high", "next").alias("a"), F.greatest("high", "next").alias("b"))
-    stars = cut(links(pair("id", "low").union(pair("id", "high")).union(across).distinct()), "near-links")
-    joined = cut(components(stars), "near-components")
+    stars = pair("id", "low").union(pair("id", "high")).union(across).distinct()
+    stars = t.write(near_signatures(stars, reps, errors, percent / 100), "star-pairs")
+    ids = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
+    sets = t.write(full_sets(known, ids, "id", "text", width), "star-sets")
+    stars = t.write(confirmed(stars, sets, percent), "stars")
+    t.drop("star-sets", "star-pairs", "ends")
+    joined = t.write(components(t, stars, "star-components"), "star-classes")
     # buckets that hold several components so far
     placed = buckets.select("bucket", "id").join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    placed = cut(placed, "near-placed")
+    placed = t.write(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least != most").select("bucket")
-    open_ = cut(placed.join(mixed, "bucket", "left_semi").select("id", "c").distinct(), "near-open")
-    sets = cut(full_sets(known, open_.select("id"), "id", "text", width), "near-open-sets")
-    edges = stars.union(links(prefix_pairs(sets, open_, percent)))
+    open_ = t.write(placed.join(mixed, "bucket", "left_semi").select("id", "c").distinct(), "open")
+    t.drop("placed", "buckets", "classes")
+    sets = t.write(full_sets(known, open_, "id", "text", width), "open-sets")
+    edges = joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(prefix_links(t, sets, percent))
     # copies of a set reach its class; a key with several texts joins their classes
     copies = members.join(classes.withColumnRenamed("id", "first"), ["s1", "s2"]).where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    final = components(edges.union(copies))
+    final = components(t, edges.union(copies), "components")
+    t.drop("open-sets", "groups", "joined", "open-groups", "prefix-pairs")
     made = ("n_shingles", "component_id", "kept")
     sizes = sketches.select(F.col("id").alias("_id"), F.col("n").alias("n_shingles"))
     placed = sizes.join(final, F.col("_id") == F.col("id"), "left")
