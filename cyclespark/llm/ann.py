@@ -122,8 +122,8 @@ def nearest(
 
     The model is fitted on at most ``sample`` vectors, the first by a hash of their ids;
     all vectors are coded and searched. Each block of ``block`` vectors meets each block
-    of ``query_block`` queries in a task of its own, ranks its ``keep`` best codes again
-    by exact products, and hands on ``k``.
+    of ``query_block`` queries in a task of its own, ranks its ``keep`` best codes and all
+    that tie with the last of them again by exact products, and hands on ``k``.
 
     Returns query_id, rank (from 1), vec_id, score. Null, zero and non-finite vectors, null
     ids and vectors of an unusual dimension take no part. A query's own id is no
@@ -173,7 +173,8 @@ def nearest(
                 for t, c in zip(table[1:], codes[1:], strict=True):
                     rough += t.take(c)
                 rough[ids == query] = -np.inf
-                best = np.argpartition(-rough, keep)[:keep] if len(rough) > keep else np.arange(len(rough))
+                # with all that tie with the last one kept, so equal vectors go by id
+                best = np.flatnonzero(rough >= np.partition(rough, len(rough) - keep)[len(rough) - keep]) if len(rough) > keep else np.arange(len(rough))
                 best = best[ids[best] != query]
                 exact = (vectors[best] * v).sum(1)
                 best, exact = (x[np.lexsort((ids[best], -exact))[:k]] for x in (best, exact))

@@ -253,6 +253,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """Digests of the ids and of the text decoded from them, a row a document."""
-    ids = encode(docs.select(key, "text"), path)
+    # pandas turns whole numbers beside a null into floats: keys travel as strings
+    ids = encode(docs.select(F.col(key).cast("string").alias("_key"), "text"), path)
     ids = ids.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256)})
-    return decode(ids, path).withColumn("decoded_sha256", F.sha2(F.col("text"), 256)).drop("text")
+    back = decode(ids, path).withColumn("decoded_sha256", F.sha2(F.col("text"), 256))
+    return back.select(F.col("_key").cast(docs.schema[key].dataType).alias(key), "n_tokens", "ids_sha256", "decoded_sha256")

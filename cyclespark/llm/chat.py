@@ -67,17 +67,32 @@ class Template:
             a = open_ + self.escape(role) + mid
         return [(a, False), (self.escape(text), loss), (b, False)]
 
-    def read(self, turn: str) -> tuple[str, str]:
-        """The role and the text of a formatted turn."""
+    def read(self, text: str) -> tuple[list[tuple[str, str]], str]:
+        """(role, text) of the whole turns that ``text`` begins with, and what is left of it.
+
+        Borders come from the marks alone, as no escaped text holds one.
+        """
         open_, mid, close = self.other
-        if turn.startswith(open_):
-            role, _, text = turn[len(open_) : -len(close)].partition(mid)
-            return self.unescape(role), self.unescape(text)
-        # the longest frame first: a text can't hold the marks of another
-        for role, (a, b) in sorted(self.frames.items(), key=lambda x: -len(x[1][0])):
-            if turn.startswith(a) and turn.endswith(b):
-                return role, self.unescape(turn[len(a) : len(turn) - len(b)])
-        raise ValueError("no frame of the template fits")
+        # the longest opening first: one can begin with another
+        known = sorted([(open_, close, None), *[(a, b, role) for role, (a, b) in self.frames.items()]], key=lambda x: -len(x[0]))
+        turns, at = [], 0
+        while at < len(text):
+            frame = next((x for x in known if text.startswith(x[0], at)), None)
+            if frame is None:
+                if any(a.startswith(text[at:]) for a, _, _ in known):
+                    break
+                raise ValueError("no frame of the template fits")
+            begin = at + len(frame[0])
+            end = text.find(frame[1], begin)
+            if end < 0:
+                break
+            role, inner = frame[2], text[begin:end]
+            if role is None:
+                role, _, inner = inner.partition(mid)
+                role = self.unescape(role)
+            turns.append((role, self.unescape(inner)))
+            at = end + len(frame[1])
+        return turns, text[at:]
 
 
 SEGMENTS = "array<struct<text:string,loss:boolean>>"
@@ -99,7 +114,9 @@ def format_turns(turns: DataFrame, template: Template | None = None) -> DataFram
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
     rows = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    kinds = dict(turns.dtypes)
+    # pandas turns whole numbers beside a null into floats: they travel as strings
+    kinds = turns.schema
+    rows = rows.withColumns({"conv_id": F.col("conv_id").cast("string"), "turn": F.col("turn").cast("string")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: object = None
@@ -121,18 +138,18 @@ def format_turns(turns: DataFrame, template: Template | None = None) -> DataFram
                 complete=[s in template.final for s in states],
             )
 
-    return rows.mapInPandas(
-        run,
-        f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, segments {SEGMENTS}, state string, valid boolean, complete boolean",
-    )
+    made = rows.mapInPandas(run, f"conv_id string, turn string, role string, segments {SEGMENTS}, state string, valid boolean, complete boolean")
+    return made.withColumns({c: F.col(c).cast(kinds[c].dataType) for c in ("conv_id", "turn")})
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """Digests of each conversation, read from the rows of ``format_turns`` as they stand.
+    """Digests of each conversation, read from the formatted text of ``format_turns``.
 
-    Returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
-    valid and complete. The rows must come in the order and partitions of ``format_turns``;
-    digests are updated turn by turn.
+    The segments of a conversation are one text, however they are cut into rows; its turns are
+    found by the marks of the template, the learnt text by the loss flags. Returns conv_id,
+    n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid and complete. The
+    rows must come in the order and partitions of ``format_turns``; the text streams through
+    a buffer that holds one unfinished turn. A text that ends inside a turn is an error.
     """
     template = template or Template()
 
@@ -140,22 +157,29 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
         columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid", "complete"]
         begun, key = False, None
         n = loss_chars = chars = 0
+        rest = ""
         turns = loss = hashlib.sha256()
         valid = complete = True
         done: list[tuple] = []
-        row = lambda: (key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, valid, complete)
+
+        def row() -> tuple:
+            if rest:
+                raise ValueError("a conversation ends inside a turn")
+            return key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, valid, complete
+
         for b in batches:
             for conv, segments, ok, end in zip(b["conv_id"], b["segments"], b["valid"], b["complete"], strict=True):
-                conv = None if pd.isna(conv) else int(conv) if not isinstance(conv, str) else conv
+                conv = None if pd.isna(conv) else conv
                 if not begun or conv != key:
                     if begun:
                         done.append(row())
                     begun, key, n, loss_chars, chars, turns, loss = True, conv, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-                who, said = template.read("".join(s["text"] for s in segments))
-                turns.update(f"{who}\n{said}\n".encode())
+                read, rest = template.read(rest + "".join(s["text"] for s in segments))
+                for who, said in read:
+                    turns.update(f"{who}\n{said}\n".encode())
                 learnt = "".join(template.unescape(s["text"]) for s in segments if s["loss"])
                 loss.update(learnt.encode())
-                n, loss_chars = n + 1, loss_chars + len(learnt)
+                n, loss_chars = n + len(read), loss_chars + len(learnt)
                 chars += sum(len(s["text"]) for s in segments)
                 valid, complete = bool(ok), bool(end)
             if done:
@@ -164,8 +188,8 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
         if begun:
             yield pd.DataFrame([row()], columns=columns)
 
-    kind = dict(formatted.dtypes)["conv_id"]
-    return formatted.mapInPandas(
-        run,
-        f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, complete boolean",
+    kind = formatted.schema["conv_id"].dataType
+    made = formatted.select(F.col("conv_id").cast("string").alias("conv_id"), "segments", "valid", "complete").mapInPandas(
+        run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, complete boolean"
     )
+    return made.withColumn("conv_id", F.col("conv_id").cast(kind))

@@ -56,6 +56,17 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
             made.remove(path)
 
 
+def free(spark: SparkSession, paths: list[str], read: DataFrame) -> None:
+    """Remove those of ``paths`` that ``read`` doesn't need.
+
+    Spark frees the shuffle files of plans that nothing refers to any more when the driver's
+    JVM collects garbage, so that is asked for as well.
+    """
+    needed = {part for f in read.inputFiles() for part in f.split("/")}
+    remove(spark, [p for p in paths if p.rsplit("/", 1)[-1] not in needed])
+    spark.sparkContext._jvm.System.gc()
+
+
 class Tables:
     """The intermediate tables of one run of an operator, in a folder of their own.
 

@@ -190,13 +190,16 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(base.alias("base"), resolved(detections(joined)).alias("rest"))
 
     words = F.regexp_extract_all(F.translate(whole, UPPER, LOWER), F.lit(LOWER_WORD), F.lit(0))
-    out = docs.withColumn("_scan", F.when(gate, let(F.array_join(words, " "), one)))
+    made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    carry = [c for c in docs.columns if c not in made]
+    n_words = F.regexp_count(whole, F.lit(WORD)).cast("long")
+    out = docs.select(F.struct(*carry).alias("_rest"), n_words.alias("n_words"), F.when(gate, let(F.array_join(words, " "), one)).alias("_scan"))
     starts = F.flatten(F.transform(F.col("_scan.base"), lambda b: b["at"]))
     labels = F.transform(F.filter(F.col("_scan.base"), lambda b: F.size(b["at"]) > 0), lambda b: b["label"])
-    out = out.withColumns({"n_words": F.regexp_count(whole, F.lit(WORD)).cast("long"), "_starts": starts, "_labels": labels})
+    out = out.withColumns({"_starts": starts, "_labels": labels})
     every = F.array_sort(F.array_union(F.col("_labels"), F.col("_scan.rest.labels")))
     based = F.size("_labels") > 0
-    return out.withColumns(
+    out = out.withColumns(
         {
             "n_base": F.coalesce(F.when(F.col("_scan").isNotNull(), F.size("_starts")), F.lit(0)).cast("long"),
             "first_word": F.array_min("_starts").cast("long"),
@@ -205,7 +208,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             "labels": F.coalesce(F.array_join(every, ","), F.lit("")),
             "score": F.coalesce(F.greatest(F.col("_scan.rest.score"), F.when(based, 0.7).otherwise(0.0)), F.lit(0.0)),
         }
-    ).drop("_scan", "_starts", "_labels")
+    )
+    return out.select(*[F.col("_rest")[c].alias(c) for c in carry], *made)
 
 
 def gated(text: str) -> bool:

@@ -133,17 +133,18 @@ def pieces(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text
         for b in batches:
             for at in range(0, len(b), 1000):
                 part = b.iloc[at : at + 1000]
-                encoded = _open[path].encode(part[text].fillna("").tolist())
+                encoded = _open[path].encode(part["_text"].fillna("").tolist())
                 rows = [
                     (k, start // size, start, min(size, len(ids) // 4 - start), ids[4 * start : 4 * (start + size)])
-                    for k, ids in zip(part[key], [x + end for x in encoded], strict=True)
+                    for k, ids in zip(part["_key"], [x + end for x in encoded], strict=True)
                     for start in range(0, len(ids) // 4, size)
                 ]
-                out = pd.DataFrame(rows, columns=[key, "piece", "start", "length", "ids"])
-                yield out.astype({key: part[key].dtype})
+                yield pd.DataFrame(rows, columns=["_key", "piece", "start", "length", "ids"])
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, piece int, start long, length long, ids binary")
+    # pandas turns whole numbers beside a null into floats: keys travel as strings
+    cuts = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
+    cuts = cuts.mapInPandas(run, "_key string, piece int, start long, length long, ids binary")
+    return cuts.select(F.col("_key").cast(docs.schema[key].dataType).alias(key), "piece", "start", "length", "ids")
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights: tuple[float, float, float], score: str) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +189,7 @@ def pack(
     size: int = 2048,
     max_documents: int = 2048,
     max_attention: float = 2048.0**2,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = (1.0, 0.3, 0.3),
     score: str = "norm",
     block: int = 10_000,
 ) -> DataFrame:
@@ -197,22 +198,24 @@ def pack(
     Rows are written once with a number each and dealt into blocks of about ``block`` by a hash
     of the number, so copies of a row don't meet and a lost task is redone alike. A block
     wastes about one sequence.
-    Weights choose the sequence among those that fit; all three capacities always hold,
-    but for a piece that exceeds one of them alone. Copies of rows are packed each; an
+    Weights (of tokens, documents, attention cost) order the pieces and choose the sequence among
+    those that fit; all three capacities always hold, but for a piece that exceeds one of them alone. Copies of rows are packed each; an
     empty table gives an empty result.
     """
-    numbered = cut(parts.withColumn("_number", F.monotonically_increasing_id()), "pieces")
+    carry = [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    numbered = parts.select(F.monotonically_increasing_id().alias("_number"), F.col("length").cast("long").alias("_length"), F.struct(*carry).alias("_rest"))
+    numbered = cut(numbered, "pieces")
     blocks = max(1, math.ceil(numbered.count() / block))
-    keyed = numbered.withColumn("_block", F.pmod(F.xxhash64("_number"), F.lit(blocks)))
-    schema = ", ".join([*[f"`{c}` {t}" for c, t in parts.dtypes], "sequence_id long, offset long"])
-    columns = parts.columns
+    keyed = numbered.select("_number", "_length", F.pmod(F.xxhash64("_number"), F.lit(blocks)).alias("_block"))
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values([*columns, "_number"], kind="stable", ignore_index=True)
-        bins, offsets = best_fit(b["length"].to_numpy(), (size, max_documents, max_attention), weights, score)
-        return b[columns].assign(sequence_id=(int(key[0]) << 32) | bins, offset=offsets)
+        b = b.sort_values("_number", ignore_index=True)
+        bins, offsets = best_fit(b["_length"].to_numpy(), (size, max_documents, max_attention), weights, score)
+        return pd.DataFrame({"_at": b["_number"], "sequence_id": (int(key[0]) << 32) | bins, "offset": offsets})
 
-    return keyed.groupBy("_block").applyInPandas(run, schema)
+    placed = keyed.groupBy("_block").applyInPandas(run, "_at long, sequence_id long, offset long")
+    joined = numbered.join(placed, F.col("_number") == F.col("_at"))
+    return joined.select(*[F.col("_rest")[c].alias(c) for c in carry], "sequence_id", "offset")
 
 
 def packed_documents(docs: DataFrame, path: str, *, key: str = "doc_id", **capacities) -> DataFrame:

@@ -5,7 +5,7 @@ around seeds become lexical patterns; patterns and the values they enclose form
 bipartite graph, whose two sides are scored in turns: a pattern by the share of its
 values that are believed to be of a kind, a value by the patterns around it. Values that
 look like identifiers, that no form found, and that stand in patterns of high confidence
-are added.
+are added, and support further patterns in the next round.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import Tables, cut, let
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -28,6 +28,12 @@ FORMS = {
 #: What looks like an identifier: a word with a digit or an at sign.
 TOKEN = r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
 
+#: A word of a pattern, and what may stand between a span and the next one.
+ONE = r"[^ \t-\r]+"
+CLOSING = r"[.,;:!?)\"']*[ \t-\r]*"
+#: Words make a pattern if they begin and end within so many code points of the span.
+REACH = 1000
+
 SPAN = "struct<s:int,e:int,t:string>"
 
 
@@ -114,14 +120,30 @@ def _marked(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
     )
     every = F.concat(F.col("seeds"), F.transform(free, lambda x: F.struct(F.lit(None).cast("string").alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("v"))))
 
+    size = F.length(whole)
+
+    def before(x: Column, words: str) -> Column:
+        """The last words before a span; a short look back where it holds them whole, else a long one."""
+
+        def look(n: int) -> Column:
+            part = F.substring(whole, F.greatest(x["s"] - n + 1, F.lit(1)), F.least(x["s"], F.lit(n)))
+            return F.regexp_extract(part, rf"(?:^|[ \t-\r])({words})[ \t-\r]*$", 1), part.rlike(rf"[ \t-\r]{words}[ \t-\r]*$")
+
+        (near, whole_near), (wide, whole_wide) = look(40), look(REACH)
+        return F.lower(F.when((x["s"] <= 40) | whole_near, near).when((x["s"] <= REACH) | whole_wide, wide).otherwise(""))
+
+    def after(x: Column) -> Column:
+        def look(n: int) -> Column:
+            part = F.substring(whole, x["e"] + 1, F.lit(n))
+            return F.regexp_extract(part, rf"^{CLOSING}({ONE})", 1), part.rlike(rf"^{CLOSING}{ONE}[ \t-\r]")
+
+        (near, whole_near), (wide, whole_wide) = look(30), look(REACH)
+        return F.lower(F.when((size - x["e"] <= 30) | whole_near, near).when((size - x["e"] <= REACH) | whole_wide, wide).otherwise(""))
+
     def framed(x: Column) -> Column:
-        before = F.substring(whole, F.greatest(x["s"] - 39, F.lit(1)), F.least(x["s"], F.lit(40)))
-        after = F.substring(whole, x["e"] + 1, F.lit(30))
         return F.struct(
             x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"),
-            F.lower(F.regexp_extract(before, r"([^ \t-\r]+)[ \t-\r]*$", 1)).alias("l1"),
-            F.lower(F.regexp_extract(before, r"([^ \t-\r]+[ \t-\r]+[^ \t-\r]+)[ \t-\r]*$", 1)).alias("l2"),
-            F.lower(F.regexp_extract(after, r"^[.,;:!?)\"']*[ \t-\r]*([^ \t-\r]+)", 1)).alias("r1"),
+            before(x, ONE).alias("l1"), before(x, rf"{ONE}[ \t-\r]+{ONE}").alias("l2"), after(x).alias("r1"),
         )
 
     return rows.withColumn("found", F.coalesce(F.transform(every, framed), F.array())).drop("_base")
@@ -131,35 +153,36 @@ def discovered(marked: DataFrame, *, rounds: int = 3, support: int = 5, confiden
     """(_row, k, s, e) of words that patterns of high confidence enclose.
 
     Patterns are the two words before, and the word before with the word after. Copies of
-    a document count once: the graph joins distinct patterns and values. A pattern needs
-    ``support`` distinct seeds of the kind, a value ``confidence``.
+    a document count once: the graph joins distinct patterns and values. In each of ``rounds``
+    rounds a pattern of ``support`` distinct values that are believed to be of a kind gets its share of
+    them as confidence for that kind; a value is believed that is a seed of the kind or
+    that patterns of ``confidence`` enclose (noisy or). So values found in one round support new
+    patterns in the next, which need no seed of their own.
     """
+    t = Tables(marked.sparkSession, "pii")
     spot = marked.select("_row", F.explode("found").alias("x")).select("_row", "x.*")
     left2 = F.when(F.col("l2") != "", F.concat(F.lit("L\t"), "l2"))
     both = F.when((F.col("l1") != "") & (F.col("r1") != ""), F.concat(F.lit("B\t"), "l1", F.lit("\t"), "r1"))
     spot = spot.withColumn("p", F.explode(F.array_compact(F.array(left2, both))))
     edges = spot.groupBy("p", "v").agg(*[F.max(F.coalesce(F.col("k") == k, F.lit(False))).alias(k) for k in KINDS])
-    # a pattern without enough seeds never gets confidence: its edges go
-    enough = edges.groupBy("p").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(k).alias(f"n_{k}") for k in KINDS])
-    enough = enough.where(F.greatest(*[F.col(f"n_{k}") for k in KINDS]) >= support)
-    edges = cut(edges.join(enough, "p"), "pii-edges")
-    seed = lambda k: F.when(F.col(k), 1.0).otherwise(0.0)
-    belief = edges.select("p", "v", "n", *KINDS, *[f"n_{k}" for k in KINDS], *[seed(k).alias(f"b_{k}") for k in KINDS])
-    for _ in range(rounds):
-        scores = belief.groupBy("p").agg(*[F.when(F.first(f"n_{k}") >= support, F.sum(f"b_{k}") / F.count(F.lit(1))).otherwise(0.0).alias(f"c_{k}") for k in KINDS])
-        scores = cut(scores, "pii-patterns")
-        near = edges.join(scores, "p")
-        # noisy or over the patterns around a value
-        doubt = [F.exp(F.sum(F.log(F.greatest(1 - F.col(f"c_{k}"), F.lit(1e-9))))).alias(f"d_{k}") for k in KINDS]
-        values = near.groupBy("v").agg(*doubt)
-        belief = cut(
-            edges.join(values, "v").select("p", "v", "n", *KINDS, *[f"n_{k}" for k in KINDS], *[F.when(F.col(k), 1.0).otherwise(1 - F.col(f"d_{k}")).alias(f"b_{k}") for k in KINDS]),
-            "pii-values",
-        )
-    best = F.greatest(*[F.col(f"c_{k}") for k in KINDS])
+    # a pattern of fewer values never gets support: its edges go
+    enough = edges.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
+    edges = t.write(edges.join(enough, "p"), "edges")
+    seed = {k: F.when(F.col(k), 1.0).otherwise(0.0) for k in KINDS}
+    belief = edges.select("p", "v", "n", *[seed[k].alias(f"b_{k}") for k in KINDS])
+    for at in range(rounds):
+        held = {k: F.sum((F.col(f"b_{k}") >= confidence).cast("long")) for k in KINDS}
+        scores = belief.groupBy("p").agg(*[F.when(held[k] >= support, F.sum(f"b_{k}") / F.first("n")).otherwise(0.0).alias(f"c_{k}") for k in KINDS])
+        best = F.greatest(*[F.col(f"c_{k}") for k in KINDS])
+        good = t.write(scores.where(best >= confidence), f"patterns-{at}")
+        if at + 1 < rounds:
+            # noisy or over the good patterns around a value
+            doubt = [F.exp(F.sum(F.log(F.greatest(1 - F.when(F.col(f"c_{k}") >= confidence, F.col(f"c_{k}")).otherwise(0.0), F.lit(1e-9))))).alias(f"d_{k}") for k in KINDS]
+            values = edges.join(good, "p").groupBy("v").agg(*doubt)
+            found = lambda k: F.greatest(seed[k], 1 - F.coalesce(F.col(f"d_{k}"), F.lit(1.0)))
+            belief = t.write(edges.join(values, "v", "left").select("p", "v", "n", *[found(k).alias(f"b_{k}") for k in KINDS]), f"values-{at}")
     kind = F.coalesce(*[F.when(F.col(f"c_{k}") == best, F.lit(k)) for k in KINDS])
-    good = scores.where(best >= confidence).select("p", kind.alias("kind"), best.alias("c"))
-    hits = spot.where(F.col("k").isNull()).join(good, "p")
+    hits = spot.where(F.col("k").isNull()).join(good.select("p", kind.alias("kind"), best.alias("c")), "p")
     return hits.groupBy("_row", "s", "e").agg(F.max(F.struct("c", "kind"))["kind"].alias("k"))
 
 
@@ -168,10 +191,10 @@ def find(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None,
 
     Adds seeds (the spans of the four forms by kind as listed, then start) and extra
     (discovered spans by start), both arrays of (k, s, e): kind, start and exclusive end
-    in code points. A null text counts as empty and has none. Rows are keyed as they
-    are read, so repeated ids and rows are each judged; an empty table gives an empty result.
+    in code points; they replace columns of these names. A null text counts as empty and has none. Rows are
+    keyed as they are read, so repeated ids and rows are each judged; an empty table gives an empty result.
     """
-    carry = list(docs.columns if carry is None else carry)
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("seeds", "extra")]
     marked = cut(_marked(docs, text, carry).drop(*([] if text in carry else ["_text"])), "pii-spans")
     extra = discovered(marked, **bootstrap)
     extra = extra.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("s", "e", "k"))).alias("extra")).withColumnRenamed("_row", "_of")
@@ -202,7 +225,8 @@ def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", **bootstrap) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets; of overlapping spans the first goes, its end extended."""
-    found = find(docs, text=text, **bootstrap)
+    whole = docs.select(text, F.struct(*docs.columns).alias("_doc"))  # user columns may be named like those of find
+    found = find(whole, text=text, **bootstrap)
 
     def step(a: Column, x: Column) -> Column:
         inside = x["s"] < a["at"]
@@ -217,4 +241,5 @@ def redact(docs: DataFrame, text: str = "text", **bootstrap) -> DataFrame:
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     whole = F.aggregate(order, begin, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text), a["at"] + 1, F.length(text))))
     changed = F.size("seeds") + F.size("extra") > 0
-    return found.withColumn(text, F.when(changed, whole).otherwise(F.col(text))).select(*docs.columns)
+    new = F.when(changed, whole).otherwise(F.col(text))
+    return found.select(*[(new if c == text else F.col("_doc")[c]).alias(c) for c in docs.columns])

@@ -94,6 +94,15 @@ def test_nearest(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in few) == [(0, 1), (0, 2)]
 
 
+def test_nearest_ties(spark):
+    """Of equal vectors those of smallest id are found."""
+    df = spark.createDataFrame([(k, [1.0, 2.0, 3.0, 4.0]) for k in range(600)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert len(got) == 30 and all(found == [k for k in range(21) if k != q][:20] for q, found in got.items())
+
+
 # --- 3: licences ------------------------------------------------------------------------------
 
 SIGNED = [
@@ -216,6 +225,18 @@ def test_bpe(spark, docs, rows, empty):
     assert bpe.round_trip(empty.select("doc_id", "text"), path).count() == 0
 
 
+def test_keys_beside_nulls(spark):
+    """Keys beyond 2^53 keep their value beside a null key."""
+    big = 9007199254740993
+    df = spark.createDataFrame([(None, "a b"), (big, "c d")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in bpe.round_trip(df, P.path("byte_bpe_50k.json")).collect()} == {None, big}
+    assert {r["doc_id"] for r in packing.packed_documents(df, P.path("word_bpe_49k.json")).collect()} == {None, big}
+    turns = df.select(F.col("doc_id").alias("conv_id"), F.lit(big).alias("turn"), F.lit("user").alias("role"), "text")
+    formatted = chat.format_turns(turns)
+    assert {(r["conv_id"], r["turn"]) for r in formatted.collect()} == {(None, big), (big, big)}
+    assert {r["conv_id"] for r in chat.read_back(formatted).collect()} == {None, big}
+
+
 def test_bpe_pairs():
     """Speculation with verification and exact merging agree on random words."""
     model = bpe.SpeculativeBpe(P.path("byte_bpe_50k.json"))
@@ -390,6 +411,20 @@ def test_chat(spark):
         assert g["loss_sha256"] == hashlib.sha256(learnt.encode()).hexdigest()
     assert {c: got[c]["valid"] for c in (1, 2, 3, 4, None)} == {1: True, 2: False, 3: False, 4: False, None: True}
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+    # turns come from the text alone: the same text cut into other rows reads alike
+    whole = formatted.where("conv_id = 1").orderBy("turn").collect()
+    parts = [(s["text"], s["loss"]) for r in whole for s in r["segments"]]
+    cut = [(t[i : i + 3], k) for t, k in parts for i in range(0, len(t), 3)] if not any("\\" in t for t, _ in parts) else parts
+    rows = [(1, [{"text": t, "loss": k} for t, k in cut[i : i + 2]], True, True) for i in range(0, len(cut), 2)]
+    again = spark.createDataFrame(rows, f"conv_id long, segments {chat.SEGMENTS}, valid boolean, complete boolean").coalesce(1)
+    assert chat.read_back(again).drop("valid", "complete").collect() == chat.read_back(formatted.where("conv_id = 1")).drop("valid", "complete").collect()
+    template = chat.Template()
+    turns = [("system", "s</s>"), ("odd[ROLE]", "\\"), ("user", ""), ("assistant", " [/INST]\n")]
+    text = "".join(t for who, said in turns for t, _ in template.segments(who, said))
+    for at in range(len(text)):
+        first, rest = template.read(text[:at])
+        more, rest = template.read(rest + text[at:])
+        assert first + more == turns and rest == ""
 
 
 # --- 9: substrings -----------------------------------------------------------------------------------------------
@@ -466,6 +501,34 @@ def test_pii(spark, docs, empty):
     assert redacted[last] == "now my phone number is [PHONE] ok" and redacted[700] == "[EMAIL][EMAIL] x@y"
 
 
+def test_pii_generations(spark):
+    """Values that a pattern finds support a further pattern without a seed; long words don't hide a pattern."""
+    seeds = [f"please call my desk +1 555 010 {1000 + i} soon" for i in range(120)]
+    found = [f"please call my desk ext-{2000 + i}-x soon" for i in range(12)]
+    second = [f"reach reception via ext-{2000 + i}-x always" for i in range(12)] + ["reach reception via ext-9999-z always"]
+    other = [f"order batch {3000 + i} shipped" for i in range(8)]
+    word = "y" * 60
+    long = [f"{word} {word} +1 555 011 {1000 + i} {word}" for i in range(12)] + [f"{word} {word} 555-0177-q {word}"]
+    said = seeds + found + second + other + long
+    got = {r["doc_id"]: r["extra"] for r in pii.find(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(said):
+        want = [(t.index(w), t.index(w) + len(w)) for w in re.findall(r"ext-[0-9]+-[xz]|555-0177-q", t)]
+        assert [(x["s"], x["e"]) for x in got[k]] == want and all(x["k"] == "phone" for x in got[k])
+
+
+def test_clashing_columns(spark):
+    """Columns named like those that operators make on the way come through."""
+    names = ["seeds", "extra", "n_removed", "n_lines", "n_spans", "_scan", "_starts", "_labels", "_text", "_row", "_rest", "_doc", "row", "place", "found", "component_id", "kept", "_key"]
+    said = "licensed under the mit license mail a@b.co " + " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(k, said + str(k % 2), "s0") for k in range(4)], "doc_id long, text string, source string").withColumns({n: F.lit(7) for n in names})
+    assert all(r[n] == 7 for r in licenses.scan(df).collect() for n in names)
+    rows = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = corpus_pipeline.cut(stage(spark, rows, ""), "test")
+        assert rows.columns == df.columns and rows.count() > 0
+        assert all(r[n] == 7 for r in rows.collect() for n in names), name
+
+
 # --- the pipeline ----------------------------------------------------------------------------------------------------
 
 
