@@ -1,43 +1,81 @@
 """From raw documents to packed training sequences: five stages on Spark.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and is
-written as Parquet before the next one starts.
+written as Parquet before the next one starts. A stage begins by removing the intermediate
+tables of the stages before it, except what its ``docs`` still read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclespark.llm import line_dedup, near, packing, pii, quality
-from cyclespark.llm.common import cut
+from cyclespark.llm.common import cut, free, made
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []  # intermediate tables of the stages so far
+
+
+def tidy(stage: Stage, last: bool = False) -> Stage:
+    """``stage``, which removes what earlier ones left and remembers its own tables.
+
+    Those of the last stage stay, as nothing tells when its result has been read.
+    """
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        free(spark, _left, docs)
+        _left[:] = [p for p in _left if p in made]
+        before = set(made)
+        out = stage(spark, docs, sf_dir)
+        if not last:
+            _left.extend(p for p in made if p not in before)
+        return out
 
+    return run_stage
+
+
+@tidy
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.keep_good(docs)
 
 
+@tidy
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go; a document that loses all its text goes with them."""
-    kept = line_dedup.dedup_lines(docs, min_lines=3, min_words=50)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))  # user columns may be named like those of the operator
+    kept = line_dedup.dedup_lines(whole, min_lines=3, min_words=50)
     emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
-    return kept.where(~emptied).select(*docs.columns)
+    return kept.where(~emptied).select(*[F.col("text") if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
+@tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of smallest doc_id."""
-    dropped = near.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates stays, the one of smallest doc_id.
+
+    Rows that share a doc_id are one group: the one of smallest text stays. Rows without a doc_id all stay.
+    """
+    judged = cut(near.near_duplicates(docs, width=5, percent=80), "near-verdicts")
+    dropped = judged.where("not kept").select("doc_id")
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    again = judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    one = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNotNull(), "text")).alias("_doc")
+    repeated = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("_doc.*")
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(repeated.select(*docs.columns))
 
 
+@tidy
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind."""
     return pii.redact(docs)
 
 
+@partial(tidy, last=True)
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of 2048 tokens."""
     import public_tokenizers
@@ -45,8 +83,6 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048)
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", filter_quality),
     ("line dedup", remove_repeated_lines),
@@ -61,6 +97,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        free(spark, _left, docs)
+        _left.append(made[-1])
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
