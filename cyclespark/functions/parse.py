@@ -85,6 +85,31 @@ def nominal_capacity(name: Column, stored: Column) -> Column:
     )
 
 
+#: Nominal capacities that follow from names (fixed values): (prefix, pattern of the name, Ah), the first that fits holds.
+NAMED_CAPACITIES = [
+    ("SNL", "NMC.*15C|15C.*NMC", 3 * 0.9),
+    ("SNL", "NMC", 3.0),
+    ("SNL", "NCA.*20-80|20-80.*NCA", 3.2),
+    ("SNL", "NCA.*15C|15C.*NCA", 3.2 * 0.9),
+    ("SNL", "NCA", 3.2),
+    ("SNL", "", 1.1),
+    ("UL-PUR", r"2\.5-96\.5", 3.4 * 0.94 * 3.4),
+    ("UL-PUR", "", 3.4),
+    ("Farasis", "Farasis_PA|_0(?:0[1-9]|1[0-9])_single_parquet", 73.0),
+    ("Farasis", "Farasis_P[BC]|_(?:0[2-9][0-9]|10[0-9]|11[0-2])_single_parquet", 76.0),
+    ("Farasis", "Farasis_PD|_(?:11[3-9]|12[0-3])_single_parquet", 84.0),
+    ("Farasis", "", 0.0),
+]
+
+
+def named_capacity(name: Column) -> Column:
+    """The nominal capacity that a cell's name implies, null where it implies none."""
+    out = F.lit(None).cast("double")
+    for prefix, pattern, value in reversed(NAMED_CAPACITIES):
+        out = F.when(name.startswith(prefix) & name.rlike(pattern), F.lit(value)).otherwise(out)
+    return out
+
+
 def life_class(eol: Column) -> Column:
     out = F.lit(None).cast("int")
     for label, low, high in LIFE_CLASSES:

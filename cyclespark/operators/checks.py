@@ -50,8 +50,9 @@ def violation_index(marks: DataFrame) -> DataFrame:
     """dataset, cell, and its cycles with a map from phase to count and worst fall."""
     entry = F.struct("phase", F.struct("count", "worst"))
     per_cycle = marks.groupBy("dataset", *CYCLE).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("phases"))
-    row = F.struct("cycle_number", "phases")
-    return per_cycle.groupBy("dataset", "cell_id").agg(F.sort_array(F.collect_list(F.struct("cycle_number"))).alias("numbers"), F.collect_list(row).alias("cycles")).drop("numbers")
+    rows = F.collect_list(F.struct("cycle_number", "phases"))
+    ordered = F.array_sort(rows, lambda a, b: a["cycle_number"].cast("int") - b["cycle_number"].cast("int"))  # maps have no order
+    return per_cycle.groupBy("dataset", "cell_id").agg(ordered.alias("cycles"))
 
 
 def violation_report(marks: DataFrame, cycles: DataFrame, early: int = 100) -> DataFrame:

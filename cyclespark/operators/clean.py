@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclespark.functions.parse import DATASET_IDS, name_prefix, to_number
-from cyclespark.functions.windows import CYCLE, in_cell, in_cycle, whole_cell, whole_cycle
+from cyclespark.functions.windows import CYCLE, in_cell, in_cycle, upwards, whole_cell, whole_cycle
 
 
 # --- B: projection, filters, renumbering ---------------------------------------------
@@ -58,11 +58,21 @@ def drop_by_rules(cycles: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataF
     return cycles.join(gone, CYCLE, "left_anti"), report
 
 
-def drop_formation(readings: DataFrame, first: DataFrame) -> DataFrame:
-    """Skip the first n cycles of each dataset and shift the numbers; ``first``: dataset, n."""
-    n = F.coalesce("n", F.lit(0))
-    kept = readings.join(first, "dataset", "left").where(F.col("cycle_number") > n)
-    return kept.withColumn("cycle_number", (F.col("cycle_number") - n).cast("int")).drop("n")
+def drop_formation(readings: DataFrame, first: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Skip the first n cycles of each dataset and shift the numbers; ``first``: dataset, n.
+
+    ``cells``: prefix, n, shift. Cells whose names begin with a prefix follow its row instead of
+    their dataset's; without shift the numbers stay. Of several rows the longest prefix holds.
+    """
+    rows = readings.join(first.select("dataset", F.col("n").alias("_n")), "dataset", "left").withColumn("_shift", F.lit(True))
+    if cells is not None:
+        names = readings.select("cell_id").distinct()
+        hit = names.join(F.broadcast(cells.select("prefix", "n", "shift")), F.col("cell_id").startswith(F.col("prefix")))
+        hit = hit.groupBy("cell_id").agg(F.max_by(F.struct("n", "shift"), F.length("prefix")).alias("_own"))
+        rows = rows.join(hit, "cell_id", "left").withColumns({"_n": F.coalesce("_own.n", "_n"), "_shift": F.coalesce("_own.shift", "_shift")})
+    n = F.coalesce("_n", F.lit(0))
+    moved = (F.col("cycle_number") - F.when(F.col("_shift"), n).otherwise(0)).cast("int")
+    return rows.where(F.col("cycle_number") > n).select(*[moved.alias(c) if c == "cycle_number" else c for c in readings.columns])
 
 
 def renumber_cycles(readings: DataFrame) -> DataFrame:
@@ -89,8 +99,8 @@ def dedupe_readings(readings: DataFrame, stamp: str, tie: str) -> DataFrame:
 def mask_negative_and_bfill(readings: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of negative capacity become null and take the next value of their cycle."""
     bad = (F.col("qc") < 0) | (F.col("qd") < 0)
-    after = in_cycle().rowsBetween(0, Window.unboundedFollowing)
-    return readings.withColumns({c: F.first(F.when(~bad, F.col(c)), ignorenulls=True).over(after) for c in columns})
+    after = upwards(CYCLE, ["idx"])
+    return readings.withColumns({c: F.last(F.when(~bad, F.col(c)), ignorenulls=True).over(after) for c in columns})
 
 
 def early_life_prefix(readings: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
@@ -106,8 +116,8 @@ def zero_inactive_capacity(readings: DataFrame) -> DataFrame:
 
 def drop_last_cycle(readings: DataFrame) -> DataFrame:
     """Cycles below the number of distinct cycles of the cell."""
-    n = F.size(F.collect_set("cycle_number").over(whole_cell()))
-    return readings.withColumn("_n", n).where("cycle_number < _n").drop("_n")
+    n = readings.groupBy("cell_id").agg(F.count_distinct("cycle_number").alias("_n"))
+    return readings.join(n, "cell_id").where("cycle_number < _n").select(*readings.columns)
 
 
 def drop_short_cycles(readings: DataFrame, least: int = 2) -> DataFrame:
@@ -231,7 +241,7 @@ def _nearest_good(cycles: DataFrame) -> DataFrame:
     w = in_cell()
     good = F.when(F.col("good"), F.col("cycle_number"))
     before = F.last(good, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(good, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last(good, ignorenulls=True).over(upwards(["cell_id"], ["cycle_number"]))
     return cycles.withColumns({"_before": before, "_after": after})
 
 

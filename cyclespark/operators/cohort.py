@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclespark.functions.parse import name_prefix
+from cyclespark.functions.windows import placed
 
 
 def assign_split(cells: DataFrame, splits: DataFrame, dataset: str, seed: int, split: str) -> DataFrame:
@@ -60,7 +61,7 @@ def ageing_condition(cells: DataFrame, rules: DataFrame, first_own_id: int = 629
     hit = named.select("cell_id", "prefix").distinct().join(rules, "prefix").where(F.col("cell_id").contains(F.col("pattern")))
     best = hit.groupBy("cell_id").agg(F.min_by("id", "ord").alias("id"))
     own = named.where(F.col("prefix") == own_prefix).select("cell_id").distinct()
-    own = own.withColumn("own", F.row_number().over(Window.orderBy("cell_id")) - 1 + first_own_id)
+    own = placed(own, ["cell_id"], "own").withColumn("own", F.col("own") - 1 + first_own_id)
     out = named.join(best, "cell_id", "left").join(own, "cell_id", "left")
     return out.withColumn("condition", F.coalesce("own", "id").cast("long")).drop("id", "own")
 
@@ -68,7 +69,7 @@ def ageing_condition(cells: DataFrame, rules: DataFrame, first_own_id: int = 629
 def dense_relabel(df: DataFrame, column: str) -> DataFrame:
     """dense: the place of the value among the sorted distinct ones, from 1."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return df.join(values.withColumn("dense", F.row_number().over(Window.orderBy(column))), column, "left")
+    return df.join(placed(values, [column], "dense"), column, "left")
 
 
 def seen_unseen(conditions: DataFrame, splits: DataFrame) -> DataFrame:

@@ -216,13 +216,22 @@ def time_features(df: DataFrame, column: str, frequency: str) -> DataFrame:
     return df.withColumns({n: FEATURES[n](F.col(column)) for n in BY_FREQUENCY[frequency]})
 
 
+PRIME = 2**31 - 1
+
+
 def hash_uniform(*keys: Column) -> Column:
-    """A number in [0, 1) that depends on the keys only, not on partitions."""
-    return F.pmod(F.xxhash64(*keys), F.lit(2**52)) / float(2**52)
+    """A number in [0, 1) that depends on the keys (whole numbers) only, not on partitions.
+
+    Squares modulo a prime, three to a key: any SQL engine gives the same numbers.
+    """
+    zero = F.lit(0).cast("long")
+    parts = [x for k in keys for x in (F.pmod(k.cast("long"), F.lit(PRIME)), zero, zero)]
+    step = lambda h, k: (h * 31 + k + 1) % PRIME
+    return F.aggregate(F.array(*parts), F.lit(7).cast("long"), lambda h, k: (step(h, k) * step(h, k) + 374761393) % PRIME) / float(PRIME)
 
 
 def hash_normal(*keys: Column) -> Column:
-    u, v = hash_uniform(F.lit("u"), *keys), hash_uniform(F.lit("v"), *keys)
+    u, v = hash_uniform(F.lit(1), *keys), hash_uniform(F.lit(2), *keys)
     return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cyclespark.functions.windows import CYCLE, in_cell, whole_cell
+from cyclespark.functions.windows import CYCLE, in_cell, upwards, whole_cell
 
 
 def cycle_summary(readings: DataFrame) -> DataFrame:
@@ -48,12 +48,22 @@ def extrapolate_life(health: DataFrame, k: int = 20, at: float = 0.8) -> DataFra
 
 
 def life_label_first_cycle_nominal(caps: DataFrame, rules: DataFrame, end: float = 0.9, near: float = 0.925, k: int = 20) -> DataFrame:
-    """eol with the first cycle's qd_max as nominal; ``rules``: cell_id, skip (position left out)."""
-    first = F.first("qd_max").over(in_cell())
-    h = caps.withColumn("soh", F.col("qd_max") / first).withColumn("position", F.row_number().over(in_cell()))
+    """eol with the first cycle's qd_max as nominal.
+
+    A missing qd_max takes the next one; cycles after the last known one don't count. ``rules``:
+    cell_id, skip (position left out) and, if the column is there, early: the line goes through the
+    k cycles that end at the first at or below ``near``, for cells whose capacity rises at the end.
+    """
+    filled = F.last("qd_max", ignorenulls=True).over(upwards(["cell_id"], ["cycle_number"]))
+    h = caps.withColumn("qd_max", filled).where("qd_max is not null")
+    h = h.withColumn("soh", F.col("qd_max") / F.first("qd_max").over(in_cell())).withColumn("position", F.row_number().over(in_cell()))
     h = h.join(rules, "cell_id", "left").where(F.col("skip").isNull() | (F.col("position") != F.col("skip")))
     cells = h.groupBy("cell_id").agg(F.min("soh").alias("low"), F.min(F.when(F.col("soh") <= end, F.col("position"))).alias("first"))
-    out = cells.join(_tail_fit(h, k, end), "cell_id", "left")
+    tail = h
+    if "early" in rules.columns:
+        bend = F.min(F.when(F.col("early") & (F.col("soh") <= near), F.col("position"))).over(whole_cell())
+        tail = h.withColumn("_bend", bend).where(F.col("_bend").isNull() | (F.col("position") <= F.col("_bend"))).drop("_bend")
+    out = cells.join(_tail_fit(tail, k, end), "cell_id", "left")
     eol = F.when(F.col("low") <= end, F.col("first")).when(F.col("low") < near, F.col("line").cast("int"))
     return out.select("cell_id", "low", eol.cast("int").alias("eol"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclespark.functions.folds import sorted_fold
-from cyclespark.functions.windows import CYCLE, in_cell, in_cycle, readings_of_cell, whole_cycle
+from cyclespark.functions.windows import CYCLE, in_cell, in_cycle, readings_of_cell, upwards, whole_cycle
 
 ACTIVE = 0.01
 
@@ -138,7 +138,7 @@ def direction_runs(readings: DataFrame) -> DataFrame:
     state = F.when(F.col("i") > eps, 1).when(F.col("i") < -eps, -1)
     out = readings.join(scale, "cell_id").withColumn("_s", state)
     before = F.last("_s", ignorenulls=True).over(_running(w))
-    after = F.first("_s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("_s", ignorenulls=True).over(upwards(["cell_id"], ["cycle_number", "idx"]))
     dt = F.greatest(F.coalesce(F.col("t") - F.lag("t").over(w), F.lit(0.0)), F.lit(0.0))
     out = out.withColumns({"dir": F.coalesce(before, after, F.lit(0)), "_dt": dt})
     new = F.coalesce((F.col("dir") != F.lag("dir").over(w)).cast("int"), F.lit(0))
@@ -170,7 +170,7 @@ def split_full_cycles(readings: DataFrame) -> DataFrame:
     marks = runs.select("cell_id", "run").join(pairs.withColumnRenamed("cell_id", "_c"), (F.col("cell_id") == F.col("_c")) & F.col("run").between(F.col("low"), F.col("high")), "left").drop("_c")
     here = F.when(F.col("id").isNotNull(), F.struct("run", "id"))
     b = F.last(here, ignorenulls=True).over(_running(w))
-    a = F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    a = F.last(here, ignorenulls=True).over(upwards(["cell_id"], ["run"]))
     marks = marks.withColumns({"_b": b, "_a": a})
     nearer = F.when(F.col("_b").isNull(), F.col("_a.id")).when(F.col("_a").isNull(), F.col("_b.id")).when(F.col("run") - F.col("_b.run") <= F.col("_a.run") - F.col("run"), F.col("_b.id")).otherwise(F.col("_a.id"))
     marks = marks.select("cell_id", "run", F.coalesce(nearer, F.lit(0)).alias("full_cycle"))

@@ -48,6 +48,22 @@ def f05_life_label_first_cycle_nominal(spark, sf_dir):
     return rounded(life.life_label_first_cycle_nominal(caps, rules), "low", places=6)
 
 
+@query(f"""WITH {fx.HEALTH}, c AS (SELECT cell_id, cycle_number, CASE WHEN (cell_id + cycle_number) % 13 <> 0 THEN soh END AS q FROM health),
+  b AS (SELECT cell_id, cycle_number, first_value(q IGNORE NULLS) OVER (PARTITION BY cell_id ORDER BY cycle_number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM c),
+  h AS (SELECT cell_id, cycle_number, q / first_value(q) OVER w AS soh, row_number() OVER w AS pos FROM b WHERE q IS NOT NULL WINDOW w AS (PARTITION BY cell_id ORDER BY cycle_number)),
+  s AS (SELECT *, min(pos) FILTER (cell_id % 2 = 1 AND soh <= 0.925) OVER (PARTITION BY cell_id) AS bend FROM h WHERE NOT (cell_id % 5 = 0 AND pos = 9)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle_number DESC) AS back FROM s WHERE bend IS NULL OR pos <= bend),
+  l AS (SELECT cell_id, regr_intercept(cycle_number, soh) + regr_slope(cycle_number, soh) * 0.85 AS line FROM k WHERE back <= 20 GROUP BY 1),
+  e AS (SELECT cell_id, min(soh) AS low, min(pos) FILTER (soh <= 0.85) AS first FROM s GROUP BY 1)
+  SELECT cell_id, round(low, 6) AS low, CAST(CASE WHEN low <= 0.85 THEN first WHEN low < 0.925 THEN trunc(line) END AS INTEGER) AS eol FROM e LEFT JOIN l USING (cell_id)""")
+def f05_life_label_early_window(spark, sf_dir):
+    """Missing capacities are filled back; odd cells take the line before their capacity rises again."""
+    k = F.col("s_suppkey")
+    rules = fx.table(spark, sf_dir, "supplier").select(k.alias(CELL), F.when(k % 5 == 0, 9).alias("skip"), (k % 2 == 1).alias("early"))
+    caps = fx.health(spark, sf_dir).withColumn("qd_max", F.when((F.col(CELL) + F.col(CYC)) % 13 != 0, F.col("soh"))).drop("soh")
+    return rounded(life.life_label_first_cycle_nominal(caps, rules, end=0.85), "low", places=6)
+
+
 CROSS = """c AS (SELECT *, lag(cycle_number) OVER w AS x0, lag(soh) OVER w AS y0, row_number() OVER (PARTITION BY cell_id ORDER BY cycle_number DESC) AS back FROM health WINDOW w AS (PARTITION BY cell_id ORDER BY cycle_number)),
   x AS (SELECT *, CASE WHEN y0 > 0.8 AND soh <= 0.8 THEN CASE WHEN abs(soh - y0) < 1e-12 THEN cycle_number ELSE x0 + (0.8 - y0) * (cycle_number - x0) / (soh - y0) END END AS cr FROM c)"""
 
@@ -235,9 +251,31 @@ def g16_time_features(spark, sf_dir):
     return rounded(e, *[c for c in e.columns if c != "event_id"])
 
 
-@query()
+def uniform_sql(*keys: str) -> str:
+    """The numbers of ``curves.hash_uniform`` in SQL."""
+    parts = ", ".join(f"CAST({k} AS BIGINT) % 2147483647, 0, 0" for k in keys)
+    step = "((h * 31 + k + 1) % 2147483647)"
+    return f"(list_reduce([CAST(7 AS BIGINT), {parts}], lambda h, k: ({step} * {step} + 374761393) % 2147483647) / CAST(2147483647 AS DOUBLE))"
+
+
+def normal_sql(*keys: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {uniform_sql('1', *keys)})) * cos(2 * pi() * {uniform_sql('2', *keys)}))"
+
+
+def _round_each(df, *columns, places=6):
+    return df.withColumns({c: F.transform(c, lambda y: F.round(y, places) + 0.0) for c in columns})
+
+
+#: One row a value: id, j (place from 0), y, n; and the jittered value.
+VALUES = fx.SERIES + ", v AS (SELECT id, x, len(x) AS n, unnest(range(len(x))) AS j, unnest(x) AS y FROM series)"
+JITTERED = f"""{VALUES}, h AS (SELECT DISTINCT id, list_transform(range(1, 11), lambda c: CAST(floor({uniform_sql('id', 'c', '0')} * n) AS INTEGER)) AS holes FROM v),
+  jittered AS (SELECT v.id, j, y, CASE WHEN len(list_filter(holes, lambda c: j >= c - 2 AND j < c + 2)) > 0 THEN y + y * greatest(least({normal_sql('v.id', 'j', '1')} * 0.02, 0.06), -0.06) ELSE y END AS z FROM v JOIN h ON h.id = v.id)"""
+RUN = f"CAST(floor({uniform_sql('id', '0')} * (n - n // 2 + 1)) AS INTEGER)"
+
+
+@query(f"WITH {JITTERED} SELECT id, list(round(z, 6) + 0 ORDER BY j) AS y FROM jittered GROUP BY id")
 def g17_augment_cutout_jitter(spark, sf_dir):
-    return fx.series(spark, sf_dir).select("id", curves.augment_cutout_jitter(F.col("x"), F.col("id")).alias("y"))
+    return _round_each(fx.series(spark, sf_dir).select("id", curves.augment_cutout_jitter(F.col("x"), F.col("id")).alias("y")), "y")
 
 
 @query()
@@ -245,10 +283,10 @@ def g18_augment_freq_mask(spark, sf_dir):
     return curves.augment_freq_mask(fx.series(spark, sf_dir).select("id", "x"), "id", "x")
 
 
-@query()
+@query(f"WITH {JITTERED} SELECT id, list(round(CASE WHEN {uniform_sql('id', '0')} < 0.5 THEN y ELSE z END, 6) + 0 ORDER BY j) AS mixed FROM jittered GROUP BY id")
 def g19_augment_mix(spark, sf_dir):
     s = fx.series(spark, sf_dir).withColumn("y", curves.augment_cutout_jitter(F.col("x"), F.col("id")))
-    return curves.augment_mix(s, "id", "x", "y").select("id", "mixed")
+    return _round_each(curves.augment_mix(s, "id", "x", "y").select("id", "mixed"), "mixed")
 
 
 @query(f"WITH {fx.SERIES} SELECT id, CAST(len(x) AS INTEGER) AS n, round(list_sum(x), 4) AS total, round(x[len(x) - 1], 4) AS second FROM series")
@@ -256,10 +294,13 @@ def g20_augment_reverse(spark, sf_dir):
     return _first3(fx.series(spark, sf_dir).select("id", curves.augment_basic(F.col("x"), F.col("id"), "reverse").alias("y")))
 
 
-@query()
+@query(f"""WITH {VALUES}, b AS (SELECT id, j, x[j // 2 + 1] AS stretch, y + 0.1 * {uniform_sql('id', 'j', '0')} - 0.05 AS noise, CASE WHEN {uniform_sql('id', 'j', '0')} < 0.5 THEN 0 ELSE y END AS mask,
+    CASE WHEN j >= {RUN} AND j < {RUN} + n // 2 THEN 0 ELSE y END AS mask_run FROM v)
+  SELECT id, list(round(stretch, 6) + 0 ORDER BY j) AS stretch, list(round(noise, 6) + 0 ORDER BY j) AS noise, list(round(mask, 6) + 0 ORDER BY j) AS mask, list(round(mask_run, 6) + 0 ORDER BY j) AS mask_run FROM b GROUP BY id""")
 def g20_augment_basic(spark, sf_dir):
     s = fx.series(spark, sf_dir)
-    return s.select("id", *[curves.augment_basic(F.col("x"), F.col("id"), k).alias(k) for k in ("stretch", "noise", "mask", "mask_run")])
+    kinds = ("stretch", "noise", "mask", "mask_run")
+    return _round_each(s.select("id", *[curves.augment_basic(F.col("x"), F.col("id"), k).alias(k) for k in kinds]), *kinds)
 
 
 @query()
@@ -267,9 +308,9 @@ def g21_augment_freq_mix(spark, sf_dir):
     return curves.augment_freq_dropout(curves.augment_freq_mix(fx.series(spark, sf_dir).select("id", "x"), "id", "x"), "id", "x")
 
 
-@query()
+@query(f"WITH {VALUES} SELECT id, list(round(CASE WHEN {uniform_sql('id', 'j', '0')} < 0.3 THEN 0 ELSE y / 0.7 END, 6) + 0 ORDER BY j) AS y FROM v GROUP BY id")
 def g22_value_dropout(spark, sf_dir):
-    return fx.series(spark, sf_dir).select("id", curves.value_dropout(F.col("x"), F.col("id"), 0.3).alias("y"))
+    return _round_each(fx.series(spark, sf_dir).select("id", curves.value_dropout(F.col("x"), F.col("id"), 0.3).alias("y")), "y")
 
 
 @query(f"""WITH {fx.HEALTH}, a AS (SELECT cell_id, string_agg(CAST(cycle_number AS VARCHAR), ', ' ORDER BY cycle_number) FILTER (cycle_number % 10 <> 0) AS n, string_agg(CAST(cycle_number AS VARCHAR), ', ' ORDER BY cycle_number) FILTER (cycle_number % 10 = 0) AS r FROM health WHERE cycle_number <= 20 + cell_id % 3 AND NOT (cell_id % 2 = 0 AND cycle_number % 10 = 0) GROUP BY 1)
@@ -563,7 +604,11 @@ def j12_grouped_forecast_score(spark, sf_dir):
     return metrics.grouped_forecast_score(p.select("grp", "series", "idx", "y", "yhat"), {"Quarterly": 4, "Monthly": 3})
 
 
-@query()
+@query(f"""WITH {fx.SERIES}, n AS (SELECT count(*) AS n, count(*) FILTER (id % 2 = 0) AS n0, count(*) FILTER (id % 2 = 1) AS n1 FROM series WHERE x IS NOT NULL),
+  d AS (SELECT CASE WHEN a.id % 2 = b.id % 2 THEN CASE WHEN a.id % 2 = 0 THEN 1 / n0 / n0 ELSE 1 / n1 / n1 END ELSE -1 / n0 / n1 END AS w, n, list_distance(a.x, b.x) ** 2 AS d
+    FROM series a, series b, n WHERE a.x IS NOT NULL AND b.x IS NOT NULL),
+  h AS (SELECT sum(d) / (max(n) * CAST(max(n) AS DOUBLE) - max(n)) AS h FROM d)
+  SELECT round(sum(w * (exp(-d / h * 4) + exp(-d / h * 2) + exp(-d / h) + exp(-d / h / 2) + exp(-d / h / 4))), 8) AS mmd FROM d, h""")
 def j13_mmd_rbf(spark, sf_dir):
     s = fx.series(spark, sf_dir).withColumn("side", (F.col("id") % 2).cast("int"))
     return rounded(metrics.mmd_rbf(s, "x"), "mmd", places=8)
@@ -638,8 +683,9 @@ def j17_linear_life_model_curves(spark, sf_dir):
     return rounded(scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *m.values()), *m)
 
 
-@query()
+@query(f"""WITH {fx.PREDS}, m AS (SELECT regr_slope(y, n_seen) AS b, regr_intercept(y, n_seen) AS a FROM preds WHERE seed = 0)
+  SELECT id, dataset, seen, n_seen, y, round(a + b * n_seen, 3) AS yhat FROM preds, m""")
 def j18_batch_score(spark, sf_dir):
     p = fx.preds(spark, sf_dir).withColumn("label", F.col("y"))
     model = metrics.linear_life_model(p.where("seed = 0").drop("yhat"), ["n_seen", "seed"])
-    return metrics.batch_score(model, p.drop("yhat"), ["id", "dataset", "seen", "n_seen", "y"])
+    return rounded(metrics.batch_score(model, p.drop("yhat"), ["id", "dataset", "seen", "n_seen", "y"]), "yhat", places=3)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cyclespark.functions import parse
-from cyclespark.functions.windows import in_cell
+from cyclespark.functions.windows import in_cell, placed
 from cyclespark.operators import checks, clean, cohort, curves, life, metrics, segment, timeaxis
 from cyclespark.sources import readers, writers
 from cyclespark.sources.shared import scratch
@@ -203,6 +203,17 @@ def b03_nominal_capacity(spark, sf_dir):
     return fx.cells(spark, sf_dir).select(CELL, parse.nominal_capacity(F.col(CELL), F.col("stored")).alias("nominal"))
 
 
+@query(f"""WITH {fx.CELLS} SELECT cell_id, CAST(CASE WHEN cell_id LIKE 'SNL%NMC%15C%' THEN 2.7 WHEN cell_id LIKE 'SNL%NMC%' THEN 3 WHEN cell_id LIKE 'SNL%NCA%20-80%' THEN 3.2
+  WHEN cell_id LIKE 'SNL%NCA%15C%' THEN 2.88 WHEN cell_id LIKE 'SNL%NCA%' THEN 3.2 WHEN cell_id LIKE 'SNL%' THEN 1.1 WHEN num % 5 = 2 AND num % 2 = 0 THEN 3.4 * 0.94 * 3.4 WHEN num % 5 = 2 THEN 3.4
+  WHEN num % 5 = 3 THEN CASE WHEN num % 124 BETWEEN 1 AND 19 THEN 73 WHEN num % 124 BETWEEN 20 AND 112 THEN 76 WHEN num % 124 BETWEEN 113 AND 123 THEN 84 ELSE 0 END END AS DOUBLE) AS nominal FROM cells""")
+def b03_nominal_capacity_by_name(spark, sf_dir):
+    num, name = F.col("num"), F.col(CELL)
+    ul = F.concat(F.lit("UL-PUR_N20-"), name, F.when(num % 2 == 0, "_2.5-96.5").otherwise("_0-100"))
+    other = F.concat(F.lit("Farasis_x_"), F.lpad((num % 124).cast("string"), 3, "0"), F.lit("_single_parquet"))
+    named = F.when(num % 5 == 2, ul).when(num % 5 == 3, other).otherwise(name)
+    return rounded(fx.cells(spark, sf_dir).select(CELL, parse.named_capacity(named).alias("nominal")), "nominal", places=6)
+
+
 @query(f"""WITH {fx.CELLS} SELECT cell_id, CASE WHEN cell_id LIKE 'SNL%' THEN 'cylindrical' WHEN cell_id LIKE 'MATR%' THEN 'cylindrical' WHEN cell_id LIKE 'ZN%' THEN 'coin' END AS form_factor FROM cells""")
 def b04_material_metadata(spark, sf_dir):
     meta = spark.createDataFrame([("SNL", "cylindrical"), ("MATR", "cylindrical"), ("ZN-coin", "coin")], "prefix string, form_factor string")
@@ -264,6 +275,16 @@ def b12_drop_formation(spark, sf_dir):
     return clean.drop_formation(c, spark.createDataFrame([("d0", 2)], "dataset string, n int")).select(CELL, CYC)
 
 
+@query(f"""WITH {fx.CAPS}, r AS (SELECT *, CASE WHEN cell_id % 100 = 7 THEN 4 WHEN cell_id % 10 = 7 THEN 1 WHEN cell_id % 3 = 0 THEN 2 ELSE 0 END AS n, cell_id % 10 <> 7 AS shift FROM caps)
+  SELECT cell_id, cycle_number - CAST(CASE WHEN shift THEN n ELSE 0 END AS INTEGER) AS cycle_number FROM r WHERE cycle_number > n""")
+def b12_drop_formation_by_cell(spark, sf_dir):
+    """Rules of single cells, by the beginning of the name, go before those of the dataset."""
+    name = F.concat((F.col(CELL) % 10).cast("string"), (F.floor(F.col(CELL) / 10) % 10).cast("string"), F.lit("_"), F.col(CELL).cast("string"))
+    c = fx.caps(spark, sf_dir).withColumns({"dataset": F.concat(F.lit("d"), (F.col(CELL) % 3).cast("string")), "_id": F.col(CELL), CELL: name})
+    rules = spark.createDataFrame([("7", 1, False), ("70", 4, False)], "prefix string, n int, shift boolean")
+    return clean.drop_formation(c, spark.createDataFrame([("d0", 2)], "dataset string, n int"), rules).select(F.col("_id").alias(CELL), CYC)
+
+
 @query(f"WITH {fx.CAPS} SELECT cell_id, CAST(dense_rank() OVER (PARTITION BY cell_id ORDER BY cycle_number) AS INTEGER) AS cycle_number, round(qd_max, 6) AS qd_max FROM caps WHERE cycle_number % 4 <> 0")
 def b13_renumber_cycles(spark, sf_dir):
     return rounded(clean.renumber_cycles(fx.caps(spark, sf_dir).where("cycle_number % 4 <> 0")), "qd_max", places=6)
@@ -355,10 +376,7 @@ def b27_attach_cycle_summary(spark, sf_dir):
 @query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size, p_partkey) AS INTEGER) AS place FROM part")
 def b28_natural_order(spark, sf_dir):
     p = fx.table(spark, sf_dir, "part").withColumn("name", F.concat(F.lit("b"), F.col("p_size").cast("string")))
-    key = p.groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn("key", parse.natural_key(F.col("name")))
-    before = F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1))  # a row for each distinct name
-    own = F.row_number().over(Window.partitionBy("name").orderBy("p_partkey"))
-    return p.join(key.withColumn("before", F.coalesce(before, F.lit(0))), "name").select("p_partkey", (own + F.col("before")).cast("int").alias("place"))
+    return placed(p.withColumn("key", parse.natural_key(F.col("name"))), ["key", "p_partkey"], "place").select("p_partkey", "place")
 
 
 # --- C: time repair ----------------------------------------------------------------------------
@@ -404,12 +422,22 @@ def c06_cumulative_time_array(spark, sf_dir):
     return rounded(a.select(CELL, F.size("times").cast("long").alias("n"), F.element_at("times", -1).alias("last")), "last")
 
 
-@query()
+#: Readings of a cell numbered from 1, for recursive folds.
+NUMBERED = "x AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle_number, idx) AS n FROM faulty)"
+
+
+@query(f"""WITH RECURSIVE {fx.FAULTY}, {NUMBERED},
+  r AS (SELECT cell_id, n, t AS t_strict FROM x WHERE n = 1
+    UNION ALL SELECT x.cell_id, x.n, CASE WHEN x.t > r.t_strict THEN x.t ELSE r.t_strict + CAST(1e-6 AS DOUBLE) END FROM r JOIN x ON x.cell_id = r.cell_id AND x.n = r.n + 1)
+  SELECT cell_id, cycle_number, idx, t, round(t_strict, 9) AS t_strict FROM x JOIN r USING (cell_id, n)""")
 def c07_strictly_increasing_time(spark, sf_dir):
-    return timeaxis.strictly_increasing_time(fx.faulty(spark, sf_dir).select(*KEY, "t"))
+    return rounded(timeaxis.strictly_increasing_time(fx.faulty(spark, sf_dir).select(*KEY, "t")), "t_strict", places=9)
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.FAULTY}, {NUMBERED},
+  r AS (SELECT cell_id, n, t AS last, true AS good FROM x WHERE n = 1
+    UNION ALL SELECT x.cell_id, x.n, CASE WHEN x.t - r.last > 1e4 THEN r.last ELSE x.t END, NOT x.t - r.last > 1e4 FROM r JOIN x ON x.cell_id = r.cell_id AND x.n = r.n + 1)
+  SELECT cell_id, cycle_number, idx, t FROM x JOIN r USING (cell_id, n) WHERE good""")
 def c08_drop_time_spikes(spark, sf_dir):
     return timeaxis.drop_time_spikes(fx.faulty(spark, sf_dir).select(*KEY, "t"), 1e4)
 
@@ -440,9 +468,14 @@ def d01_coulomb_count(spark, sf_dir):
     return rounded(r.select(*KEY, "qc", "qd"), "qc", "qd", places=9)
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.READINGS}, x AS MATERIALIZED (SELECT cell_id, cycle_number, idx, i, t, lag(t) OVER (PARTITION BY cell_id, cycle_number ORDER BY idx) AS pt FROM readings),
+  r AS (SELECT cell_id, cycle_number, idx, CAST(0 AS DOUBLE) AS qc, CAST(0 AS DOUBLE) AS qd FROM x WHERE idx = 1
+    UNION ALL SELECT x.cell_id, x.cycle_number, x.idx, CASE WHEN c < 2 THEN c ELSE 0 END, CASE WHEN d < 2 THEN d ELSE 0 END
+    FROM r JOIN x ON x.cell_id = r.cell_id AND x.cycle_number = r.cycle_number AND x.idx = r.idx + 1,
+      LATERAL (SELECT CASE WHEN x.i > 0 THEN r.qc + x.i * (x.t - x.pt) / 3600 ELSE r.qc END AS c, CASE WHEN x.i < 0 THEN r.qd - x.i * (x.t - x.pt) / 3600 ELSE r.qd END AS d) s)
+  SELECT x.cell_id, x.cycle_number, x.idx, i, t, round(qc, 6) AS qc, round(qd, 6) AS qd FROM x JOIN r USING (cell_id, cycle_number, idx)""")
 def d02_coulomb_count_capped(spark, sf_dir):
-    return segment.coulomb_count_capped(fx.readings(spark, sf_dir).select(*KEY, "i", "t"))
+    return rounded(segment.coulomb_count_capped(fx.readings(spark, sf_dir).select(*KEY, "i", "t")), "qc", "qd", places=6)
 
 
 @query(f"""WITH {fx.READINGS}, a AS (SELECT *, CASE WHEN i > 0 THEN 1 WHEN i < 0 THEN -1 ELSE 0 END AS s, greatest(coalesce(t - lag(t) OVER w, 0), 0) AS dt FROM readings WINDOW w AS (PARTITION BY cell_id, cycle_number ORDER BY idx)),
@@ -547,11 +580,16 @@ def d15_masked_trim(spark, sf_dir):
     return segment.masked_trim(fx.readings(spark, sf_dir), 1.1, "qd", F.col("i") > 0, 0.3).select(*KEY)
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.CAPS}, x AS MATERIALIZED (SELECT *, cycle_number * CAST(10 AS DOUBLE) AS start, row_number() OVER (PARTITION BY cell_id ORDER BY cycle_number) AS n FROM caps),
+  p AS MATERIALIZED (SELECT cell_id, start + 5 AS start, row_number() OVER (PARTITION BY cell_id ORDER BY start) AS k FROM x WHERE cycle_number % 9 = 0),
+  r AS (SELECT x.cell_id, x.n, CAST(1 + CAST(coalesce(p.start < x.start, false) AS INTEGER) AS BIGINT) AS k, NOT coalesce(p.start < x.start, false) AS keep FROM x LEFT JOIN p ON p.cell_id = x.cell_id AND p.k = 1 WHERE n = 1
+    UNION ALL SELECT x.cell_id, x.n, r.k + CAST(coalesce(p.start < x.start, false) AS INTEGER), NOT coalesce(p.start < x.start, false)
+    FROM r JOIN x ON x.cell_id = r.cell_id AND x.n = r.n + 1 LEFT JOIN p ON p.cell_id = r.cell_id AND p.k = r.k)
+  SELECT cell_id, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY cycle_number) AS INTEGER) AS cycle_number, round(qd_max, 9) AS qd_max, start FROM x JOIN r USING (cell_id, n) WHERE keep""")
 def d16_drop_cycle_after_rpt(spark, sf_dir):
     c = fx.caps(spark, sf_dir).withColumn("start", F.col(CYC) * 10.0)
     rpt = c.where("cycle_number % 9 = 0").select(CELL, (F.col("start") + 5).alias("start"))
-    return segment.drop_cycle_after_rpt(c, rpt)
+    return rounded(segment.drop_cycle_after_rpt(c, rpt), "qd_max", places=9)
 
 
 # --- E: outliers and imputation ------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,63 @@ def test_life_model_scores_all_splits(spark, small):
     p = (one @ np.linalg.lstsq(one[train], z[train], rcond=None)[0]) * label.std() + label.mean()
     for s in ("train", "val", "test"):
         assert got[s]["n"] == (split == s).sum() and got[s]["mae"] == pytest.approx(np.abs(p - y)[split == s].mean(), rel=0.02)
+
+
+def test_frequency_augmentation_against_numpy(spark):
+    """Masking, mixing and dropout of frequencies against the same steps written with numpy."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+    drawn = lambda k, n, rate: np.random.default_rng([k, 0]).random(n) < rate
+    masked = {r["id"]: r["masked"] for r in curves.augment_freq_mask(df, "id", "x").collect()}
+    dropped = {r["id"]: r["freq_dropped"] for r in curves.augment_freq_dropout(df, "id", "x").collect()}
+    for k, v in enumerate(x):
+        spectrum = np.fft.rfft(v)
+        rank = np.argsort(-np.abs(spectrum), kind="stable")
+        assert masked[k] == pytest.approx(np.fft.irfft(np.where(drawn(k, 17, 0.25) & (rank > 5), 0, spectrum), n=32))
+        assert dropped[k] == pytest.approx(np.fft.irfft(np.where(drawn(k, 17, 0.5), 0, spectrum), n=32))
+    two = df.where("id < 2").withColumn("id", F.col("id") * 0 + F.when(F.col("id") == 0, 3).otherwise(5))
+    mixed = {r["id"]: np.fft.rfft(r["freq_mixed"]) for r in curves.augment_freq_mix(two, "id", "x").collect()}
+    own = {3: np.fft.rfft(x[0]), 5: np.fft.rfft(x[1])}
+    for k, spectrum in mixed.items():  # each frequency is the series' own or, where drawn, its successor's
+        other = own[8 - k]
+        swap = drawn(k, 17, 0.5)
+        assert np.allclose(spectrum[~swap], own[k][~swap])
+        assert np.allclose(spectrum[swap], own[k][swap]) or np.allclose(spectrum[swap], other[swap])
+
+
+def test_cycle_curves_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    rows, parts = [], {}
+    for cycle, (n, m) in enumerate([(5, 7), (12, 3), (4, 0)], 1):
+        for phase, size in (("charge", n), ("discharge", m)):
+            v, i, q = rng.uniform(3, 4, size), rng.normal(size=size), rng.uniform(0, 1, size)
+            parts[cycle, phase] = (v, i, q)
+            at = 0 if phase == "charge" else n
+            rows += [("c", cycle, at + k + 1, phase, float(v[k]), float(i[k]), float(q[k]), float(q[k])) for k in range(size)]
+    df = spark.createDataFrame(rows, "cell_id string, cycle_number int, idx int, phase string, v double, i double, qc double, qd double")
+    got = {r["cycle_number"]: r for r in curves.cycle_curves(df.repartition(3), 1.1, 20).collect()}
+
+    def resampled(x):
+        n = len(x)
+        return np.interp(np.linspace(1, n + 1, 10), np.arange(1, n + 1), x) if n else np.zeros(10)
+
+    for cycle in (1, 2, 3):
+        v, c, q = (np.concatenate([resampled(parts[cycle, p][k]) for p in ("charge", "discharge")]) for k in range(3))
+        assert got[cycle]["v"] == pytest.approx(v / v.max()) and got[cycle]["c"] == pytest.approx(c / 1.1) and got[cycle]["q"] == pytest.approx(q / 1.1)
+
+
+def test_placed(spark):
+    """Places in order over many ranges, equal rows included."""
+    from cyclespark.functions.windows import placed
+
+    values = [random.Random(1).randint(0, 300) for _ in range(2000)]
+    got = [(r["v"], r["at"]) for r in placed(spark.createDataFrame([(v,) for v in values], "v int").repartition(7), ["v"], "at").orderBy("at").collect()]
+    assert got == [(v, k + 1) for k, v in enumerate(sorted(values))]
+
+
+def test_backfill_is_linear(spark):
+    """A long cycle is filled back in one pass."""
+    rows = spark.range(200_000).select(F.lit("c").alias("cell_id"), F.lit(1).alias("cycle_number"), (F.col("id") + 1).cast("int").alias("idx"), F.lit(0.5).alias("qc"), F.when(F.col("id") % 1000 == 999, 1.0).otherwise(-1.0).alias("qd"), F.col("id").cast("double").alias("v"))
+    out = clean.mask_negative_and_bfill(rows, ["v"])
+    assert out.where("v = ceil(idx / 1000D) * 1000 - 1").count() == 200_000
