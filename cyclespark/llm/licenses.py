@@ -34,7 +34,8 @@ FAMILIES = [
     ("gpl-3", "public", r"(?:gnu )?general public licen[cs]e(?: gpl)?(?: version)? (?:v3|3)(?: 0)?", "gpl 3 0(?: only| or later)?"),
     ("gpl-2", "public", r"(?:gnu )?general public licen[cs]e(?: gpl)?(?: version)? (?:v2|2)(?: 0)?", "gpl 2 0(?: only| or later)?"),
     ("lgpl-3", "lesser", r"(?:gnu )?lesser general public licen[cs]e(?: lgpl)?(?: version)? (?:v3|3)(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("lgpl-2.1", "l", r"(?:gnu )?(?:lesser|library) general public licen[cs]e(?: lgpl)?(?: version)? 2(?: [01])?", "lgpl 2 [01](?: only| or later)?"),
+    ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[cs]e(?: lgpl)?(?: version)? 2(?: [01])?", "lgpl 2 [01](?: only| or later)?"),
+    ("lgpl-2.1", "library", r"(?:gnu )?library general public licen[cs]e(?: lgpl)?(?: version)? 2(?: [01])?", None),
     ("agpl-3", "affero", r"(?:gnu )?affero general public licen[cs]e(?: agpl)?(?: version)? (?:v3|3)(?: 0)?", "agpl 3 0(?: only| or later)?"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd)(?: licen[cs]e)?", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd)(?: licen[cs]e)?", "bsd 3 clause"),
@@ -89,6 +90,54 @@ TEMPLATES = [
     (r"{name}", 3, 0.7),
 ]
 
+#: Sentences of the notices and bodies of licenses: (label, keyword, expression, priority, score).
+SIGNATURES = [
+    ("mit", "person obtaining", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 1, 0.98),
+    ("mit", "permission notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions", 2, 0.9),
+    ("boost-1", "organization obtaining", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software", 1, 0.98),
+    ("isc", "without fee", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 1, 0.95),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 2, 0.9),
+    ("bsd-3-clause", "endorse", r"contributors may be used to endorse or promote products derived from this software", 1, 0.95),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display", 1, 0.97),
+    ("apache-2", "compliance", r"you may not use this file except in compliance with the licen[cs]e", 1, 0.95),
+    ("apache-2", "applicable", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e", 2, 0.9),
+    ("apache-2", "perpetual", r"hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[cs]e", 1, 0.97),
+    ("gpl-2", "foundation", r"gnu general public licen[cs]e as published by the free software foundation either version 2", 1, 0.98),
+    ("gpl-3", "foundation", r"gnu general public licen[cs]e as published by the free software foundation either version 3", 1, 0.98),
+    ("lgpl-2.1", "foundation", r"gnu (?:lesser|library) general public licen[cs]e as published by the free software foundation either version 2", 1, 0.98),
+    ("lgpl-3", "foundation", r"gnu lesser general public licen[cs]e as published by the free software foundation either version 3", 1, 0.98),
+    ("agpl-3", "foundation", r"gnu affero general public licen[cs]e as published by the free software foundation either version 3", 1, 0.98),
+    ("gpl", "merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu", 3, 0.7),
+    ("gfdl", "documentation", r"under the terms of the gnu free documentation licen[cs]e", 1, 0.95),
+    ("mpl-2", "source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e", 1, 0.98),
+    ("mpl-1.1", "contents of this file", r"the contents of this file are subject to the mozilla public licen[cs]e", 1, 0.95),
+    ("epl-2", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:v|version )?2", 1, 0.97),
+    ("epl-1", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:v|version )?1", 1, 0.97),
+    ("cddl-1", "contents of this file", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e", 1, 0.97),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 1, 0.98),
+    ("zlib", "liable", r"in no event will the authors be held liable for any damages arising from the use of this software", 1, 0.9),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented", 1, 0.93),
+    ("wtfpl", "verbatim", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document", 1, 0.95),
+    ("gpl", "verbatim", r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed", 2, 0.85),
+    ("cc0-1", "neighboring", r"waived all copyright and related or neighboring rights", 1, 0.95),
+    ("cc-by", "creative", r"this work is licen[cs]ed under a creative commons attribution [1-4] 0", 1, 0.95),
+    ("cc-by-sa", "creative", r"this work is licen[cs]ed under a creative commons attribution share ?alike", 1, 0.95),
+    ("cc-by-nc", "creative", r"this work is licen[cs]ed under a creative commons attribution non ?commercial", 1, 0.95),
+    ("ofl-1.1", "font software", r"this font software is licen[cs]ed under the sil open font licen[cs]e", 1, 0.98),
+    ("artistic-2", "package", r"licen[cs]e establishes the terms under which a given free software package may be copied", 1, 0.95),
+    ("artistic-1", "package", r"the intent of this document is to state the conditions under which a package may be copied", 1, 0.95),
+    ("python-2", "individual or organization", r"between the python software foundation psf and the individual or organization", 1, 0.95),
+    ("ms-pl", "governs", r"this licen[cs]e governs use of the accompanying software if you use the software you accept this licen[cs]e", 1, 0.9),
+    ("eupl-1.2", "eupl", r"licen[cs]ed under the eupl(?: version 1 2)?", 1, 0.93),
+    ("openssl", "toolkit", r"software developed by the openssl project for use in the openssl toolkit", 1, 0.95),
+    ("json", "evil", r"the software shall be used for good not evil", 1, 0.97),
+    ("sspl-1", "server side", r"server side public licen[cs]e as published by mongodb", 1, 0.97),
+    ("elastic-2", "managed service", r"you may not provide the software to third parties as a hosted or managed service", 1, 0.95),
+    ("busl-1.1", "production use", r"the licensor may make an additional use grant above permitting limited production use", 1, 0.95),
+    ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|distribution|use) of this (?:file|software|document|program)", 3, 0.6),
+    ("proprietary", "trade secret", r"contains (?:confidential and )?(?:proprietary )?trade secrets?", 4, 0.5),
+]
+
 #: Rules of their own: (label, keyword, expression, priority, score).
 GENERIC = [
     ("gpl", "public", r"(?:gnu )?general public licen[cs]e", 3, 0.6),
@@ -100,7 +149,11 @@ GENERIC = [
 ]
 
 #: No rule and no base phrase matches a text without one of these.
-GATES = ("licen", "spdx", "copyright", "public domain", "rights", "terms", "confidential", "wtf", "bsd", "attribution", "creative", "cc0")
+GATES = (
+    "licen", "spdx", "copyright", "public domain", "rights", "terms", "confidential", "wtf", "bsd", "attribution", "creative", "cc0",
+    "hereby", "permission", "redistribution", "endorse", "advertising", "merchantability", "unencumbered", "liable", "misrepresented", "neighboring",
+    "package", "foundation", "toolkit", "evil", "hosted", "production", "unauthorized", "secret",
+)
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
@@ -111,7 +164,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         for label, keyword, name, spdx in FAMILIES
         if spdx or "{spdx}" not in t
     ]
-    return made + GENERIC
+    return made + SIGNATURES + GENERIC
 
 
 def _whole_words(expression: str) -> str:
@@ -122,11 +175,10 @@ def _places(joined: Column, expression: Column) -> Column:
     """First and last word of each match, by marking the matches with control characters."""
     marked = F.split(F.regexp_replace(joined, expression, F.lit("\x01$1\x02")), " ")
 
-    def at(mark: str) -> Column:
-        hit = lambda w, i: F.when(F.contains(w, F.lit(mark)), i)
-        return let(marked, lambda m: F.array_compact(F.transform(m, hit)))
+    def at(words: Column, mark: str) -> Column:
+        return F.array_compact(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit(mark)), i)))
 
-    return F.arrays_zip(at("\x01").alias("s"), at("\x02").alias("e"))
+    return let(marked, lambda m: F.arrays_zip(at(m, "\x01").alias("s"), at(m, "\x02").alias("e")))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
