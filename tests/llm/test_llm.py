@@ -588,3 +588,112 @@ def test_pipeline_on_hard_cases(spark, docs):
         empty = corpus_pipeline.cut(stage(spark, empty, ""), "test")
     assert empty.count() == 0
     assert len(texts()) > 50
+
+
+def brute_quality(rows):
+    """Rows that the quality rules keep, with the host rates in plain Python."""
+    made = []
+    for r in rows:
+        t = r["text"] or ""
+        w = re.findall(r"[^\x20\x09-\x0d]+", t)
+        windows = defaultdict(list)
+        for i in range(len(w) - 7):
+            windows[tuple(w[i : i + 8])].append(i)
+        again = len({j for at in windows.values() if len(at) > 1 for i in at for j in range(i, i + 8)})
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+        length = sum(map(len, w)) / max(len(w), 1)
+        soft = (len(re.findall(r"[#*$%&|<>]", t)) > 0.1 * len(w), len(lines) - len(set(lines)) > 0.3 * len(lines), length < 2 or length > 12)
+        made.append((len(w) < 20 or 100 * again > 30 * len(w), soft))
+    hosts = defaultdict(list)
+    for r, (_, soft) in zip(rows, made, strict=True):
+        hosts[r["source"]].append(soft)
+    bad = set()
+    for k in range(3):
+        n = {h: len(x) for h, x in hosts.items()}
+        f = {h: sum(s[k] for s in x) for h, x in hosts.items()}
+        m = sum(f.values()) / sum(n.values())
+        spread = max(np.var([f[h] / n[h] for h in n]) - m * (1 - m) * np.mean([1 / n[h] for h in n]), 1e-9)
+        weight = min(max(m * (1 - m) / spread - 1, 1.0), 1e6)
+        bad |= {(h, k) for h in n if (f[h] + m * weight) / (n[h] + weight) >= 0.5}
+    return [r for r, (base, soft) in zip(rows, made, strict=True) if not base and not any(s and (r["source"], k) in bad for k, s in enumerate(soft))]
+
+
+def brute_lines(rows):
+    seen, out = set(), []
+    for r in rows:
+        lines, gone = (r["text"] or "").split("\n"), set()
+        for i in range(len(lines)):
+            for n in (1, 2, 3):
+                w = tuple(lines[i : i + n])
+                if len(w) == n and (n == 3 or sum(x.count(" ") + 1 for x in w) >= 50):
+                    if w in seen:
+                        gone.update(range(i, i + n))
+                    seen.add(w)
+        if len(gone) < len(lines):
+            out.append(r | {"text": "\n".join(x for i, x in enumerate(lines) if i not in gone)} if gone else r)
+    return out
+
+
+def brute_near(rows):
+    sets = defaultdict(set)
+    for r in rows:
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] |= {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = brute_components(sets, 80)
+    best = {}
+    for r in rows:
+        if root[r["doc_id"]] == r["doc_id"] and (r["doc_id"] not in best or r["text"] < best[r["doc_id"]]["text"]):
+            best[r["doc_id"]] = r
+    return list(best.values())
+
+
+def brute_redaction(rows):
+    out = []
+    for r in rows:
+        t, at, parts = r["text"] or "", 0, []
+        for s, e, k in sorted((s, e, k) for k, s, e in brute_spans(t)):
+            if s >= at:
+                parts += [t[at:s], f"[{k.upper()}]"]
+            at = max(at, e)
+        out.append(r | {"text": "".join([*parts, t[at:]]) if parts else r["text"]})
+    return out
+
+
+def test_pipeline_against_brute_force(spark):
+    """The rows after every stage against plain Python: hosts, copies, repeated rows, personal data."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(12)
+    words = [f"{a}{b}" for a in ("al", "be", "ga", "de", "ep", "ze", "th", "ka") for b in ("pha", "ta", "mma", "lon", "ro", "x")]
+    said = lambda n: " ".join(rng.choice(words, n))
+    texts = [said(int(rng.integers(15, 90))) for _ in range(50)]
+    passage = "\n".join(said(8) for _ in range(4))
+    texts += [f"{said(30)}\n{passage}\n{said(25)}" for _ in range(6)] + [passage, texts[3], texts[4].upper()]
+    texts += [" ".join([*texts[7 + k].split()[:-1], "changed"]) for k in range(6)]
+    texts += [f"{said(30)} mail a{k}@b.example or 10.0.0.{k} {said(12)}" for k in range(4)] + [f"{said(40)} ### ### $$$ ### ### %%" for _ in range(30)]
+    texts += [f"{said(30)}\n{said(22)}\n\n\n{said(6)}", None, "", f"{said(24)} {'z' * 200}"]
+    host = lambda k, t: "noisy" if t and "###" in t and k % 10 else ["news", "blog", None][k % 3]
+    rows = [{"doc_id": k, "text": t, "source": host(k, t), "seeds": k} for k, t in enumerate(texts)]
+    rows += [rows[0], dict(rows[0])] if len(texts[0].split()) in range(20, 50) else [dict(next(r for r in rows if r["text"] and 20 <= len(r["text"].split()) < 50 and "\n" not in r["text"]))]
+    rows.sort(key=lambda r: r["doc_id"])
+    docs = spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, text string, source string, seeds int").coalesce(1)
+    key = lambda r: (r["doc_id"], r["text"] or "", r["source"] or "", r["seeds"])
+    sizes = [len(rows)]
+    for (name, stage), brute in zip(corpus_pipeline.STAGES, (brute_quality, brute_lines, brute_near, brute_redaction), strict=False):
+        docs = corpus_pipeline.cut(stage(spark, docs, ""), "test").coalesce(1)
+        rows = brute(rows)
+        assert sorted(map(key, (r.asDict() for r in docs.collect()))) == sorted(map(key, rows)), name
+        docs = docs.orderBy("doc_id").coalesce(1)
+        sizes.append(len(rows))
+    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] == sizes[4] and any("[EMAIL]" in r["text"] for r in rows)
+    library, want = Tokenizer.from_file(P.path("word_bpe_49k.json")), Counter()
+    for r in rows:
+        ids = np.array([*library.encode(r["text"], add_special_tokens=False).ids, 0], "<u4")
+        want[r["doc_id"], 0, 0, len(ids), zlib.crc32(ids.tobytes())] += 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == want
+    placed = defaultdict(list)
+    for r in packed:
+        placed[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(o == sum(n for p, n in parts if p < o) for parts in placed.values() for o, _ in parts)
+    assert len(placed) == math.ceil(sum(r["length"] for r in packed) / 2048)
