@@ -81,11 +81,11 @@ def f07_life_first_crossing(spark, sf_dir):
     return life.life_first_crossing(fx.health(spark, sf_dir))
 
 
-@query(f"""WITH {fx.HEALTH}, b AS (SELECT cell_id, cycle_number AS rpt_order, cycle_number * 10 AS th, soh AS qd FROM health WHERE cycle_number <= 30)
+@query(f"""WITH {fx.HEALTH}, b AS (SELECT cell_id, cycle_number AS rpt_order, cycle_number * 10 AS th, soh AS qd FROM health)
   SELECT cell_id, rpt_order, round((th - first_value(th) OVER w) / first_value(qd) OVER w, 4) AS efc, round(qd / first_value(qd) OVER w, 4) AS soh FROM b WINDOW w AS (PARTITION BY cell_id ORDER BY rpt_order)""")
 def f08_efc_curve(spark, sf_dir):
     h = fx.health(spark, sf_dir).withColumnRenamed(CYC, "rpt_order")
-    return rounded(life.efc_curve(h.select(CELL, "rpt_order", (F.col("rpt_order") * 10.0).alias("throughput")), h.where("rpt_order <= 30").select(CELL, "rpt_order", F.col("soh").alias("qd"))), "efc", "soh")
+    return rounded(life.efc_curve(h.select(CELL, "rpt_order", (F.col("rpt_order") * 10.0).alias("throughput")), h.select(CELL, "rpt_order", F.col("soh").alias("qd"))), "efc", "soh")
 
 
 @query(f"WITH {fx.CELLS} SELECT cell_id, CAST(ceil(s_acctbal / 3) AS INTEGER) AS eol FROM cells JOIN supplier ON s_suppkey = num WHERE cell_id NOT LIKE 'CALB%' AND cell_id NOT LIKE 'MATR%'")
@@ -154,10 +154,10 @@ def g02_cycle_curves(spark, sf_dir):
     return curves.cycle_curves(segment.phase_slices(fx.readings(spark, sf_dir), 1.0), 1.1, 20)
 
 
-@query(f"""WITH {fx.READINGS}, n AS (SELECT DISTINCT cell_id, cycle_number FROM readings WHERE cycle_number % 2 = 0), c AS (SELECT DISTINCT cell_id FROM n), a AS (SELECT cell_id, CAST(unnest(range(1, 9)) AS INTEGER) AS cycle_number FROM c)
+@query(f"""WITH {fx.READINGS}, n AS (SELECT DISTINCT cell_id, cycle_number FROM readings WHERE i > 0.5), c AS (SELECT DISTINCT cell_id FROM n), a AS (SELECT cell_id, CAST(unnest(range(1, 9)) AS INTEGER) AS cycle_number FROM c)
   SELECT a.cell_id, a.cycle_number, CASE WHEN n.cell_id IS NULL THEN 0 ELSE 4 END AS total FROM a LEFT JOIN n ON n.cell_id = a.cell_id AND n.cycle_number = a.cycle_number""")
 def g03_pad_missing_cycles(spark, sf_dir):
-    c = fx.readings(spark, sf_dir).where("cycle_number % 2 = 0").select(CELL, CYC).distinct().withColumn("v", F.array_repeat(F.lit(1.0), 4))
+    c = fx.readings(spark, sf_dir).where("i > 0.5").select(CELL, CYC).distinct().withColumn("v", F.array_repeat(F.lit(1.0), 4))
     p = curves.pad_missing_cycles(c, 8, 4, ["v"])
     return p.select(CELL, CYC, F.aggregate("v", F.lit(0.0), lambda a, x: a + x).cast("int").alias("total"))
 
@@ -167,9 +167,9 @@ def g04_expand_samples(spark, sf_dir):
     return curves.expand_samples(fx.cells(spark, sf_dir).withColumn("valid_cycles", F.col("eol") % 50), 3, 30, low=5)
 
 
-@query(f"WITH {fx.HEALTH}, s AS (SELECT cell_id, CAST(unnest([5, 20]) AS INTEGER) AS n_seen FROM (SELECT DISTINCT cell_id FROM health)) SELECT s.cell_id, n_seen, cycle_number, round(CASE WHEN cycle_number <= n_seen THEN soh ELSE 0 END, 6) AS y FROM s JOIN health h ON s.cell_id = h.cell_id WHERE cycle_number <= 40")
+@query(f"WITH {fx.HEALTH}, s AS (SELECT cell_id, CAST(unnest([5, 20]) AS INTEGER) AS n_seen FROM (SELECT DISTINCT cell_id FROM health)) SELECT s.cell_id, n_seen, cycle_number, round(CASE WHEN cycle_number <= n_seen THEN soh ELSE 0 END, 6) AS y FROM s JOIN health h ON s.cell_id = h.cell_id")
 def g05_apply_prefix_mask(spark, sf_dir):
-    h = fx.health(spark, sf_dir).where("cycle_number <= 40").select(CELL, CYC, F.array("soh").alias("v"))
+    h = fx.health(spark, sf_dir).select(CELL, CYC, F.array("soh").alias("v"))
     s = h.select(CELL).distinct().withColumn("n_seen", F.explode(F.array(F.lit(5), F.lit(20))))
     return rounded(curves.apply_prefix_mask(s, h, ["v"]).select(CELL, "n_seen", CYC, F.get("v", 0).alias("y")), "y", places=6)
 
@@ -313,10 +313,10 @@ def g22_value_dropout(spark, sf_dir):
     return _round_each(fx.series(spark, sf_dir).select("id", curves.value_dropout(F.col("x"), F.col("id"), 0.3).alias("y")), "y")
 
 
-@query(f"""WITH {fx.HEALTH}, a AS (SELECT cell_id, string_agg(CAST(cycle_number AS VARCHAR), ', ' ORDER BY cycle_number) FILTER (cycle_number % 10 <> 0) AS n, string_agg(CAST(cycle_number AS VARCHAR), ', ' ORDER BY cycle_number) FILTER (cycle_number % 10 = 0) AS r FROM health WHERE cycle_number <= 20 + cell_id % 3 AND NOT (cell_id % 2 = 0 AND cycle_number % 10 = 0) GROUP BY 1)
+@query(f"""WITH {fx.HEALTH}, a AS (SELECT cell_id, string_agg(CAST(cycle_number AS VARCHAR), ', ' ORDER BY cycle_number) FILTER (cycle_number % 10 <> 0) AS n, string_agg(CAST(cycle_number AS VARCHAR), ', ' ORDER BY cycle_number) FILTER (cycle_number % 10 = 0) AS r FROM health GROUP BY 1)
   SELECT cell_id, CASE WHEN r IS NULL THEN 'All cycles are normal cycles.' ELSE 'Normal cycles: ' || n || '. Reference tests: ' || r || '.' END AS note FROM a""")
 def g23_operating_note(spark, sf_dir):
-    h = fx.health(spark, sf_dir).where((F.col(CYC) <= 20 + F.col(CELL) % 3) & ~((F.col(CELL) % 2 == 0) & (F.col(CYC) % 10 == 0)))
+    h = fx.health(spark, sf_dir)
     return curves.operating_note(h.withColumn("attribute", F.when(F.col(CYC) % 10 == 0, "RPT").otherwise("Cycling")))
 
 
