@@ -203,19 +203,20 @@ def _texts(part: pd.DataFrame) -> tuple[pd.DataFrame, list[bytes]]:
     return part, [t.encode() for t in part["_text"]]
 
 
-def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text", batch: int = 2_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text", batch: int = 2_000, batch_mb: int = 32) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept) of each row; kept holds the remaining bytes.
 
     Texts count as UTF-8 bytes (null: empty). Each byte goes that lies in a 50-byte string which also
     starts in a row with a smaller key; strings are judged on the input. So copies inside
     one document, and rows that share a key, don't affect each other. A row with a null key takes no part
-    and stays whole; an empty table gives an empty result. ``batch`` is the number of rows that a
-    task handles at a time.
+    and stays whole; an empty table gives an empty result. Keys must be whole numbers. A task handles about
+    ``batch`` rows or ``batch_mb`` MB of text at a time, whichever is less.
     """
     kind = dict(docs.dtypes)[key]
     base = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     known = base.where("_id is not null")
-    n = max(1, math.ceil(docs.count() / batch))
+    whole = base.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("_text").cast("long")), F.lit(0)).alias("bytes")).first()
+    n = max(1, math.ceil(max(whole["rows"] / batch, whole["bytes"] / (batch_mb << 20))))
     dealt = known.select(F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int").alias("batch"), F.col("_id").cast("long").alias("_id"), "_text")
     dealt = dealt.repartition(min(n, partitions(docs.sparkSession)), "batch")
 
