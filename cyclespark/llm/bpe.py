@@ -36,10 +36,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+ENTRY = 200  # bytes of a cache entry besides its characters and ids
+
+
 class SpeculativeBpe:
-    """Encoder and decoder for one vocabulary file; ``cache_words`` bounds its memory."""
+    """Encoder and decoder for one vocabulary file; ``cache_words`` and ``cache_mb`` bound its memory."""
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 500_000, cache_mb: int = 128):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -78,7 +81,7 @@ class SpeculativeBpe:
             self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
         self.known: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.cache_words, self.cache_bytes, self.held = cache_words, cache_mb << 20, 0
 
     def exact(self, word: bytes) -> list[int]:
         """Merge the lowest-ranked pair, leftmost first, until none is left."""
@@ -186,9 +189,10 @@ class SpeculativeBpe:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers."""
         cache = self.cache
-        if len(cache) > self.cache_words:
+        if len(cache) > self.cache_words or self.held > self.cache_bytes:
             cache.clear()
             self.known.clear()
+            self.held = 0
         parts: list[list[str | int]] = []
         for t in texts:
             if self.specials is not None and any(s in t for s in self.added):
@@ -203,8 +207,10 @@ class SpeculativeBpe:
         known = self.known
         if new := list({w for ws in todo.values() for w in ws if w not in known}):
             known.update(zip(new, self.words([w.encode() for w in new]), strict=True))
+            self.held += sum(len(w) + len(known[w]) for w in new) + ENTRY * len(new)
         for c in chunks:
             cache[c] = b"".join(map(known.__getitem__, todo[c])) if c in todo else np.array([c], "<u4").tobytes()
+            self.held += ENTRY + len(cache[c]) + (len(c) if c in todo else 0)
         return [b"".join(map(cache.__getitem__, p)) for p in parts]
 
     def decode(self, ids: bytes) -> str:
