@@ -378,6 +378,32 @@ def test_near_duplicates(spark, docs, empty):
     assert near.near_duplicates(empty).count() == 0
 
 
+def test_near_pairs_stay_few(spark):
+    """Near copies of one text and texts that share a passage are compared a few times each, not with one another."""
+    rng = np.random.default_rng(14)
+    base, passage = [f"b{k}" for k in range(150)], [f"p{k}" for k in range(60)]
+    texts = [base]
+    for _ in range(2000):
+        own = list(base)
+        for at in rng.integers(0, 150, rng.integers(1, 9)):
+            own[at] = f"w{rng.integers(0, 60)}"
+        texts.append(own)
+    texts += [[*passage, *(f"o{k}_{j}" for j in range(60))] for k in range(2000)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id long, text string")
+    t = near.Tables(spark, "test")
+    sets = t.write(near.full_sets(docs, docs.select("id", F.col("id").alias("c")), "id", "text", 4), "sets")
+    links = near.prefix_links(t, sets, 80)
+    compared = sum(spark.read.parquet(f"{t.path}/{name}").count() for name in ("prefix-pairs", "spokes"))
+    assert compared < 10 * len(texts)
+    joined = {r["id"]: r["component"] for r in near.components(t, links, "test").collect()}
+    first = {tuple(x[i : i + 4]) for x in [base] for i in range(147)}
+    for k in range(1, 2001):
+        own = {tuple(texts[k][i : i + 4]) for i in range(147)}
+        if 100 * len(own & first) >= 80 * len(own | first):
+            assert joined[k] == 0
+    assert not any(k in joined for k in range(2001, 4001))
+
+
 def test_index_guarantee():
     """Any two signatures within the distance share a key."""
     plan = near.index_plan(64, 27, 14)
