@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,20 +203,19 @@ def pack(
     those that fit; all three capacities always hold, but for a piece that exceeds one of them alone. Copies of rows are packed each; an
     empty table gives an empty result.
     """
-    carry = [c for c in parts.columns if c not in ("sequence_id", "offset")]
-    numbered = parts.select(F.monotonically_increasing_id().alias("_number"), F.col("length").cast("long").alias("_length"), F.struct(*carry).alias("_rest"))
-    numbered = cut(numbered, "pieces")
+    carry = [c for c in parts.columns if c not in ("sequence_id", "offset", "_number", "_block")]
+    numbered = cut(parts.select(*carry, F.monotonically_increasing_id().alias("_number")), "pieces")
     blocks = max(1, math.ceil(numbered.count() / block))
-    keyed = numbered.select("_number", "_length", F.pmod(F.xxhash64("_number"), F.lit(blocks)).alias("_block"))
+    keyed = numbered.withColumn("_block", F.pmod(F.xxhash64("_number"), F.lit(blocks)))
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in parts.dtypes if c in carry], "sequence_id long, offset long"])
 
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("_number", ignore_index=True)
-        bins, offsets = best_fit(b["_length"].to_numpy(), (size, max_documents, max_attention), weights, score)
-        return pd.DataFrame({"_at": b["_number"], "sequence_id": (int(key[0]) << 32) | bins, "offset": offsets})
+    def run(key: tuple, b: pa.Table) -> pa.Table:
+        b = b.sort_by("_number")
+        bins, offsets = best_fit(b["length"].to_numpy(), (size, max_documents, max_attention), weights, score)
+        out = b.select(carry).append_column("sequence_id", pa.array((key[0].as_py() << 32) | bins, pa.int64()))
+        return out.append_column("offset", pa.array(offsets, pa.int64()))
 
-    placed = keyed.groupBy("_block").applyInPandas(run, "_at long, sequence_id long, offset long")
-    joined = numbered.join(placed, F.col("_number") == F.col("_at"))
-    return joined.select(*[F.col("_rest")[c].alias(c) for c in carry], "sequence_id", "offset")
+    return keyed.groupBy("_block").applyInArrow(run, schema)
 
 
 def packed_documents(docs: DataFrame, path: str, *, key: str = "doc_id", **capacities) -> DataFrame:
