@@ -81,6 +81,10 @@ class Tables:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         return _folder(df, f"{self.path}/{name}")
 
+    def read(self, name: str, schema: str) -> DataFrame:
+        """Several tables written as ``name/column=value``, as one."""
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
     def drop(self, *names: str) -> None:
         remove(self.spark, [f"{self.path}/{n}" for n in names])
 

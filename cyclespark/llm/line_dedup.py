@@ -47,33 +47,32 @@ def suffix_order(t: Tables, active: DataFrame) -> DataFrame:
     the numbers of the suffix's classes by 1, 2, 4, ... lines, as far as others share them, then
     its own. The arrays are in the order of the suffixes; equal sequences go by their place.
     """
-    tied = t.write(active.withColumns({"id": F.col("rank") * 64, "classes": F.array("rank")}).drop("rank"), "tied-0")
-    done: list[DataFrame] = []
+    here = ["place", "row", "line"]
+    first = active.select(*here, "words", (F.col("rank") * 64).alias("id"), F.array("rank").alias("classes"), F.lit(2).cast("long").alias("n"))
+    schema = ", ".join([*[f"`{c}` {kind}" for c, kind in first.dtypes], "level int"])
+    tied = t.write(first, "named/level=0")
     level = 0
+
+    def whole(last: int) -> DataFrame:
+        """Each suffix once: from the round that gave it its place, or from the last one."""
+        return t.read("named", schema).where(f"n = 1 or level = {last}").drop("level", "n")
+
     while not tied.isEmpty():
         level += 1
-        whole = tied
-        for d in done:
-            whole = whole.unionByName(d)
         step = 1 << (level - 1)
-        after = whole.select("row", (F.col("line") - step).alias("line"), F.col("id").alias("id2"), F.col("classes").alias("classes2"))
-        both = t.write(tied.join(after, ["row", "line"], "left"), f"both-{level}")
+        after = whole(level - 1).select("row", (F.col("line") - step).alias("line"), F.col("id").alias("id2"), F.col("classes").alias("classes2"))
+        both = t.write(tied.drop("n").join(after, ["row", "line"], "left"), f"both-{level}")
         # where the sequence ends each suffix is a class by itself, before those that go on
-        here = ["place", "row", "line"]
         ended = both.where("id2 is null").select("id", F.lit(None).cast("long").alias("id2"), F.lit(1).cast("long").alias("n"), F.col("classes").alias("c"), F.col("classes2").alias("c2"), *here, "words")
         pairs = both.where("id2 is not null").groupBy("id", "id2").agg(F.count(F.lit(1)).alias("n"), F.first("classes").alias("c"), F.first("classes2").alias("c2"))
         names = _numbered(t, pairs.unionByName(ended, allowMissingColumns=True), ["c", "c2", *here], "rank", f"names-{level}")
         named = both.where("id2 is not null").join(names.where("id2 is not null").select("id", "id2", "n", "rank"), ["id", "id2"]).select(*here, "words", "classes", "n", "rank")
         named = named.unionByName(names.where("id2 is null").select(*here, "words", F.col("c").alias("classes"), "n", "rank"))
         named = named.select(*here, "words", (F.col("rank") * 64 + level).alias("id"), F.concat("classes", F.array("rank")).alias("classes"), "n")
-        named = t.write(named, f"named-{level}")
+        named = t.write(named, f"named/level={level}")
         t.drop(f"names-{level}", f"both-{level}")
-        done.append(named.where("n = 1").drop("n"))
-        tied = named.where("n > 1").drop("n")
-    whole = tied
-    for d in done:
-        whole = whole.unionByName(d)
-    return whole.drop("id")
+        tied = named.where("n > 1")
+    return whole(level).drop("id")
 
 
 def with_common_prefix(t: Tables, suffixes: DataFrame) -> DataFrame:
