@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables
@@ -182,38 +182,66 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select(*pairs.columns).distinct()
 
 
-FEW = 30  # a shingle that so many sets hold at most is rare
+FEW = 30  # a shingle that so many sets hold at most is rare, and such a group small
 
 
-def prefixes(sets: DataFrame, percent: int, steps: int = 3) -> DataFrame:
+def prefixes(t: Tables, sets: DataFrame, percent: int, steps: int = 3, bits: int = 19) -> DataFrame:
     """(token, size, large, id, c, far): where sets of different components could meet.
 
-    In one order of all shingles, rare ones first, a set of n and one of m that share at least
-    t = percent * (n + m) / (100 + percent) of them also share one of the first n - t + 1
-    and m - t + 1 of each. So the smaller of two sets shows its first shingles for a partner
+    In one order of all shingles two sets of n and m that share at least
+    q = percent * (n + m) / (100 + percent) of them also share one of the first n - q + 1
+    and m - q + 1 of each. So the smaller of two sets shows its first shingles for a partner
     of its own size at least, under its class of sizes; the larger one shows, under each class
-    of sizes that its partner can have, those that this size leaves. Shingles that one
-    set alone has come first and meet nothing. far: how many shingles of a set are rare.
+    of sizes that its partner can have, those that this size leaves. Any order is right; the one by how
+    frequent shingles are, rare ones first, shows few that many sets share. Frequencies are
+    counted in 2 ** ``bits`` counters, so what is broadcast has a fixed size: rare shingles then
+    look as frequent as the average counter, which only blurs the order among them.
+    far: how many shingles of a set are rare.
     """
-    each = sets.select("id", "c", "r", "n", F.explode("shingles").alias("token"))
-    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.min("c").alias("low"), F.max("c").alias("high"))
-    counts = counts.where("f > 1").select("token", "f", (F.col("low") != F.col("high")).alias("mixed"))
-    listed = each.join(counts, "token").groupBy("id", "c", "r", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token", "mixed"))).alias("t"))
-    able = listed.where(100 * F.size("t") >= percent * F.col("n"))
-    n, alone = F.col("n"), F.col("n") - F.size("t")
+    slots, size = 1 << bits, 1 << min(bits, 12)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(slots, np.int64)
+        for b in batches:
+            for x in b["shingles"]:
+                np.add.at(total, x & (slots - 1), 1)
+        if total.any():
+            yield pd.DataFrame({"at": np.arange(0, slots, size), "blob": [x.tobytes() for x in total.reshape(-1, size)]})
+
+    def add(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": [key[0]], "blob": [np.sum([np.frombuffer(x, np.int64) for x in b["blob"]], 0).tobytes()]})
+
+    counts = sets.select("shingles").mapInPandas(count, "at int, blob binary").groupBy("at").applyInPandas(add, "at int, blob binary").collect()
+    table = np.zeros(slots, np.int64)
+    for r in counts:  # slots / size rows
+        table[r["at"] : r["at"] + size] = np.frombuffer(r["blob"], np.int64)
+    often, rare = sets.sparkSession.sparkContext.broadcast(table), 2 * int(table.mean()) + FEW
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 200):
+                made = []
+                for k, c, x in zip(*(b[c].iloc[at : at + 200] for c in ("id", "c", "shingles")), strict=True):
+                    n, f = len(x), often.value[x & (slots - 1)]
+                    q = -(-percent * (n - (-percent * n // 100)) // (100 + percent))  # with the smallest partner
+                    first = x[np.lexsort((x, f))][: n - q + 1]
+                    made.append(pd.DataFrame({"token": first, "place": np.arange(1, len(first) + 1), "id": k, "c": c, "n": n, "far": int((f <= rare).sum())}))
+                if made:
+                    yield pd.concat(made, ignore_index=True)
+
+    tokens = t.write(sets.select("id", "c", "shingles").mapInPandas(run, "token long, place int, id long, c long, n int, far int"), "tokens")
+    mixed = tokens.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("token")
+    n = F.col("n")
     width = np.log(100 / percent) / steps
     size_class = lambda x: F.floor(F.log(x.cast("double")) / width).cast("int")
-    shared = lambda total: F.ceil(percent * total / (100 + percent) - 1e-9)
+    last = lambda partner: n - F.ceil(percent * (n + partner) / (100 + percent) - 1e-9) + 1
     least = F.ceil(percent * n / 100 - 1e-9)
-
-    def shown(partner: Column, cls: Column, large: bool) -> Column:
-        first = F.slice("t", 1, F.greatest(n - shared(n + partner) + 1 - alone, F.lit(0)).cast("int"))
-        return F.transform(F.filter(first, lambda x: x["mixed"]), lambda x: F.struct(x["token"].alias("token"), cls.alias("size"), F.lit(large).alias("large")))
-
     smallest = lambda j: F.greatest(least, F.ceil(F.exp(j * width) * (1 - 1e-9)))
-    as_large = F.flatten(F.transform(F.sequence(size_class(least), size_class(n)), lambda j: shown(smallest(j), j, True)))
-    far = (alone + F.size(F.filter("t", lambda x: x["f"] <= FEW))).alias("far")
-    return able.select("id", "c", far, F.explode(F.concat(shown(n, size_class(n), False), as_large)).alias("x")).select("x.*", "id", "c", "far")
+    as_large = F.filter(F.sequence(size_class(least), size_class(n)), lambda j: F.col("place") <= last(smallest(j)))
+    as_small = F.when(F.col("place") <= last(n), F.array(size_class(n))).otherwise(F.array().cast("array<int>"))
+    role = lambda classes, large: F.transform(classes, lambda j: F.struct(j.alias("size"), F.lit(large).alias("large")))
+    shown = F.explode(F.concat(role(as_small, False), role(as_large, True))).alias("x")
+    return tokens.join(mixed, "token", "left_semi").select("token", "id", "c", "far", shown).select("token", "x.*", "id", "c", "far")
 
 
 def mixed_groups(met: DataFrame) -> DataFrame:
@@ -232,10 +260,9 @@ def prefix_links(t: Tables, sets: DataFrame, percent: int) -> DataFrame:
     The centre of a large group is compared with its members first. Then only pairs of different
     components are left, which never needs two members of a group's main component.
     """
-    met = prefixes(sets, percent)
-    met = t.write(met, "met")
+    met = t.write(prefixes(t, sets, percent), "met")
     met = t.write(met.join(mixed_groups(met), ["token", "size"]), "groups")
-    t.drop("met")
+    t.drop("met", "tokens")
     spokes = met.where((F.col("n") > FEW) & (F.col("c") != F.col("centre.c"))).select(F.col("centre.id").alias("a"), F.col("id").alias("b"), F.col("centre.c").alias("ca"), F.col("c").alias("cb"))
     first = t.write(confirmed(spokes.distinct(), sets, percent), "spokes")
     joined = components(t, first.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "spoke-components").withColumnRenamed("id", "c")
