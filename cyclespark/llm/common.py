@@ -116,3 +116,11 @@ def salted_left_join(big: DataFrame, small: DataFrame, keys: list[str], on_row:
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return left.join(right, on, "left").drop("_salt", "_salt_r", *[f"_k_{k}" for k in keys])
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores in front as make it differ from ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, licenses, line_dedup, near, packing, pii, quality, suffix_dedup
+from . import ann, bpe, chat, filter_audit, licenses, line_dedup, near, packing, pii, quality, resampling, secret_scan, suffix_dedup
 from .sql import ORACLES
 
 
@@ -72,9 +72,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(_table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.scan(_table(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=[])
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
         op1_line_dedup, op2_nearest, op3_license_scan, op4_bpe_round_trip, op5_pack, op6_near_dedup, op7_quality_rules, op8_chat_format, op9_suffix_dedup, op10_pii,
+        op11_secret_scan, op12_filter_audit, op13_resample,
     ]
     return {f.__name__: f for f in made}
 

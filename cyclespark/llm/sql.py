@@ -77,10 +77,37 @@ SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_rem
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
+AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+first AS (SELECT text, min(doc_id) AS f FROM d GROUP BY text),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(d.text, '[A-Z]')) > 5 * length(d.text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN f < d.doc_id THEN 'E' ELSE '' END AS fails
+  FROM d JOIN first ON first.text = d.text LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE a.f <> b.f AND a.f <> c.f AND a.f <> d.f AND a.f <> e.f AND b.f <> c.f AND b.f <> d.f AND b.f <> e.f AND c.f <> d.f AND c.f <> e.f AND d.f <> e.f),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+r AS (SELECT *, contains(fails, f) AS fails_f, before <> '' AND regexp_matches(fails, '[' || before || 'x]') AS gone FROM c, s),
+g AS (SELECT part, filter_order, step, f,
+    sum(CASE WHEN NOT fails_f AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails_f AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails_f AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails_f AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails_f AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM g
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": LINES,
     "op6_near_dedup": NEAR,
     "op7_quality_rules": QUALITY,
     "op8_chat_format": CHAT,
     "op9_suffix_dedup": SUBSTRINGS,
+    "op12_filter_audit": AUDIT,
 }
