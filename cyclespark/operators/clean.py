@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclespark.functions.parse import DATASET_IDS, name_prefix, to_number
+from cyclespark.functions.quantiles import group_quantiles
+from cyclespark.functions.scans import across, in_ranges
 from cyclespark.functions.windows import CYCLE, in_cell, in_cycle, upwards, whole_cell, whole_cycle
 
 
@@ -160,9 +162,10 @@ def skip_defect_cycle(cycles: DataFrame, defects: DataFrame) -> DataFrame:
 
 def fill_with_cycle_median(readings: DataFrame, column: str) -> DataFrame:
     """Null or NaN values take the median of the finite ones of their cycle."""
-    value = F.nanvl(F.col(column), F.lit(None).cast("double"))
-    middle = readings.groupBy(*CYCLE).agg(F.percentile(value, 0.5).alias("_m"))
-    return readings.join(middle, CYCLE).withColumn(column, F.coalesce(value, "_m")).drop("_m")
+    value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    rows = in_ranges(readings, [*CYCLE, "idx"])
+    out = across(rows, CYCLE, constants=group_quantiles(rows, CYCLE, value, {"_m": 0.5}))
+    return out.withColumn(column, F.coalesce(value, "_m")).select(*readings.columns)
 
 
 def attach_cycle_summary(cycles: DataFrame, summary: DataFrame) -> DataFrame:
@@ -173,8 +176,13 @@ def attach_cycle_summary(cycles: DataFrame, summary: DataFrame) -> DataFrame:
 # --- E: outliers and imputation --------------------------------------------------------
 
 
-def _by_cell(cycles: DataFrame, column: Column, name: str, at: float = 0.5) -> DataFrame:
-    return cycles.join(cycles.groupBy("cell_id").agg(F.percentile(column, at).alias(name)), "cell_id")
+def _by_cell(cycles: DataFrame, columns: dict[str, Column], at: float = 0.5) -> DataFrame:
+    """``cycles`` with a quantile over the cell for each of ``columns``, all of them selected in the same rounds."""
+    values = F.explode(F.array(*[F.struct(F.lit(n).alias("_of"), c.cast("double").alias("_x")) for n, c in columns.items()])).alias("_v")
+    long = cycles.select("cell_id", values).select("cell_id", "_v.*")
+    found = group_quantiles(long, ["cell_id", "_of"], F.col("_x"), {"_q": at})
+    wide = found.groupBy("cell_id").agg(*[F.max(F.when(F.col("_of") == n, F.col("_q"))).alias(n) for n in columns])
+    return cycles.join(wide, "cell_id")
 
 
 def median_filter_outliers(cycles: DataFrame, k: int = 21) -> DataFrame:
@@ -183,7 +191,7 @@ def median_filter_outliers(cycles: DataFrame, k: int = 21) -> DataFrame:
     near = F.collect_list("qd_max").over(in_cell().rowsBetween(-half, half))
     padded = F.array_sort(F.concat(near, F.array_repeat(F.lit(0.0), F.lit(k) - F.size(near))))
     off = cycles.withColumn("_off", F.abs(F.col("qd_max") - padded[half]))
-    kept = _by_cell(off, F.col("_off"), "_m").where("_off < 3 * _m and qd_max > 0.1").drop("_off", "_m")
+    kept = _by_cell(off, {"_m": F.col("_off")}).where("_off < 3 * _m and qd_max > 0.1").drop("_off", "_m")
     return kept.withColumn("cycle_number", F.row_number().over(in_cell()))
 
 
@@ -197,25 +205,23 @@ def _shift_distance(s: int) -> Column:
 def shift_outliers(cycles: DataFrame, shifts: int = 2, ths: float = 10) -> DataFrame:
     """Add excluded: far from both neighbours at some shift, against the median distance."""
     out = cycles.withColumns({f"_d{s}": _shift_distance(s) for s in range(1, shifts + 1)})
-    flag = F.lit(False)
+    near = lambda d: F.when((d > 0) & (d < float("inf")), d)
+    out, flag = _by_cell(out, {f"_m{s}": near(F.col(f"_d{s}")) for s in range(1, shifts + 1)}), F.lit(False)
     for s in range(1, shifts + 1):
-        d = F.col(f"_d{s}")
-        out = _by_cell(out, F.when((d > 0) & (d < float("inf")), d), f"_m{s}")
-        flag = flag | F.coalesce(d > ths * F.col(f"_m{s}"), F.lit(False))
+        flag = flag | F.coalesce(F.col(f"_d{s}") > ths * F.col(f"_m{s}"), F.lit(False))
     return out.withColumn("excluded", flag).drop(*[f"_{x}{s}" for x in "dm" for s in range(1, shifts + 1)])
 
 
 def hampel_shift_outliers(cycles: DataFrame, shifts: int, ths: float = 3) -> DataFrame:
     """As shift_outliers, by distance from the median in units of the median deviation."""
     out = cycles.withColumns({f"_d{s}": _shift_distance(s) for s in range(1, shifts + 1)})
-    flag, drop = F.lit(False), []
-    for s in range(1, shifts + 1):
-        d = F.col(f"_d{s}")
-        out = _by_cell(out, d, f"_m{s}").withColumn(f"_a{s}", F.abs(d - F.col(f"_m{s}")))
-        out = _by_cell(out, F.col(f"_a{s}"), f"_b{s}")
+    each = range(1, shifts + 1)
+    out = _by_cell(out, {f"_m{s}": F.col(f"_d{s}") for s in each})
+    out = out.withColumns({f"_a{s}": F.abs(F.col(f"_d{s}") - F.col(f"_m{s}")) for s in each})
+    out, flag = _by_cell(out, {f"_b{s}": F.col(f"_a{s}") for s in each}), F.lit(False)
+    for s in each:
         flag = flag | F.coalesce(F.col(f"_a{s}") > ths * F.col(f"_b{s}"), F.lit(False))
-        drop += [f"_{x}{s}" for x in "dmab"]
-    return out.withColumn("excluded", flag).drop(*drop)
+    return out.withColumn("excluded", flag).drop(*[f"_{x}{s}" for x in "dmab" for s in each])
 
 
 def two_sided_median_outliers(cycles: DataFrame, eps: float = 0.05, w: int = 5) -> DataFrame:

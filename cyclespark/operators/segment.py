@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclespark.functions.folds import sorted_fold
-from cyclespark.functions.windows import CYCLE, in_cell, in_cycle, readings_of_cell, upwards, whole_cycle
+from cyclespark.functions.quantiles import group_quantiles
+from cyclespark.functions.scans import across, in_ranges
+from cyclespark.functions.windows import CYCLE, in_cell, in_cycle, whole_cycle
+from cyclespark.sources.shared import scratch
 
 ACTIVE = 0.01
+READING = ["cell_id", "cycle_number", "idx"]
 
 
 def _running(w):
@@ -102,7 +106,8 @@ def compress_stages(staged: DataFrame) -> DataFrame:
 def find_cycle_ends(readings: DataFrame, lag: int = 10, tolerance: float = 0.1, quiet: int = 250) -> DataFrame:
     """Add cycle_end: the first of ``lag`` discharge rows in a row, unless one lies ``quiet`` rows before.
 
-    ``readings`` has n, the row's place in the cell from 0.
+    ``readings`` has n, the row's place in the cell from 0. Which candidates count follows from the one that counted
+    before; that chain is followed in doubling steps.
     """
     w = Window.partitionBy("cell_id").orderBy("n")
     i, before, after = F.col("i"), F.lag("i").over(w), F.lead("i").over(w)
@@ -111,81 +116,121 @@ def find_cycle_ends(readings: DataFrame, lag: int = 10, tolerance: float = 0.1,
     smooth = smooth.withColumn("_block", F.sum((F.col("_i") >= 0).cast("int")).over(_running(w)))
     run = F.row_number().over(Window.partitionBy("cell_id", "_block").orderBy("n")) - F.max((F.col("_i") >= 0).cast("int")).over(Window.partitionBy("cell_id", "_block"))
     found = smooth.withColumn("_run", run).where((F.col("_i") < 0) & (F.col("_run") == lag)).select("cell_id", (F.col("n") - lag + 1).alias("n"))
+    marks = _chained(found, quiet).withColumn("cycle_end", F.lit(True))
+    return readings.join(marks, ["cell_id", "n"], "left").withColumn("cycle_end", F.coalesce("cycle_end", F.lit(False)))
 
-    def step(last, n):
-        good = last is None or n <= quiet or n - last > quiet
-        return (n if good else last), good
 
-    marks = sorted_fold(found, ["cell_id"], ["n"], ["n"], "cycle_end", "boolean", lambda: None, step).where("cycle_end")
-    return readings.join(marks, ["cell_id", "n"], "left").withColumn("cycle_end", F.coalesce("cycle_end", F.lit(False)))
+def _chained(candidates: DataFrame, quiet: int) -> DataFrame:
+    """Those of ``candidates`` (cell_id, n) that are the first of their cell, follow a kept one by over ``quiet``, or aren't past ``quiet``.
+
+    Each candidate points to the one that would be kept next. What the first reaches is found by doubling: in each
+    round kept ones pass on to what they point to, and pointers are followed twice as far.
+    """
+    spark, path = candidates.sparkSession, scratch(candidates.sparkSession, "chain")
+    kind = dict(candidates.dtypes)["n"]
+    # the first candidate past the quiet span: candidates and ends of spans in one falling order
+    asked = candidates.select("cell_id", (F.col("n") + quiet + 1).alias("at"), F.col("n").alias("of"), F.lit(None).cast(kind).alias("n"))
+    both = candidates.select("cell_id", F.col("n").alias("at"), F.lit(None).cast(kind).alias("of"), "n").unionByName(asked)
+    falling = Window.partitionBy("cell_id").orderBy(F.desc("at"), F.col("n").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    past = both.withColumn("past", F.last("n", ignorenulls=True).over(falling)).where("of is not null").select("cell_id", F.col("of").alias("n"), "past")
+    w = Window.partitionBy("cell_id").orderBy("n")
+    near = past.withColumn("near", F.lead("n").over(w)).withColumn("kept", F.row_number().over(w) == 1)
+    jump = F.when(F.col("near") <= quiet, F.col("near")).otherwise(F.col("past"))
+    near.select("cell_id", "n", "kept", jump.alias("to")).write.parquet(f"{path}/0")
+    now, number = spark.read.parquet(f"{path}/0"), 0
+    while not now.where("kept and to is not null").isEmpty():
+        number += 1
+        reached = now.where("kept and to is not null").select("cell_id", F.col("to").alias("n"), F.lit(True).alias("_reached")).distinct()
+        far = now.select("cell_id", F.col("n").alias("to"), F.col("to").alias("_far"))
+        step = now.join(reached, ["cell_id", "n"], "left").join(far, ["cell_id", "to"], "left")
+        step.select("cell_id", "n", (F.col("kept") | F.col("_reached").isNotNull()).alias("kept"), F.col("_far").alias("to")).write.parquet(f"{path}/{number}")
+        now = spark.read.parquet(f"{path}/{number}")
+    return now.where("kept").select("cell_id", "n")
 
 
 def segment_rpt_runs(readings: DataFrame) -> DataFrame:
-    """segment and kind: runs of one non-null ``rpt`` are RPT, runs of nulls Cycling."""
-    w = readings_of_cell()
-    same = F.col("rpt").eqNullSafe(F.lag("rpt").over(w)) & F.lag("idx").over(w).isNotNull()
-    out = readings.withColumn("_new", (~same).cast("int")).withColumn("segment", F.sum("_new").over(_running(w)))
-    size = F.count(F.lit(1)).over(Window.partitionBy("cell_id", "segment"))
-    out = out.withColumn("_size", size).withColumn("segment", F.when(F.col("_size") >= 2, F.col("segment")))
-    return out.withColumn("kind", F.when(F.col("rpt").isNotNull(), "RPT").otherwise("Cycling")).drop("_new", "_size")
+    """segment and kind: runs of one non-null ``rpt`` are RPT, runs of nulls Cycling; a run of one row has no segment."""
+    rows = across(in_ranges(readings, READING), ["cell_id"], previous={"_before": "rpt"}, following={"_after": "rpt"})
+    same = lambda side: F.col(side).isNotNull() & F.col("rpt").eqNullSafe(F.col(side)["v"])
+    rows = rows.withColumns({"_new": (~same("_before")).cast("int"), "_alone": ~same("_before") & ~same("_after")})
+    out = across(rows, ["cell_id"], totals={"segment": "_new"})
+    out = out.withColumn("segment", F.when(~F.col("_alone"), F.col("segment")))
+    return out.withColumn("kind", F.when(F.col("rpt").isNotNull(), "RPT").otherwise("Cycling")).drop("_new", "_before", "_after", "_alone", "_at", "_range")
 
 
 def direction_runs(readings: DataFrame) -> DataFrame:
-    """Runs of one current direction per cell, rest rows taking the direction before (at the start, after)."""
-    w = readings_of_cell()
-    scale = readings.groupBy("cell_id").agg(F.percentile(F.abs("i"), 0.9).alias("_p"))
+    """Runs of one current direction per cell, rest rows taking the direction before (at the start, after).
+
+    Adds dir, run (from 0), _dt and the columns of ``in_ranges``.
+    """
+    rows = in_ranges(readings, READING)
+    scale = group_quantiles(rows, ["cell_id"], F.abs("i"), {"_p": 0.9})
+    rows = across(rows, ["cell_id"], previous={"_before": "t"}, constants=scale)
     eps = F.greatest(F.lit(1e-8), 0.02 * F.col("_p"))
-    state = F.when(F.col("i") > eps, 1).when(F.col("i") < -eps, -1)
-    out = readings.join(scale, "cell_id").withColumn("_s", state)
-    before = F.last("_s", ignorenulls=True).over(_running(w))
-    after = F.last("_s", ignorenulls=True).over(upwards(["cell_id"], ["cycle_number", "idx"]))
-    dt = F.greatest(F.coalesce(F.col("t") - F.lag("t").over(w), F.lit(0.0)), F.lit(0.0))
-    out = out.withColumns({"dir": F.coalesce(before, after, F.lit(0)), "_dt": dt})
-    new = F.coalesce((F.col("dir") != F.lag("dir").over(w)).cast("int"), F.lit(0))
-    out = out.withColumn("_new", new).withColumn("run", F.sum("_new").over(_running(w)))
-    return out.drop("_p", "_s", "_new")
+    rows = rows.withColumn("_s", F.when(F.col("i") > eps, 1).when(F.col("i") < -eps, -1))
+    rows = across(rows, ["cell_id"], known={"_back": "_s"}, upcoming={"_ahead": "_s"})
+    dt = F.greatest(F.coalesce(F.col("t") - F.col("_before.v"), F.lit(0.0)), F.lit(0.0))
+    rows = rows.withColumns({"dir": F.coalesce("_back", "_ahead", F.lit(0)), "_dt": dt})
+    rows = across(rows, ["cell_id"], previous={"_last": "dir"})
+    rows = rows.withColumn("_new", F.coalesce((F.col("dir") != F.col("_last.v")).cast("int"), F.lit(0)))
+    return across(rows, ["cell_id"], totals={"run": "_new"}).drop("_p", "_s", "_new", "_before", "_back", "_ahead", "_last")
+
+
+def paired_runs(majors: DataFrame) -> DataFrame:
+    """(cell_id, low, high, id): neighbours of opposite direction among (cell_id, run, dir), each in one pair, numbered from 0.
+
+    A run closes a pair if it turns against one that is still open. So in a stretch of runs that each turn against
+    the one before, every second one closes a pair: the state is the parity of the place in the stretch.
+    """
+    rows = in_ranges(majors.select("cell_id", "run", "dir", F.struct("run", "dir").alias("_own"), F.lit(1).alias("_one")), ["cell_id", "run"])
+    rows = across(rows, ["cell_id"], previous={"_before": "_own"}, totals={"_place": "_one"})
+    turns = F.coalesce(F.col("dir") == -F.col("_before.v.dir"), F.lit(False))
+    rows = across(rows.withColumn("_begin", F.when(~turns, F.col("_place"))), ["cell_id"], known={"_from": "_begin"})
+    closes = (F.col("_place") - F.col("_from")) % 2 == 1
+    rows = across(rows.withColumn("_closes", closes.cast("int")), ["cell_id"], totals={"_n": "_closes"})
+    return rows.where("_closes = 1").select("cell_id", F.col("_before.v.run").alias("low"), F.col("run").alias("high"), (F.col("_n") - 1).cast("int").alias("id"))
+
+
+def nearest_interval(runs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cell_id, run, full_cycle): the id of the interval of ``pairs`` that holds a run, else of the nearest one, the earlier one on ties, else 0.
+
+    Intervals don't overlap, so one sweep in order that remembers the last and the next one that begins decides.
+    """
+    starts = pairs.select("cell_id", F.col("low").alias("run"), F.struct("low", "high", "id").alias("_start"))
+    rows = in_ranges(runs.select("cell_id", "run").join(starts, ["cell_id", "run"], "left"), ["cell_id", "run"])
+    rows = across(rows, ["cell_id"], known={"_last": "_start"}, upcoming={"_next": "_start"})
+    run, last, following = F.col("run"), F.col("_last"), F.col("_next")
+    nearer = F.when(last.isNull(), following["id"]).when(following.isNull() | (run - last["high"] <= following["low"] - run), last["id"]).otherwise(following["id"])
+    return rows.select("cell_id", "run", F.coalesce(nearer, F.lit(0)).alias("full_cycle"))
 
 
 def split_full_cycles(readings: DataFrame) -> DataFrame:
-    """Add full_cycle: pairs of opposite major runs are cycles, all other runs join the nearest one."""
+    """Add dir, run and full_cycle: pairs of opposite major runs are cycles, all other runs join the nearest one."""
     rows = direction_runs(readings)
     runs = rows.groupBy("cell_id", "run").agg(
         F.first("dir").alias("dir"), F.count(F.lit(1)).alias("points"), F.sum("_dt").alias("seconds"), (F.sum(F.abs("i") * F.col("_dt")) / 3600).alias("q")
     )
-    typical = runs.where("q > 0").groupBy("cell_id").agg(F.percentile("q", 0.5).alias("_m"))
+    runs = in_ranges(runs, ["cell_id", "run"])
+    typical = group_quantiles(runs.where("q > 0"), ["cell_id"], F.col("q"), {"_m": 0.5})
+    runs = across(runs, ["cell_id"], constants=typical)
     least = F.greatest(F.lit(1e-4), 0.01 * F.coalesce("_m", F.lit(0.0)))
-    runs = runs.join(typical, "cell_id", "left").withColumn("major", ~((F.col("points") < 5) | (F.col("seconds") < 60) | (F.col("q") < least)))
-    # numbers of runs are their order, so that pulses between two majors are known by range
-
-    def step(state, run, way):
-        pending, k = state
-        if pending is not None and way == -pending[1]:
-            return (None, k + 1), {"low": pending[0], "high": int(run), "id": k}
-        return ((int(run), way), k), None
-
-    pairs = sorted_fold(runs.where("major"), ["cell_id"], ["run"], ["run", "dir"], "pair", "struct<low:int,high:int,id:int>", lambda: (None, 0), step)
-    pairs = pairs.where("pair is not null").select("cell_id", "pair.*")
-    # the nearest assigned run: ends of the pairs before and after, the earlier one on ties
-    w = Window.partitionBy("cell_id").orderBy("run")
-    marks = runs.select("cell_id", "run").join(pairs.withColumnRenamed("cell_id", "_c"), (F.col("cell_id") == F.col("_c")) & F.col("run").between(F.col("low"), F.col("high")), "left").drop("_c")
-    here = F.when(F.col("id").isNotNull(), F.struct("run", "id"))
-    b = F.last(here, ignorenulls=True).over(_running(w))
-    a = F.last(here, ignorenulls=True).over(upwards(["cell_id"], ["run"]))
-    marks = marks.withColumns({"_b": b, "_a": a})
-    nearer = F.when(F.col("_b").isNull(), F.col("_a.id")).when(F.col("_a").isNull(), F.col("_b.id")).when(F.col("run") - F.col("_b.run") <= F.col("_a.run") - F.col("run"), F.col("_b.id")).otherwise(F.col("_a.id"))
-    marks = marks.select("cell_id", "run", F.coalesce(nearer, F.lit(0)).alias("full_cycle"))
-    return rows.join(marks, ["cell_id", "run"]).drop("_dt")
+    majors = runs.where(~((F.col("points") < 5) | (F.col("seconds") < 60) | (F.col("q") < least)))
+    marks = nearest_interval(runs, paired_runs(majors))
+    # a run may be as long as its cell: its mark comes to each range of it
+    local = rows.select("cell_id", "_range", "run").distinct().join(marks, ["cell_id", "run"])
+    return rows.join(local, ["cell_id", "_range", "run"]).select(*[c for c in rows.columns if c not in ("_dt", "_at", "_range")], "full_cycle")
 
 
 def rpt_throughput(segmented: DataFrame) -> DataFrame:
     """First row of each RPT run: order, rpt and throughput before it."""
-    w = readings_of_cell()
-    flow = F.greatest(-F.col("i"), F.lit(0.0)) * F.greatest(F.coalesce(F.col("t") - F.lag("t").over(w), F.lit(0.0)), F.lit(0.0)) / 3600
-    rows = segmented.withColumn("_flow", flow)
-    before = F.coalesce(F.sum("_flow").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    first = F.coalesce(F.col("segment") != F.lag("segment").over(w), F.col("segment").isNotNull())
-    rows = rows.withColumns({"throughput": before, "_first": first}).where("_first and kind = 'RPT'")
-    return rows.select("cell_id", F.row_number().over(w).alias("rpt_order"), "rpt", "throughput", "cycle_number", "idx")
+    rows = across(in_ranges(segmented.withColumn("_own", F.struct("t", "segment")), READING), ["cell_id"], previous={"_before": "_own"})
+    flow = F.greatest(-F.col("i"), F.lit(0.0)) * F.greatest(F.coalesce(F.col("t") - F.col("_before.v.t"), F.lit(0.0)), F.lit(0.0)) / 3600
+    first = F.coalesce(F.col("segment") != F.col("_before.v.segment"), F.col("segment").isNotNull())
+    rows = across(rows.withColumns({"_flow": flow, "_first": first}), ["cell_id"], totals={"_sum": "_flow"})
+    starts = rows.where("_first and kind = 'RPT'").withColumn("throughput", F.coalesce(F.col("_sum"), F.lit(0.0)) - F.coalesce(F.col("_flow"), F.lit(0.0)))
+    starts = starts.select("cell_id", "rpt", "throughput", "cycle_number", "idx", F.lit(1).alias("rpt_order"))
+    starts = across(in_ranges(starts, READING), ["cell_id"], totals={"_order": "rpt_order"})
+    return starts.select("cell_id", F.col("_order").cast("int").alias("rpt_order"), "rpt", "throughput", "cycle_number", "idx")
 
 
 def cycle_attribute(readings: DataFrame) -> DataFrame:
@@ -221,14 +266,16 @@ def masked_trim(readings: DataFrame, nominal: float, column: str, mask: Column,
 def drop_cycle_after_rpt(cycles: DataFrame, rpt: DataFrame) -> DataFrame:
     """Each reference test removes the first later cycle; at most one a cycle; then renumber.
 
-    ``cycles`` has start, ``rpt`` is (cell_id, start); both times in one unit.
+    ``cycles`` has start, which doesn't fall from cycle to cycle, ``rpt`` is (cell_id, start); both times in one unit.
+    Tests are arrivals in a queue that each cycle serves once if it can: of k cycles with a(k) tests before the k-th,
+    k + min(0, a(1) - 1, ..., a(k) - k) have been served, so a cycle goes if that number grows with it.
     """
-    starts = rpt.groupBy("cell_id").agg(F.sort_array(F.collect_list("start")).alias("_rpt"))
-
-    def step(k, start, tests):
-        if tests is not None and k < len(tests) and tests[k] < start:
-            return k + 1, False
-        return k, True
-
-    marked = sorted_fold(cycles.join(starts, "cell_id", "left"), ["cell_id"], ["cycle_number"], ["start", "_rpt"], "_keep", "boolean", lambda: 0, step)
-    return marked.where("_keep").drop("_keep", "_rpt").withColumn("cycle_number", F.row_number().over(in_cell()))
+    tests = rpt.select("cell_id", "start", F.lit(1).alias("_test"))
+    both = cycles.withColumn("_test", F.lit(0)).unionByName(tests, allowMissingColumns=True)
+    # a test at the very start of a cycle isn't before it
+    order = Window.partitionBy("cell_id").orderBy("start", "_test", "cycle_number")
+    placed = both.withColumns({"_a": F.sum("_test").over(_running(order)), "_k": F.sum(1 - F.col("_test")).over(_running(order))})
+    placed = placed.where("_test = 0").withColumn("_spare", F.least(F.lit(0), F.min(F.col("_a") - F.col("_k")).over(_running(order))))
+    served = F.col("_k") + F.col("_spare")
+    kept = placed.withColumn("_keep", served == F.coalesce(F.lag(served).over(order), F.lit(0))).where("_keep")
+    return kept.select(*cycles.columns).withColumn("cycle_number", F.row_number().over(in_cell()))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cyclespark.functions.folds import sorted_fold
-from cyclespark.functions.windows import CYCLE, in_cell, in_cycle, readings_of_cell, whole_cell
+from cyclespark.functions.scans import across, in_ranges, ranged_fold
+from cyclespark.functions.windows import CYCLE, in_cell, in_cycle, whole_cell
 
 
 def normalise_time_unit(readings: DataFrame) -> DataFrame:
@@ -77,23 +79,50 @@ def cumulative_time_array(readings: DataFrame) -> DataFrame:
 
 
 def strictly_increasing_time(readings: DataFrame, eps: float = 1e-6) -> DataFrame:
-    """A time not above the last one put out becomes that plus eps, across cycles."""
+    """t_strict: a time not above the last one put out becomes that plus eps, across cycles.
+
+    A row without a time counts as not above; before the first time of a cell it has none. Ranges of a cell are worked on
+    side by side: one is left in its own last state if any of its times overtakes the running one.
+    """
 
     def step(last, t):
-        t = t if last is None or t > last else last + eps
+        if last is None:
+            return (None, None) if pd.isna(t) else (t, t)
+        t = t if t > last else last + eps
         return t, t
 
-    return sorted_fold(readings, ["cell_id"], ["cycle_number", "idx"], ["t"], "t_strict", "double", lambda: None, step)
+    def leap(last, end, facts):
+        if last is None or (facts["lead"] is not None and facts["lead"] > last):
+            return end
+        for at in range(0, facts["rows"], 1 << 20):  # added one by one, as rounding goes
+            last = float(np.add.accumulate(np.concatenate([[last], np.full(min(1 << 20, facts["rows"] - at), eps)]))[-1])
+        return last
+
+    # a time overtakes the state before the range if it is ahead of it by the rows in between
+    t = F.nanvl("t", F.lit(None).cast("double"))
+    facts = {"lead": F.max(t - F.col("_place") * eps), "rows": F.count(F.lit(1))}
+    placed = {"_place": F.col("_at") - F.min("_at").over(Window.partitionBy("cell_id", "_range"))}
+    return ranged_fold(readings, ["cell_id"], ["cycle_number", "idx"], ["t"], "t_strict", "double", "double", step, facts, leap, placed)
 
 
 def drop_time_spikes(readings: DataFrame, tolerance: float = 1e5) -> DataFrame:
-    """Rows more than ``tolerance`` after the last accepted one go."""
+    """Rows more than ``tolerance`` after the last accepted one go; rows without a time stay and aren't accepted ones.
+
+    Ranges of a cell are worked on side by side: one that has any time within reach of the state before it ends in its
+    own last state, as its least time is accepted from every state.
+    """
 
     def step(last, t):
+        if pd.isna(t):
+            return last, True
         good = last is None or not t - last > tolerance
         return (t if good else last), good
 
-    marked = sorted_fold(readings, ["cell_id"], ["cycle_number", "idx"], ["t"], "_good", "boolean", lambda: None, step)
+    def leap(last, end, facts):
+        return end if last is None or (facts["low"] is not None and not facts["low"] - last > tolerance) else last
+
+    facts = {"low": F.min(F.nanvl("t", F.lit(None).cast("double")))}
+    marked = ranged_fold(readings, ["cell_id"], ["cycle_number", "idx"], ["t"], "_good", "boolean", "double", step, facts, leap)
     return marked.where("_good").drop("_good")
 
 
@@ -123,9 +152,10 @@ def monotone_time_axis(readings: DataFrame) -> DataFrame:
 
 
 def time_descents(readings: DataFrame) -> DataFrame:
-    """Rows after which the time, to six places, goes down."""
-    t = F.round("t", 6)
-    return readings.withColumn("next_t", F.lead(t).over(readings_of_cell())).where(F.col("next_t") < t)
+    """Rows after which the time of the cell, to six places, goes down; next_t is that time."""
+    rows = in_ranges(readings.withColumn("_t", F.round("t", 6)), ["cell_id", "cycle_number", "idx"])
+    rows = across(rows, ["cell_id"], following={"_next": "_t"})
+    return rows.where(F.col("_next.v") < F.col("_t")).withColumn("next_t", F.col("_next.v")).drop("_t", "_next", "_at", "_range")
 
 
 def cell_span(readings: DataFrame) -> DataFrame:
