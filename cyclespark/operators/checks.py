@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cyclespark.functions.scans import across, in_ranges
 from cyclespark.functions.windows import CYCLE
+from cyclespark.sources.readers import chunked
 
 
 def monotonicity_violations(values: DataFrame, tol: float = 1e-6) -> DataFrame:
@@ -76,8 +78,9 @@ def pick_examples(marks: DataFrame, group: str, k: int = 2, seed: int = 0) -> Da
 def compare_before_after(before: DataFrame, after: DataFrame, tol: float = 1e-6) -> DataFrame:
     """Per cell: lengths, exact and close equality, largest v and i errors by place; missing partners show."""
     def placed(df: DataFrame, p: str) -> DataFrame:
-        w = Window.partitionBy("cell_id").orderBy("cycle_number", "idx")
-        return df.select("cell_id", F.row_number().over(w).alias("n"), F.col("v").alias(f"v_{p}"), F.col("i").alias(f"i_{p}"))
+        rows = df.select("cell_id", "cycle_number", "idx", F.col("v").alias(f"v_{p}"), F.col("i").alias(f"i_{p}"), F.lit(1).alias("_one"))
+        ranged = across(in_ranges(rows, ["cell_id", "cycle_number", "idx"]), ["cell_id"], totals={"n": "_one"})
+        return ranged.select("cell_id", "n", f"v_{p}", f"i_{p}")
 
     both = placed(before, "a").join(placed(after, "b"), ["cell_id", "n"], "full")
     dv, di = F.abs(F.col("v_a") - F.col("v_b")), F.abs(F.col("i_a") - F.col("i_b"))
@@ -89,11 +92,14 @@ def compare_before_after(before: DataFrame, after: DataFrame, tol: float = 1e-6)
     )
 
 
-def flatten_for_inspection(readings: DataFrame, first_n: int) -> DataFrame:
-    """Concatenated series of a cell's first cycles, cut where a value is missing at the end of one."""
-    rows = readings.where(F.col("cycle_number") <= first_n)
-    points = F.array_sort(F.collect_list(F.struct("cycle_number", "idx", "v", "i", "qd", "t")))
-    cells = rows.groupBy("cell_id").agg(points.alias("p"))
-    shortest = F.least(*[F.size(F.filter("p", lambda x: x["v"].isNotNull())), F.size(F.filter("p", lambda x: x["i"].isNotNull())), F.size(F.filter("p", lambda x: x["qd"].isNotNull()))])
-    take = lambda c: F.transform(F.slice("p", 1, F.col("n")), lambda x: x[c])
-    return cells.withColumn("n", shortest).select("cell_id", "n", *[take(c).alias(c) for c in ("v", "i", "qd", "t")])
+def flatten_for_inspection(readings: DataFrame, first_n: int, size: int = 10_000) -> DataFrame:
+    """Concatenated series of a cell's first cycles, each as long as the one with most missing values has others.
+
+    Arrays of at most ``size`` points: cell_id, n (points of the cell), chunk, first (place of the first, from 0), v, i, qd, t.
+    """
+    rows = readings.where(F.col("cycle_number") <= first_n).select("cell_id", "cycle_number", "idx", "v", "i", "qd", "t")
+    n = rows.groupBy("cell_id").agg(F.least(F.count("v"), F.count("i"), F.count("qd")).alias("n"))
+    ranged = across(in_ranges(rows.withColumn("_one", F.lit(1)), ["cell_id", "cycle_number", "idx"]), ["cell_id"], totals={"_place": "_one"}, constants=n)
+    kept = ranged.where(F.col("_place") <= F.col("n"))
+    chunks = chunked(kept, ["cell_id", "cycle_number", "idx"], ["n", "v", "i", "qd", "t"], size)
+    return chunks.select("cell_id", F.get("points.n", 0).alias("n"), "chunk", "first", *[F.col(f"points.{c}").alias(c) for c in ("v", "i", "qd", "t")])

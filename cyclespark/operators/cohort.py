@@ -51,15 +51,37 @@ def merge_sources(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_o")
 
 
+def matching_rules(names: DataFrame, rules: DataFrame, name: str = "cell_id") -> DataFrame:
+    """(name, ord, id) of each rule that a name of ``names`` (name, prefix) obeys.
+
+    ``rules``: ord, prefix, id, clauses (array of arrays of substrings: of each inner one at least one must occur) and
+    excluded (array of substrings: none may occur); nulls and empty arrays ask for nothing. Works like an inverted index: each distinct substring of
+    a prefix is looked for once in a name, what occurs is joined to the clauses that list it, and the clauses met are counted.
+    """
+    parts = rules.select("ord", "prefix", "id", F.coalesce("clauses", F.array()).alias("clauses"), F.coalesce("excluded", F.array().cast("array<string>")).alias("excluded"))
+    asked = F.concat(F.col("clauses"), F.array(F.array(F.lit(""))))  # the last clause is met by every name
+    met = parts.select("ord", "prefix", F.posexplode(asked).alias("clause", "any")).select("ord", "prefix", "clause", F.explode("any").alias("part"))
+    barred = parts.select("ord", "prefix", F.lit(-1).alias("clause"), F.explode("excluded").alias("part"))
+    postings = met.unionByName(barred).distinct()
+    occurs = names.select(name, "prefix").distinct().join(postings.select("prefix", "part").distinct(), "prefix").where(F.col(name).contains(F.col("part")))
+    hits = occurs.join(postings, ["prefix", "part"]).groupBy(name, "prefix", "ord")
+    counted = hits.agg(F.count_distinct(F.when(F.col("clause") >= 0, F.col("clause"))).alias("_met"), F.bool_or(F.col("clause") < 0).alias("_barred"))
+    wanted = parts.select("ord", "prefix", "id", F.size(asked).alias("_all"))
+    return counted.join(wanted, ["ord", "prefix"]).where(~F.col("_barred") & (F.col("_met") == F.col("_all"))).select(name, "ord", "id")
+
+
 def ageing_condition(cells: DataFrame, rules: DataFrame, first_own_id: int = 629, own_prefix: str = "ZN-coin") -> DataFrame:
-    """condition by the first rule (ord, prefix, pattern, id) whose prefix and substring match.
+    """condition by the first rule, in the order of ord, that a cell's name obeys.
 
-    An equi join on the prefix, then the substring test. Cells of ``own_prefix`` get an id
-    each, in order of their names, from ``first_own_id``.
+    ``rules``: ord, prefix, id and either pattern, one substring, or clauses and excluded as in ``matching_rules``. Cells of
+    ``own_prefix`` get an id each, in order of their names, from ``first_own_id``.
     """
     named = cells.withColumn("prefix", name_prefix(F.col("cell_id")))
-    hit = named.select("cell_id", "prefix").distinct().join(rules, "prefix").where(F.col("cell_id").contains(F.col("pattern")))
-    best = hit.groupBy("cell_id").agg(F.min_by("id", "ord").alias("id"))
+    if "clauses" not in rules.columns:
+        rules = rules.withColumn("clauses", F.array(F.array("pattern")))
+    if "excluded" not in rules.columns:
+        rules = rules.withColumn("excluded", F.lit(None).cast("array<string>"))
+    best = matching_rules(named, rules).groupBy("cell_id").agg(F.min_by("id", "ord").alias("id"))
     own = named.where(F.col("prefix") == own_prefix).select("cell_id").distinct()
     own = placed(own, ["cell_id"], "own").withColumn("own", F.col("own") - 1 + first_own_id)
     out = named.join(best, "cell_id", "left").join(own, "cell_id", "left")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclespark.functions.windows import CYCLE
+from cyclespark.sources.shared import scratch
 
 
 def let(value: Column, body) -> Column:
@@ -128,18 +129,58 @@ def inverse_frequency_weight(samples: DataFrame, smooth: bool = False) -> DataFr
     return samples.join(n.select("dataset", weight.alias("weight")), "dataset")
 
 
-def density_weight(labels: DataFrame, bandwidth: float, alpha: float = 1.0, eps: float = 1e-6) -> DataFrame:
-    """Weights that fall with the kernel density of the label, with mean 1 over distinct labels.
+#: Terms of the expansion around a bin's centre, width of a bin and reach of a kernel in bandwidths.
+TERMS, BIN, REACH = 12, 0.5 * math.sqrt(2), 8
+
+
+def _hermite(terms: int) -> list[list[float]]:
+    """Coefficients of the physicists' Hermite polynomials H_0, H_1, ..., lowest power first."""
+    rows = [[1.0], [0.0, 2.0]]
+    for n in range(1, terms - 1):
+        rows.append([2 * a - 2 * n * b for a, b in zip([0.0, *rows[n]], [*rows[n - 1], 0.0, 0.0], strict=True)])
+    return [[*r, *[0.0] * (terms - len(r))] for r in rows[:terms]]
+
 
-    The kernel is cut at six bandwidths, where it is 1.5e-8 of its peak, so that labels
-    meet only those of neighbouring bins instead of all others.
+def kernel_sums(labels: DataFrame, bandwidth: float, salts: int = 32) -> DataFrame:
+    """label and p, the sum of Gaussian kernels of all labels, for each distinct label, in linear time (fast Gauss transform).
+
+    The labels of a bin act through their moments: sums of powers of the distance from its centre, which weight a Hermite
+    expansion. A label meets the bins within ``REACH`` bandwidths instead of labels. Error: at most 2e-10 of the number of labels
+    for the terms left out and 2e-14 for the bins. Labels of one bin are dealt over ``salts`` tasks; null labels go.
     """
-    cell = F.floor(F.col("label") / (6 * bandwidth)).cast("long")
-    counted = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", cell)
-    near = counted.select(F.col("label").alias("other"), F.col("n").alias("m"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    z = (F.col("label") - F.col("other")) / bandwidth
-    part = F.when(F.abs(z) <= 6, F.col("m") * F.exp(-z * z / 2)).otherwise(0.0)
-    density = counted.join(near, "bin").groupBy("label").agg(F.sum(part).alias("p"))
+    scale = math.sqrt(2) * bandwidth
+    width = BIN * bandwidth
+    centre = (F.col("bin") + 0.5) * width
+    counted = labels.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumn("bin", F.floor(F.col("label") / width).cast("long"))
+    u = (F.col("label") - centre) / scale
+    moments = counted.groupBy("bin").agg(*[(F.sum(F.col("n") * F.pow(u, F.lit(float(k)))) / math.factorial(k)).alias(f"_{k}") for k in range(TERMS)])
+    rows = _hermite(TERMS)
+    powers = F.array(*[sum((F.col(f"_{n}") * rows[n][k] for n in range(TERMS) if rows[n][k]), F.lit(0.0)) for k in range(TERMS)])
+    bins = moments.select(F.col("bin").alias("of"), powers.alias("c"))
+    far = math.ceil(REACH / BIN) + 1
+    near = bins.select(F.explode(F.sequence(F.col("of") - far, F.col("of") + far)).alias("bin"), F.struct("of", "c").alias("x"))
+    near = near.join(moments.select("bin"), "bin", "left_semi").groupBy("bin").agg(F.collect_list("x").alias("near"))  # 2 far + 1 at most
+    near = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def part(x: Column) -> Column:
+        def value(t: Column) -> Column:
+            out = x["c"][TERMS - 1]
+            for k in range(TERMS - 2, -1, -1):
+                out = out * t + x["c"][k]
+            return F.exp(-t * t) * out
+
+        return let((F.col("label") - (x["of"] + 0.5) * width) / scale, value)
+
+    dealt = counted.withColumn("_salt", F.pmod(F.xxhash64("label"), F.lit(salts)).cast("int")).join(near, ["bin", "_salt"])
+    return dealt.select("label", F.aggregate("near", F.lit(0.0), lambda a, x: a + part(x)).alias("p"))
+
+
+def density_weight(labels: DataFrame, bandwidth: float, alpha: float = 1.0, eps: float = 1e-6) -> DataFrame:
+    """Weights that fall with the kernel density of the label, with mean 1 over distinct labels."""
+    path = scratch(labels.sparkSession, "densities")
+    kernel_sums(labels, bandwidth).write.parquet(path)
+    density = labels.sparkSession.read.parquet(path)
     ends = density.agg(F.min("p").alias("low"), F.max("p").alias("high")).withColumn("_one", F.lit(1))
     scaled = density.withColumn("_one", F.lit(1)).join(F.broadcast(ends), "_one")
     raw = F.greatest(1 - alpha * F.coalesce(F.try_divide(F.col("p") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)), F.lit(eps))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclespark.functions.windows import CYCLE, in_cell, upwards, whole_cell
+from cyclespark.sources.readers import chunked
 
 
 def cycle_summary(readings: DataFrame) -> DataFrame:
@@ -143,11 +144,15 @@ def battery_type_histogram(labels: DataFrame, width: int = 100) -> DataFrame:
     return labels.groupBy("chemistry", (F.floor(F.col("eol") / width) * width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def soh_trajectories(health: DataFrame, least: float = 0.78) -> DataFrame:
-    """Ordered health of each cell whose last one is at least ``least``."""
-    points = F.transform(F.array_sort(F.collect_list(F.struct("cycle_number", "soh"))), lambda x: x["soh"])
-    cells = health.groupBy("cell_id").agg(points.alias("curve"), F.min("cycle_number").alias("first"), F.max("cycle_number").alias("last"))
-    return cells.where(F.element_at("curve", -1) >= least)
+def soh_trajectories(health: DataFrame, least: float = 0.78, size: int = 10_000) -> DataFrame:
+    """Ordered health of each cell whose last one is at least ``least``: chunks of at most ``size`` cycles.
+
+    cell_id, chunk, start (place of the chunk's first cycle, from 0), curve; first and last are the cell's first and last cycle.
+    """
+    ends = health.groupBy("cell_id").agg(F.min("cycle_number").alias("first"), F.max("cycle_number").alias("last"), F.max_by("soh", "cycle_number").alias("_end"))
+    kept = ends.where(F.col("_end") >= least).drop("_end")
+    chunks = chunked(health.select("cell_id", "cycle_number", "soh"), ["cell_id", "cycle_number"], ["soh"], size)
+    return chunks.join(kept, "cell_id").select("cell_id", "chunk", chunks["first"].alias("start"), F.col("points.soh").alias("curve"), kept["first"], "last")
 
 
 def cycles_of_cell(cycles: DataFrame) -> DataFrame:

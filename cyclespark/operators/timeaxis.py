@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cyclespark.functions.scans import across, in_ranges, ranged_fold
 from cyclespark.functions.windows import CYCLE, in_cell, in_cycle, whole_cell
+from cyclespark.sources.readers import chunked
 
 
 def normalise_time_unit(readings: DataFrame) -> DataFrame:
@@ -72,10 +73,10 @@ def validate_time(readings: DataFrame, jump: float = 7200) -> DataFrame:
     return cells.select("cell_id", (F.coalesce("bad_cycles", F.lit(0)) > 0).alias("has_issues"), "cycles", F.coalesce("bad_cycles", F.lit(0)).alias("bad_cycles"))
 
 
-def cumulative_time_array(readings: DataFrame) -> DataFrame:
-    """All times of a cell in order."""
-    points = F.array_sort(F.collect_list(F.struct("cycle_number", "idx", "t")))
-    return readings.groupBy("cell_id").agg(F.transform(points, lambda x: x["t"]).alias("times"))
+def cumulative_time_array(readings: DataFrame, size: int = 10_000) -> DataFrame:
+    """All times of a cell in order, in arrays of at most ``size``: cell_id, chunk, first (place of the array's first time, from 0), times."""
+    chunks = chunked(readings.select(*CYCLE, "idx", "t"), [*CYCLE, "idx"], ["t"], size)
+    return chunks.select("cell_id", "chunk", "first", F.col("points.t").alias("times"))
 
 
 def strictly_increasing_time(readings: DataFrame, eps: float = 1e-6) -> DataFrame:

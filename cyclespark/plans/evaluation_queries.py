@@ -130,7 +130,8 @@ def f14_battery_type_histogram(spark, sf_dir):
 @query(f"WITH {fx.HEALTH} SELECT cell_id, round(arg_min(soh, cycle_number), 6) AS y0, min(cycle_number) AS first, max(cycle_number) AS last, count(*) AS n FROM health GROUP BY 1 HAVING arg_max(soh, cycle_number) >= 0.78")
 def f15_soh_trajectories(spark, sf_dir):
     s = life.soh_trajectories(fx.health(spark, sf_dir))
-    return rounded(s.select(CELL, F.get("curve", 0).alias("y0"), "first", "last", F.size("curve").cast("long").alias("n")), "y0", places=6)
+    whole = s.groupBy(CELL, "first", "last").agg(F.min_by(F.get("curve", 0), "chunk").alias("y0"), F.sum(F.size("curve")).alias("n"))
+    return rounded(whole, "y0", places=6)
 
 
 # --- G: curves, samples, augmentation --------------------------------------------------------------
@@ -373,6 +374,40 @@ def h06_ageing_condition(spark, sf_dir):
     return cohort.ageing_condition(fx.cells(spark, sf_dir).select(CELL), rules).select(CELL, "condition")
 
 
+#: One rule of each shape: one substring; several that must all occur; alternatives; alternatives beside others; exclusions; the rest of a prefix.
+SHAPES = [
+    (10, "SNL", [["LFP"], ["_25C_", "_35C_"], ["0-100"]], [], 101),
+    (20, "SNL", [["LFP"]], ["_15C_"], 102),
+    (30, "SNL", [["NCA_15", "NCA_25"], ["-1C_", "-3C_"]], None, 103),
+    (40, "SNL", [["NMC"], ["20-80"]], ["_25C_", "-1C_"], 104),
+    (50, "SNL", [["NMC"]], None, 105),
+    (60, "SNL", None, None, 106),
+    (70, "CALB_15", [["_B1", "_B2"]], None, 107),
+    (80, "CALB_15", [], ["_B7"], 108),
+    (85, "CALB_35", None, None, 111),
+    (90, "MATR", [["b1c1", "b1c2", "b1c4"]], ["9"], 109),
+    (95, "MATR", None, None, 110),
+]
+
+
+def _has(part: str) -> str:
+    return f"contains(cell_id, '{part}')"
+
+
+def _rule_sql(rule) -> str:
+    _, prefix, clauses, excluded, number = rule
+    terms = [f"starts_with(cell_id, '{prefix}')", *(f"({' OR '.join(map(_has, c))})" for c in clauses or []), *(f"NOT {_has(x)}" for x in excluded or [])]
+    return f"WHEN {' AND '.join(terms)} THEN {number}"
+
+
+@query(f"""WITH {fx.CELLS}, own AS (SELECT cell_id, 628 + row_number() OVER (ORDER BY cell_id) AS id FROM cells WHERE cell_id LIKE 'ZN-coin%')
+  SELECT cell_id, CAST(coalesce(id, CASE {' '.join(map(_rule_sql, SHAPES))} END) AS BIGINT) AS condition FROM cells LEFT JOIN own USING (cell_id)""")
+def h06_ageing_rules(spark, sf_dir):
+    """Rules of several substrings, alternatives and exclusions, as rows."""
+    rules = spark.createDataFrame(SHAPES, "ord int, prefix string, clauses array<array<string>>, excluded array<string>, id int")
+    return cohort.ageing_condition(fx.cells(spark, sf_dir).select(CELL), rules).select(CELL, "condition")
+
+
 @query("SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_size) AS INTEGER) AS dense FROM part")
 def h07_dense_relabel(spark, sf_dir):
     return cohort.dense_relabel(fx.table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size").select("p_partkey", "dense")
@@ -505,7 +540,8 @@ def i09_compare_before_after(spark, sf_dir):
 @query(f"WITH {fx.READINGS} SELECT cell_id, count(*) AS n, round(sum(v), 4) AS v FROM readings WHERE cycle_number <= 2 GROUP BY 1")
 def i10_flatten_for_inspection(spark, sf_dir):
     f = checks.flatten_for_inspection(fx.readings(spark, sf_dir), 2)
-    return rounded(f.select(CELL, F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("v")), "v")
+    total = F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x))
+    return rounded(f.groupBy(CELL).agg(F.sum(F.size("v")).alias("n"), total.alias("v")), "v")
 
 
 # --- J: metrics ---------------------------------------------------------------------------------------

@@ -129,14 +129,23 @@ def a06_read_parquet_projected(spark, sf_dir):
 
 @query(f"WITH {fx.READINGS}, dense AS (SELECT *, dense_rank() OVER (PARTITION BY cell_id ORDER BY cycle_number) AS c FROM readings) SELECT cell_id, CAST(c AS INTEGER) AS cycle_number, count(*) AS n, max(idx) AS last_idx FROM dense GROUP BY 1, 2")
 def a07_explode_cells(spark, sf_dir):
-    nested = readers.nest_readings(fx.readings(spark, sf_dir))
+    nested = readers.nested_cells(fx.readings(spark, sf_dir))
     return readers.explode_cells(nested).groupBy(CELL, CYC).agg(F.count(F.lit(1)).alias("n"), F.max("idx").alias("last_idx"))
 
 
 @query(f"WITH {fx.READINGS} SELECT cell_id, count(DISTINCT cycle_number) AS cycles, count(*) AS points FROM readings GROUP BY 1")
 def a08_nest_readings(spark, sf_dir):
     nested = readers.nest_readings(fx.readings(spark, sf_dir))
-    return nested.select(CELL, F.size("cycles").cast("long").alias("cycles"), F.aggregate("cycles", F.lit(0), lambda a, c: a + F.size(c["points"])).cast("long").alias("points"))
+    back = readers.unnest_readings(nested).groupBy(CELL).agg(F.count_distinct(CYC).alias("cycles"))
+    return nested.groupBy(CELL).agg(F.sum(F.size("points")).alias("points")).join(back, CELL)
+
+
+@query(f"WITH {fx.READINGS}, p AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle_number, idx) - 1 AS place FROM readings) SELECT cell_id, place, place // 64 AS chunk, cycle_number, idx, round(t, 4) AS t, round(i, 4) AS i, round(v, 4) AS v FROM p")
+def a08_chunks_round_trip(spark, sf_dir):
+    """Every reading, read back from records of at most 64 points with its place in the cell."""
+    nested = readers.nest_readings(fx.readings(spark, sf_dir), size=64)
+    rows = readers.from_chunks(nested).withColumn("chunk", F.floor(F.col("place") / 64))
+    return rounded(rows.select(CELL, "place", "chunk", CYC, "idx", "t", "i", "v"), "t", "i", "v")
 
 
 @query(f"WITH {fx.CELLS} SELECT count_if(num % 3 <> 0) AS processed, count_if(num % 3 = 0) AS skipped FROM cells")
@@ -419,7 +428,8 @@ def c05_validate_time(spark, sf_dir):
 @query(f"WITH {fx.READINGS} SELECT cell_id, count(*) AS n, round(arg_max(t, cycle_number * 1000000 + idx), 4) AS last FROM readings GROUP BY 1")
 def c06_cumulative_time_array(spark, sf_dir):
     a = timeaxis.cumulative_time_array(fx.readings(spark, sf_dir))
-    return rounded(a.select(CELL, F.size("times").cast("long").alias("n"), F.element_at("times", -1).alias("last")), "last")
+    ends = a.groupBy(CELL).agg(F.sum(F.size("times")).alias("n"), F.max_by(F.element_at("times", -1), "chunk").alias("last"))
+    return rounded(ends, "last")
 
 
 #: Readings of a cell numbered from 1, for recursive folds.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cyclespark.functions.scans import across, in_ranges
+
 READING = "struct<idx:int,t:double,i:double,v:double,qc:double,qd:double,temp:double>"
 
 
@@ -87,10 +89,41 @@ def explode_cells(cells: DataFrame) -> DataFrame:
     return points.select("cell_id", "cycle_number", (F.col("p") + 1).alias("idx"), *[F.col(f"x.{c}").alias(c) for c in ("t", "i", "v", "qc", "qd", "temp")])
 
 
-def nest_readings(readings: DataFrame) -> DataFrame:
-    """Readings to one record a cell, cycles and points in order."""
-    point = F.struct("idx", "t", "i", "v", "qc", "qd", "temp")
-    cycles = readings.groupBy("cell_id", "cycle_number").agg(F.array_sort(F.collect_list(point)).alias("points"))
+POINT = ("idx", "t", "i", "v", "qc", "qd", "temp")
+
+
+def chunked(rows: DataFrame, order: list[str], point: list[str], size: int = 10_000) -> DataFrame:
+    """``rows`` as arrays of at most ``size`` points: cell_id, chunk (from 0), first (the place of its first point, from 0), points.
+
+    ``order`` begins with cell_id. Places run along the whole cell, so the rows of a cell of any length are bounded, and
+    an array's place and ``first`` give a point's place back. Rows come from sorted ranges; no task holds a cell.
+    """
+    placed = across(in_ranges(rows.withColumn("_one", F.lit(1)), order), ["cell_id"], totals={"_place": "_one"})
+    points = F.array_sort(F.collect_list(F.struct((F.col("_place") - 1).alias("place"), *point)))
+    chunks = placed.groupBy("cell_id", F.floor((F.col("_place") - 1) / size).cast("int").alias("chunk")).agg(points.alias("points"))
+    slim = F.transform("points", lambda x: F.struct(*[x[c].alias(c) for c in point]))
+    return chunks.select("cell_id", "chunk", F.col("points")[0]["place"].alias("first"), slim.alias("points"))
+
+
+def from_chunks(chunks: DataFrame) -> DataFrame:
+    """The rows of ``chunked``: cell_id, place and the points' columns."""
+    rows = chunks.select("cell_id", "first", F.posexplode("points").alias("p", "x"))
+    return rows.select("cell_id", (F.col("first") + F.col("p")).alias("place"), "x.*")
+
+
+def nest_readings(readings: DataFrame, size: int = 10_000) -> DataFrame:
+    """Readings to records of bounded size: a cell has as many chunks as its points ask for, cycles and points in order."""
+    return chunked(readings, ["cell_id", "cycle_number", "idx"], ["cycle_number", *POINT], size)
+
+
+def unnest_readings(chunks: DataFrame) -> DataFrame:
+    """The readings of ``nest_readings``."""
+    return from_chunks(chunks).drop("place")
+
+
+def nested_cells(readings: DataFrame) -> DataFrame:
+    """One record a cell, cycles and points in order, for exchange with what expects whole cells; a row grows with its cell."""
+    cycles = readings.groupBy("cell_id", "cycle_number").agg(F.array_sort(F.collect_list(F.struct(*POINT))).alias("points"))
     return cycles.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("cycle_number", "points"))).alias("cycles"))
 
 

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from cyclespark.functions.quantiles import group_quantiles, ordered_bits
 from cyclespark.functions.scans import across, in_ranges, ranged_fold
-from cyclespark.operators import segment, timeaxis
+from cyclespark.operators import checks, cohort, curves, segment, timeaxis
+from cyclespark.sources import readers
+from cyclespark.streaming import ingest
 
 
 @pytest.fixture
@@ -273,3 +275,101 @@ def test_queue_of_reference_tests(spark):
         tests += [(c, x) for x in own]
     got = segment.drop_cycle_after_rpt(spark.createDataFrame(cycles, "cell_id string, cycle_number int, start double"), spark.createDataFrame(tests, "cell_id string, start double"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+# --- records of bounded size ---------------------------------------------------------------
+
+
+def test_chunks_of_a_hot_cell(ranges):
+    rows = hot_rows(10)
+    df = ranges.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1.0) for c in ("v", "qc", "qd", "temp")}).repartition(3)
+    nested = readers.nest_readings(df, size=70)
+    assert {r["cell_id"]: r["n"] for r in nested.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {c: -(-len(own) // 70) for c, own in by_cell(rows).items()}
+    assert nested.agg(F.max(F.size("points"))).first()[0] == 70
+    assert sorted(tuple(r) for r in readers.unnest_readings(nested).select("cell_id", "cycle_number", "idx", "t", "i").collect()) == sorted(rows)
+    places = {tuple(r) for r in readers.from_chunks(nested).select("cell_id", "cycle_number", "idx", "place").collect()}
+    assert places == {(*r[:3], k) for own in by_cell(rows).values() for k, r in enumerate(own)}
+    times = timeaxis.cumulative_time_array(df, size=33).collect()
+    for c, own in by_cell(rows).items():
+        parts = sorted((r for r in times if r["cell_id"] == c), key=lambda r: r["chunk"])
+        assert [t for r in parts for t in r["times"]] == [r[3] for r in own]
+        assert [r["first"] for r in parts] == list(range(0, len(own), 33))
+    assert readers.nest_readings(df.limit(0)).collect() == []
+
+
+def test_flattened_cycles(spark):
+    rows = [("a", c, k, None if k == 3 else float(k), 1.0, 2.0, 10.0 * c + k) for c in (1, 2, 3) for k in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "cell_id string, cycle_number int, idx int, v double, i double, qd double, t double")
+    got = sorted(checks.flatten_for_inspection(df, 2, size=3).collect(), key=lambda r: r["chunk"])
+    assert [t for r in got for t in r["t"]] == [11.0, 12.0, 13.0, 21.0]
+    assert [r["n"] for r in got] == [4, 4] and [r["first"] for r in got] == [0, 3]
+
+
+# --- ingestion -------------------------------------------------------------------------------
+
+
+def test_ingest_counts_once_and_restarts(spark, tmp_path):
+    source, target, marks = (f"{tmp_path}/{x}" for x in ("in", "out", "marks"))
+    spark.range(10).write.parquet(source)
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(df):
+        return df.mapInPandas(lambda it: (calls.add(len(b)) or b for b in it), "id long")
+
+    assert ingest.ingest_new_files(spark, source, "id long", target, marks, seen) == 10
+    assert calls.value == 10  # every row went through the pipeline once
+    assert ingest.ingest_new_files(spark, source, "id long", target, marks, seen) == 0
+    spark.range(10, 15).write.mode("append").parquet(source)
+
+    def breaks(df):
+        raise ValueError("no")
+
+    with pytest.raises(Exception):  # noqa: B017
+        ingest.ingest_new_files(spark, source, "id long", target, marks, breaks)
+    assert sorted(r["rows"] for r in ingest.committed(spark, target).collect()) == [10]
+    assert ingest.ingest_new_files(spark, source, "id long", target, marks, seen) == 5
+    assert sorted(r["rows"] for r in ingest.committed(spark, target).collect()) == [5, 10]
+    assert sorted(r["id"] for r in ingest.read_committed(spark, target, "id long, batch long").collect()) == list(range(15))
+    # a batch without its line in the manifest isn't seen
+    spark.range(100, 101).write.parquet(f"{target}/batch=77")
+    assert ingest.read_committed(spark, target, "id long, batch long").count() == 15
+    assert ingest.committed(spark, f"{tmp_path}/none").collect() == []
+
+
+# --- rules and kernels -----------------------------------------------------------------------
+
+
+def test_rules_of_several_conditions(spark):
+    rng = random.Random(11)
+    parts = ["a1", "b2", "c3", "d4", "_5", "x"]
+    rules = []
+    for k in range(60):
+        clauses = [rng.sample(parts, rng.randrange(1, 4)) for _ in range(rng.randrange(0, 4))]
+        rules.append((k * 3, rng.choice(["P", "Q"]), rng.choice([clauses, clauses, None]), rng.choice([[], None, rng.sample(parts, 2)]), 1000 + k))
+    names = {f"{rng.choice('PQR')}_" + "".join(rng.sample(parts, rng.randrange(0, 6))) for _ in range(400)}
+    cells = spark.createDataFrame([(n,) for n in names], "cell_id string").withColumn("prefix", F.substring("cell_id", 1, 1))
+    frame = spark.createDataFrame(rules, "ord int, prefix string, clauses array<array<string>>, excluded array<string>, id int")
+    got = {(r["cell_id"], r["ord"], r["id"]) for r in cohort.matching_rules(cells, frame).collect()}
+    want = {
+        (n, o, i) for n in names for o, p, clauses, barred, i in rules
+        if n[0] == p and all(any(x in n for x in c) for c in clauses or []) and not any(x in n for x in barred or [])
+    }
+    assert got == want
+
+
+def test_kernel_sums_of_a_full_bin(spark):
+    rng = np.random.default_rng(12)
+    full, wide = rng.uniform(500.0, 500.6, 100_000), np.concatenate([rng.uniform(-3000, 3000, 300), [500.3, 500.3, 1e5]])
+    values = np.concatenate([full, wide])
+    h = 1.0
+    df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "label double").repartition(8)
+    got = {r["label"]: r["p"] for r in curves.kernel_sums(df, h).collect()}
+    assert len(got) == len(set(values))
+    for x in [*rng.choice(full, 40), *wide]:
+        want = float(np.exp(-((x - values) ** 2) / (2 * h * h)).sum())
+        assert got[x] == pytest.approx(want, rel=1e-6, abs=1e-6 * len(values) * 1e-3)
+    sizes = rng.uniform(0, 40, 700)
+    narrow = curves.density_weight(spark.createDataFrame([(float(x),) for x in sizes], "label double"), 3.0)
+    p = np.exp(-((sizes[:, None] - sizes[None]) ** 2) / 18).sum(1)
+    w = np.maximum(1 - (p - p.min()) / (p.max() - p.min()), 1e-6)
+    assert {r["label"]: r["weight"] for r in narrow.collect()} == pytest.approx(dict(zip(sizes.tolist(), (w / w.mean()).tolist(), strict=True)), abs=1e-6)
