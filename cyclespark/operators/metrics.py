@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cyclespark.operators.curves import hash_uniform
+
 Y, P = "y", "yhat"
 
 
@@ -207,24 +209,24 @@ def accuracy(points: DataFrame, by: list[str], truth: str = "truth", pred: str =
 def nucleus_filter(probs: DataFrame, p: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Per group the most probable items up to mass p, renormalised, and one seeded draw.
 
-    ``probs``: grp, item, prob.
+    ``probs``: grp, item, prob. The draw depends on the seed and the group alone: a whole number as such, else its hash.
     """
     w = Window.partitionBy("grp").orderBy(F.desc("prob"), "item")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     kept = probs.withColumn("_cum", F.sum("prob").over(upto)).where(F.col("_cum") - F.col("prob") <= p)
     kept = kept.withColumn("prob", F.col("prob") / F.sum("prob").over(Window.partitionBy("grp"))).drop("_cum")
-    u = F.pmod(F.xxhash64("grp", F.lit(seed)), F.lit(2**52)) / float(2**52)
-    draw = kept.withColumn("_cum", F.sum("prob").over(upto)).where(F.col("_cum") > u)
+    number = F.col("grp") if dict(probs.dtypes)["grp"] in ("int", "bigint", "smallint", "tinyint") else F.xxhash64("grp")
+    draw = kept.withColumn("_cum", F.sum("prob").over(upto)).where(F.col("_cum") > hash_uniform(number, F.lit(seed)))
     return kept, draw.groupBy("grp").agg(F.min_by("item", "_cum").alias("item"))
 
 
-def linear_life_model(train: DataFrame, features: list[str], label: str = "label", weight: str | None = None):
+def linear_life_model(train: DataFrame, features: list[str], label: str = "label", weight: str | None = None, ridge: float = 1e-6):
     """A fitted pipeline: assembled features, linear regression of ``label``, which the caller standardises."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    model = LinearRegression(featuresCol="features", labelCol=label, predictionCol=P, regParam=1e-6, solver="normal")
+    model = LinearRegression(featuresCol="features", labelCol=label, predictionCol=P, regParam=ridge, solver="normal")
     if weight:
         model = model.setWeightCol(weight)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), model]).fit(train)

@@ -520,6 +520,14 @@ def i06_violation_index(spark, sf_dir):
     return checks.violation_index(_found(spark, sf_dir)).select("dataset", CELL, F.size("cycles").cast("long").alias("n"))
 
 
+@query(f"WITH {fx.READINGS}, {MARKS} SELECT dataset, cell_id, cycle_number, phase, count, round(worst, 8) AS worst FROM marks")
+def i06_violation_index_entries(spark, sf_dir):
+    """Every entry of the index, read back from its nested form."""
+    cycles = checks.violation_index(_found(spark, sf_dir)).select("dataset", CELL, F.explode("cycles").alias("c"))
+    phases = cycles.select("dataset", CELL, F.col("c.cycle_number").alias(CYC), F.explode("c.phases").alias("phase", "x"))
+    return rounded(phases.select("dataset", CELL, CYC, "phase", "x.count", "x.worst"), "worst", places=8)
+
+
 @query(f"""WITH {fx.READINGS}, {MARKS}, a AS (SELECT coalesce(dataset, 'TOTAL') AS dataset, count(*) AS cycles FROM cyc GROUP BY ROLLUP (dataset)), b AS (SELECT coalesce(dataset, 'TOTAL') AS dataset, count(DISTINCT (cell_id, cycle_number)) AS bad_cycles, count(DISTINCT cell_id) AS bad_cells, count_if(cycle_number <= 3) AS early, count_if(continuous) AS continuous, count_if(NOT continuous) AS discontinuous FROM marks GROUP BY ROLLUP (dataset))
   SELECT dataset, cycles, coalesce(bad_cycles, 0) AS bad_cycles, coalesce(bad_cells, 0) AS bad_cells, coalesce(early, 0) AS early, coalesce(continuous, 0) AS continuous, coalesce(discontinuous, 0) AS discontinuous, round(100.0 * coalesce(bad_cycles, 0) / cycles, 4) AS rate FROM a LEFT JOIN b USING (dataset)""")
 def i07_violation_report(spark, sf_dir):
@@ -531,6 +539,32 @@ def i08_pick_examples(spark, sf_dir):
     return checks.pick_examples(_found(spark, sf_dir), "continuous").groupBy("continuous").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {fx.READINGS}, {MARKS} SELECT continuous, least(count(*), 2) AS n, true AS known, true AS repeats, count(*) > 2 AS others FROM marks GROUP BY 1")
+def i08_examples_by_seed(spark, sf_dir):
+    """Picks are marks, the same for the same seed and others for another one where a group has more."""
+    marks = _found(spark, sf_dir)
+    key = ["dataset", CELL, CYC, "phase", "continuous"]
+    one, again = (checks.pick_examples(marks, "continuous", seed=1).select(*key) for _ in range(2))
+    seeds = [checks.pick_examples(marks, "continuous", seed=k).select(*key) for k in range(2, 6)]
+    tell = lambda df, name: df.distinct().withColumn(name, F.lit(True))
+    others = tell(seeds[0].union(seeds[1]).union(seeds[2]).union(seeds[3]), "o").withColumnRenamed("continuous", "group").join(tell(one, "p").drop("continuous"), key[:-1], "left").where("p is null").groupBy("group").agg(F.lit(True).alias("others"))
+    held = one.join(tell(marks.select(*key), "k"), key, "left").join(tell(again, "r"), key, "left")
+    out = held.groupBy("continuous").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce("k", F.lit(False))).alias("known"), F.bool_and(F.coalesce("r", F.lit(False))).alias("repeats"))
+    return out.join(others, out["continuous"] == others["group"], "left").select("continuous", "n", "known", "repeats", F.coalesce("others", F.lit(False)).alias("others"))
+
+
+@query(f"""WITH {fx.READINGS}, x AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle_number, idx) AS n FROM readings),
+  y AS (SELECT cell_id, CASE WHEN event_id % 41 = 0 THEN v + CAST(0.25 AS DOUBLE) ELSE v END AS v, i * CAST(1.0000000001 AS DOUBLE) AS i, row_number() OVER (PARTITION BY cell_id ORDER BY cycle_number, idx) AS n FROM readings WHERE event_id % 50 <> 0 AND cell_id NOT LIKE '%7'),
+  b AS (SELECT coalesce(x.cell_id, y.cell_id) AS cell_id, x.v AS va, y.v AS vb, abs(x.v - y.v) AS dv, abs(x.i - y.i) AS di FROM x FULL JOIN y ON y.cell_id = x.cell_id AND y.n = x.n)
+  SELECT cell_id, count(va) AS n_before, count(vb) AS n_after, round(max(dv), 6) AS max_dv, round(max(di), 6) AS max_di, coalesce(max(dv) = 0 AND max(di) = 0, false) AS equal, coalesce(max(dv) <= 1e-6 AND max(di) <= 1e-6, false) AS close, count(va) = 0 OR count(vb) = 0 AS missing FROM b GROUP BY 1""")
+def i09_compare_changed(spark, sf_dir):
+    """Largest errors by place, equality, closeness and missing partners after rows were changed and dropped and whole cells left out."""
+    r = fx.readings(spark, sf_dir)
+    after = r.where((F.col("event_id") % 50 != 0) & ~F.col(CELL).endswith("7"))
+    after = after.withColumns({"v": F.when(F.col("event_id") % 41 == 0, F.col("v") + 0.25).otherwise(F.col("v")), "i": F.col("i") * 1.0000000001})
+    return rounded(checks.compare_before_after(r, after), "max_dv", "max_di", places=6)
+
+
 @query(f"""WITH {fx.READINGS} SELECT cell_id, count(*) AS n_before, count_if(event_id % 50 <> 0) AS n_after FROM readings GROUP BY 1""")
 def i09_compare_before_after(spark, sf_dir):
     r = fx.readings(spark, sf_dir)
@@ -544,6 +578,17 @@ def i10_flatten_for_inspection(spark, sf_dir):
     return rounded(f.groupBy(CELL).agg(F.sum(F.size("v")).alias("n"), total.alias("v")), "v")
 
 
+@query(f"""WITH {fx.READINGS}, p AS (SELECT cell_id, v, CASE WHEN event_id % 9 <> 0 THEN i END AS i, qd, t, row_number() OVER (PARTITION BY cell_id ORDER BY cycle_number, idx) - 1 AS place FROM readings WHERE cycle_number <= 3),
+  n AS (SELECT cell_id, least(count(v), count(i), count(qd)) AS n FROM p GROUP BY 1)
+  SELECT cell_id, place, round(v, 4) AS v, round(i, 4) AS i, round(qd, 4) AS qd, round(t, 4) AS t FROM p JOIN n USING (cell_id) WHERE place < n""")
+def i10_flattened_points(spark, sf_dir):
+    """Every point of the flattened series, some of whose currents are missing, from arrays of at most 16 points."""
+    r = fx.readings(spark, sf_dir).withColumn("i", F.when(F.col("event_id") % 9 != 0, F.col("i")))
+    f = checks.flatten_for_inspection(r, 3, size=16)
+    zipped = f.select(CELL, "first", F.posexplode(F.arrays_zip("v", "i", "qd", "t")).alias("p", "x"))
+    return rounded(zipped.select(CELL, (F.col("first") + F.col("p")).alias("place"), "x.*"), "v", "i", "qd", "t")
+
+
 # --- J: metrics ---------------------------------------------------------------------------------------
 
 M = "round(avg(abs(yhat - y)), 4) AS mae, round(avg((yhat - y) * (yhat - y)), 4) AS mse, round(sqrt(avg((yhat - y) * (yhat - y))), 4) AS rmse, round(avg(abs(yhat - y) / abs(y)), 4) AS mape, round(avg((yhat - y) * (yhat - y) / (y * y)), 4) AS mspe"
@@ -677,17 +722,42 @@ def j16_nucleus_filter(spark, sf_dir):
     return rounded(metrics.nucleus_filter(p, 0.6543)[0], "prob")
 
 
+@query(f"""WITH p AS (SELECT user_id AS grp, event_type AS item, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS prob FROM events GROUP BY 1, 2),
+  c AS (SELECT *, sum(prob) OVER (PARTITION BY grp ORDER BY prob DESC, item ROWS UNBOUNDED PRECEDING) AS cum FROM p), k AS (SELECT grp, item, prob / sum(prob) OVER (PARTITION BY grp) AS prob FROM c WHERE cum - prob <= 0.8543),
+  d AS (SELECT *, sum(prob) OVER (PARTITION BY grp ORDER BY prob DESC, item ROWS UNBOUNDED PRECEDING) AS cum FROM k) SELECT grp, arg_min(item, cum) AS item FROM d WHERE cum > {uniform_sql('grp', '3')} GROUP BY 1""")
+def j16_nucleus_draw(spark, sf_dir):
+    """The seeded draw of each group."""
+    n = fx.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("grp"), F.col("event_type").alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    p = n.select("grp", "item", (F.col("n") / F.sum("n").over(Window.partitionBy("grp"))).alias("prob"))
+    return metrics.nucleus_filter(p, 0.8543, seed=3)[1]
+
+
 @query("""SELECT c AS n, round(b0, 3) AS intercept, round(b1, 3) AS slope FROM (SELECT count(*) AS c, regr_intercept(l_extendedprice, l_quantity) AS b0, regr_slope(l_extendedprice, l_quantity) AS b1 FROM lineitem)""")
 def j17_linear_life_model(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("label"))
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
-    model = LinearRegression(labelCol="label", regParam=0.0, solver="normal").fit(data)
+    model = metrics.linear_life_model(rows, ["x"], ridge=0.0).stages[-1]
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.lit(float(model.intercept)), 3).alias("intercept"), F.round(F.lit(float(model.coefficients[0])), 3).alias("slope"))
 
 
+@query(f"""WITH {fx.HEALTH}, f AS (SELECT cell_id, n_seen, sum(soh) FILTER (cycle_number <= n_seen) / n_seen AS x, 1000 * arg_max(soh, cycle_number) AS y, CASE WHEN cell_id % 5 < 3 THEN 'train' WHEN cell_id % 5 = 3 THEN 'val' ELSE 'test' END AS split
+    FROM health, (SELECT unnest([5, 20, 60]) AS n_seen) GROUP BY 1, 2),
+  m AS (SELECT regr_intercept(y, x) AS b0, regr_slope(y, x) AS b1 FROM f WHERE split = 'train'), p AS (SELECT split, y, b0 + b1 * x AS yhat FROM f, m)
+  SELECT split, count(*) AS n, round(avg(abs(yhat - y)), 4) AS mae, round(sqrt(avg((yhat - y) * (yhat - y))), 4) AS rmse, round(avg(abs(yhat - y) / abs(y)), 4) AS mape FROM p GROUP BY 1""")
+def j17_linear_life_model_pooled(spark, sf_dir):
+    """One pooled, masked feature: the standardised life fitted on train, all splits scored and scaled back."""
+    h = fx.health(spark, sf_dir)
+    label = h.groupBy(CELL).agg((1000 * F.max_by("soh", CYC)).alias("label"))
+    seen = label.withColumn("n_seen", F.explode(F.array(F.lit(5), F.lit(20), F.lit(60))))
+    curve = h.select(CELL, CYC, F.array("soh").alias("v"))
+    pooled = curves.apply_prefix_mask(seen, curve, ["v"]).groupBy(CELL, "n_seen", "label").agg((F.sum(F.get("v", 0)) / F.col("n_seen")).alias("x"))
+    pooled = pooled.withColumn("split", F.when(F.col(CELL) % 5 < 3, "train").when(F.col(CELL) % 5 == 3, "val").otherwise("test"))
+    z = curves.standardise_labels(pooled, pooled.where("split = 'train'"))
+    model = metrics.linear_life_model(z.where("split = 'train'"), ["x"], "label_z", ridge=0.0)
+    scored = metrics.batch_score(model, z, ["split", CELL, F.col("label").alias("y")], "mean", "std")
+    m = metrics.error_metrics((0.15, 0.10))
+    return rounded(scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *[m[k].alias(k) for k in ("mae", "rmse", "mape")]), "mae", "rmse", "mape")
+
+
 def life_samples(spark, sf_dir, threshold: int = 6):
     """Samples of all cells that have readings: label, split and the pooled, masked curve features of the cycles seen.
 

@@ -72,6 +72,22 @@ def a01_read_cycler_csv(spark, sf_dir):
     return rounded(back.drop(CELL).groupBy(CYC).agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("total_i"), F.max("t").alias("t_max")), "total_i").withColumn("t_max", F.round("t_max", 6))
 
 
+@query(f"WITH {fx.READINGS} SELECT 'cell_' || (event_id % 3) AS cell_id, cycle_number, count(*) AS n, round(sum(i), 4) AS total_i, max(idx) AS last_idx FROM readings GROUP BY 1, 2")
+def a01_cell_from_file_name(spark, sf_dir):
+    """Three cells in several files each, known by the names of the files only."""
+    path = scratch(spark, "named")
+    r = fx.readings(spark, sf_dir)
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for k in range(3):
+        r.where(F.col("event_id") % 3 == k).select(CYC, "idx", "t", "i", "v").repartition(2).write.option("header", True).csv(f"{path}-{k}")
+        files.mkdirs(jvm.org.apache.hadoop.fs.Path(path))
+        for n, x in enumerate(files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}-{k}/part-*"))):
+            files.rename(x.getPath(), jvm.org.apache.hadoop.fs.Path(f"{path}/cell_{k}_timeseries_{n}.csv"))
+    back = readers.read_cycler_csv(spark, path, "cycle_number int, idx int, t double, i double, v double")
+    return rounded(back.groupBy(CELL, CYC).agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("total_i"), F.max("idx").alias("last_idx")), "total_i")
+
+
 @query(f"WITH {fx.READINGS} SELECT cycle_number // 2 + 1 AS cycle_number, count(*) AS n, round(sum(i), 4) AS total_i FROM readings GROUP BY 1")
 def a02_read_tab_log(spark, sf_dir):
     path = scratch(spark, "tab")
