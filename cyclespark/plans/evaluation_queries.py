@@ -580,13 +580,14 @@ def i10_flatten_for_inspection(spark, sf_dir):
 
 @query(f"""WITH {fx.READINGS}, p AS (SELECT cell_id, v, CASE WHEN event_id % 9 <> 0 THEN i END AS i, qd, t, row_number() OVER (PARTITION BY cell_id ORDER BY cycle_number, idx) - 1 AS place FROM readings WHERE cycle_number <= 3),
   n AS (SELECT cell_id, least(count(v), count(i), count(qd)) AS n FROM p GROUP BY 1)
-  SELECT cell_id, place, round(v, 4) AS v, round(i, 4) AS i, round(qd, 4) AS qd, round(t, 4) AS t FROM p JOIN n USING (cell_id) WHERE place < n""")
+  SELECT cell_id, place, round(v, 4) AS v, round(i, 4) AS i, round(qd, 4) AS qd, round(t, 6) AS t FROM p JOIN n USING (cell_id) WHERE place < n""")
 def i10_flattened_points(spark, sf_dir):
     """Every point of the flattened series, some of whose currents are missing, from arrays of at most 16 points."""
     r = fx.readings(spark, sf_dir).withColumn("i", F.when(F.col("event_id") % 9 != 0, F.col("i")))
     f = checks.flatten_for_inspection(r, 3, size=16)
     zipped = f.select(CELL, "first", F.posexplode(F.arrays_zip("v", "i", "qd", "t")).alias("p", "x"))
-    return rounded(zipped.select(CELL, (F.col("first") + F.col("p")).alias("place"), "x.*"), "v", "i", "qd", "t")
+    points = zipped.select(CELL, (F.col("first") + F.col("p")).alias("place"), "x.*")
+    return rounded(points, "v", "i", "qd").withColumn("t", F.round("t", 6))
 
 
 # --- J: metrics ---------------------------------------------------------------------------------------

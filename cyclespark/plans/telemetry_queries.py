@@ -156,12 +156,12 @@ def a08_nest_readings(spark, sf_dir):
     return nested.groupBy(CELL).agg(F.sum(F.size("points")).alias("points")).join(back, CELL)
 
 
-@query(f"WITH {fx.READINGS}, p AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle_number, idx) - 1 AS place FROM readings) SELECT cell_id, place, place // 64 AS chunk, cycle_number, idx, round(t, 4) AS t, round(i, 4) AS i, round(v, 4) AS v FROM p")
+@query(f"WITH {fx.READINGS}, p AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle_number, idx) - 1 AS place FROM readings) SELECT cell_id, place, place // 64 AS chunk, cycle_number, idx, round(t, 6) AS t, round(i, 4) AS i, round(v, 4) AS v FROM p")
 def a08_chunks_round_trip(spark, sf_dir):
     """Every reading, read back from records of at most 64 points with its place in the cell."""
     nested = readers.nest_readings(fx.readings(spark, sf_dir), size=64)
     rows = readers.from_chunks(nested).withColumn("chunk", F.floor(F.col("place") / 64))
-    return rounded(rows.select(CELL, "place", "chunk", CYC, "idx", "t", "i", "v"), "t", "i", "v")
+    return rounded(rows.select(CELL, "place", "chunk", CYC, "idx", F.round("t", 6).alias("t"), "i", "v"), "i", "v")
 
 
 @query(f"WITH {fx.CELLS} SELECT count_if(num % 3 <> 0) AS processed, count_if(num % 3 = 0) AS skipped FROM cells")
