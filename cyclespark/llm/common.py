@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,33 +41,67 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     Parquet table is preferred to ``checkpoint()``, which runs its last stage twice.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    made.append(path)
+    _note(path)
     return _folder(df, path)
 
 
-#: Folders that this session's operators have written and not removed, oldest first.
-made: list[str] = []
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+def _note(path: str) -> None:
+    if (paths := _noted.get()) is not None:
+        paths.append(path)
+
+
+@contextmanager
+def noting() -> Iterator[list[str]]:
+    """The folders that operators called inside write, in this thread, less those that they remove."""
+    paths: list[str] = []
+    token = _noted.set(paths)
+    try:
+        yield paths
+    finally:
+        _noted.reset(token)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Delete folders in the shared store."""
-    jvm = spark.sparkContext._jvm
+    jvm, noted = spark.sparkContext._jvm, _noted.get()
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        if path in made:
-            made.remove(path)
+        if noted and path in noted:
+            noted.remove(path)
+
+
+#: Where a frame names the tables that it reads, in the metadata of its first column.
+READS = "cyclespark.reads"
+
+
+def naming(df: DataFrame, paths: list[str]) -> DataFrame:
+    """``df``, whose schema names the intermediate tables that it reads. A Parquet copy of it names them too."""
+    field = df.schema.fields[0]
+    rest = {k: v for k, v in field.metadata.items() if k != READS}
+    quoted = ["`" + c.replace("`", "``") + "`" for c in df.columns]
+    return df.select(F.col(quoted[0]).alias(field.name, metadata=rest | {READS: paths} if paths else rest), *quoted[1:])
 
 
-def free(spark: SparkSession, paths: list[str], read: DataFrame) -> None:
-    """Remove those of ``paths`` that ``read`` doesn't need.
+def release(df: DataFrame) -> list[str]:
+    """Remove the tables that ``df`` names but doesn't read: it is a written copy of what did. Those that it reads are returned.
 
-    Spark frees the shuffle files of plans that nothing refers to any more when the driver's
-    JVM collects garbage, so that is asked for as well.
+    Names count only if they are of this session's shared folder and of the form that ``cut`` and ``Tables`` give. Spark frees
+    the shuffle files of plans that nothing refers to any more when the driver's JVM collects garbage, so that is asked for as well.
     """
-    needed = {part for f in read.inputFiles() for part in f.split("/")}
-    remove(spark, [p for p in paths if p.rsplit("/", 1)[-1] not in needed])
+    spark = df.sparkSession
+    form = re.compile(re.escape(shared_folder(spark)) + r"/[a-z0-9-]+-[0-9a-f]{32}")
+    named = [p for p in df.schema.fields[0].metadata.get(READS, []) if isinstance(p, str) and form.fullmatch(p)] if df.schema.fields else []
+    if named:
+        read = {part for f in df.inputFiles() for part in f.split("/")}
+        kept = [p for p in named if p.rsplit("/", 1)[-1] in read]
+        remove(spark, [p for p in named if p not in kept])
+        named = kept
     spark.sparkContext._jvm.System.gc()
+    return named
 
 
 class Tables:
@@ -76,7 +113,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        made.append(self.path)
+        _note(self.path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         return _folder(df, f"{self.path}/{name}")
