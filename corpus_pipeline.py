@@ -1,40 +1,34 @@
 """From raw documents to packed training sequences: five stages on Spark.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and is
-written as Parquet before the next one starts. A stage begins by removing the intermediate
-tables of the stages before it, except what its ``docs`` still read.
+written as Parquet before the next one starts. The result of a stage names the intermediate tables that it
+reads in its schema, and so does the copy that is written of it: a stage that is given such a copy removes the tables that the copy
+has replaced, and no others. So stages share no state, and a result holds until its own copy is worked on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial, wraps
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclespark.llm import line_dedup, near, packing, pii, quality
-from cyclespark.llm.common import cut, free, made
+from cyclespark.llm.common import cut, naming, noting, release, remove
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []  # intermediate tables of the stages so far
 
 
-def tidy(stage: Stage, last: bool = False) -> Stage:
-    """``stage``, which removes what earlier ones left and remembers its own tables.
-
-    Those of the last stage stay, as nothing tells when its result has been read.
-    """
+def tidy(stage: Stage) -> Stage:
+    """``stage``, which first removes the tables that its written input has replaced, and names its own in its result."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        free(spark, _left, docs)
-        _left[:] = [p for p in _left if p in made]
-        before = set(made)
-        out = stage(spark, docs, sf_dir)
-        if not last:
-            _left.extend(p for p in made if p not in before)
-        return out
+        still = release(docs)
+        with noting() as tables:
+            out = stage(spark, docs, sf_dir)
+        return naming(out, [*still, *tables])
 
     return run_stage
 
@@ -75,7 +69,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return pii.redact(docs)
 
 
-@partial(tidy, last=True)
+@tidy
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of 2048 tokens."""
     import public_tokenizers
@@ -93,12 +87,13 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each read again from Parquet."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each read again from Parquet; what the last one reads stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        free(spark, _left, docs)
-        _left.append(made[-1])
+        with noting() as written:
+            docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        remove(spark, before)  # the stage's input, which its written result has replaced
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
