@@ -131,6 +131,58 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Steps of doubling: arrays may have up to 2^DOUBLINGS entries.
+DOUBLINGS = 26
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """``values`` (an array) with each entry joined to all before it, in doubling steps: n log n work, no array grows by copying.
+
+    ``join`` is associative, such as a sum or a maximum.
+    """
+
+    def step(x: Column, k: int) -> Column:
+        reach = 1 << k
+        wider = F.transform(x, lambda v, i: F.when(i >= reach, join(F.get(x, i - reach), v)).otherwise(v))
+        return F.when(F.size(x) > reach, wider).otherwise(x)
+
+    for k in range(DOUBLINGS):
+        values = _bound(values, step, k)
+    return values
+
+
+def _bound(value: Column, body: Callable, k: int) -> Column:
+    return let(value, lambda x: body(x, k))
+
+
+def count_below(ordered: Column, limit: Column) -> Column:
+    """How many entries of an ascending array are less than ``limit``, by bisection."""
+    place = F.lit(0)
+    for k in reversed(range(DOUBLINGS)):
+        at = place
+        place = _bound(at, lambda p, k: F.when(F.get(ordered, p + ((1 << k) - 1)) < limit, p + (1 << k)).otherwise(p), k)
+    return place
+
+
+#: Code points of a block, and of texts that aren't cut into blocks.
+BLOCK, WHOLE = 1024, 4096
+
+
+def blocks_of(text: Column) -> Column:
+    """A text as (w, b): its width of blocks and the blocks, so that parts of long texts are cut out without walking from the start."""
+    return F.struct(
+        F.when(F.length(text) > WHOLE, F.lit(BLOCK)).otherwise(F.lit(1 << 30)).alias("w"),
+        F.when(F.length(text) > WHOLE, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).otherwise(F.array(text)).alias("b"),
+    )
+
+
+def part_of(blocks: Column, start: Column, length: Column) -> Column:
+    """``length`` code points of a text from ``start`` (from 0) on, from its ``blocks_of``."""
+    first = F.floor(start / blocks["w"]).cast("int")
+    last = F.floor((start + length) / blocks["w"]).cast("int")
+    return F.substring(F.array_join(F.slice(blocks["b"], first + 1, last - first + 1), ""), start - first * blocks["w"] + 1, length)
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """The session's number of shuffle partitions."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, cut, let
+from .common import Tables, blocks_of, count_below, cut, let, part_of, running
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -41,14 +41,9 @@ def _spans(text: Column, form: str) -> Column:
     """All matches as (start, end, text); places are code points, the end is exclusive."""
 
     def place(between: Column, hits: Column) -> Column:
-        def step(a: Column, i: Column) -> Column:
-            start = a["at"] + F.length(F.get(between, i))
-            end = start + F.length(F.get(hits, i))
-            span = F.struct(start.alias("s"), end.alias("e"), F.get(hits, i).alias("t"))
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
-
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), begin, step, lambda a: a["out"])
+        steps = F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda x, h: F.length(x) + F.length(h))
+        ends = running(steps, lambda x, y: x + y)
+        return F.zip_with(ends, hits, lambda e, h: F.struct((e - F.length(h)).alias("s"), e.alias("e"), h.alias("t")))
 
     hits = F.regexp_extract_all(text, F.lit(form), F.lit(0))
     none = F.array().cast(f"array<{SPAN}>")
@@ -112,41 +107,45 @@ def _marked(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
         F.array(*[_of_kind(F.col("_base")[k], k) for k in KINDS])
     )
     rows = rows.withColumn("seeds", seeds)
-    tokens = F.when(whole.rlike("[0-9@]"), _spans(whole, TOKEN))
-    free = F.filter(
-        tokens,
-        lambda x: ((F.length(_digits(x["t"])) >= 4) | F.contains(x["t"], F.lit("@")))
-        & ~F.exists("seeds", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])),
-    )
-    every = F.concat(F.col("seeds"), F.transform(free, lambda x: F.struct(F.lit(None).cast("string").alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("v"))))
-
-    size = F.length(whole)
+    begins, ends = (F.array_sort(F.col(f"seeds.{c}")) for c in ("s", "e"))
+    tokens = F.coalesce(F.when(whole.rlike("[0-9@]"), _spans(whole, TOKEN)), F.array().cast(f"array<{SPAN}>"))
+    # what is bound here is worked out once a text; inside a lambda it would be once a span
+    given = F.struct(begins.alias("begins"), ends.alias("ends"), blocks_of(whole).alias("blocks"), F.length(whole).alias("size"))
+
+    def frames(c: Column) -> Column:
+        # a word is free if as many seeds have ended before it as have begun before its end
+        free = F.filter(
+            tokens,
+            lambda x: ((F.length(_digits(x["t"])) >= 4) | F.contains(x["t"], F.lit("@")))
+            & (count_below(c["begins"], x["e"]) == count_below(c["ends"], x["s"] + 1)),
+        )
+        none = F.lit(None).cast("string")
+        every = F.concat(F.col("seeds"), F.transform(free, lambda x: F.struct(none.alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("v"))))
+        return F.transform(every, lambda x: framed(c, x))
 
-    def before(x: Column, words: str) -> Column:
+    def before(c: Column, x: Column, words: str) -> Column:
         """The last words before a span; a short look back where it holds them whole, else a long one."""
 
         def look(n: int) -> Column:
-            part = F.substring(whole, F.greatest(x["s"] - n + 1, F.lit(1)), F.least(x["s"], F.lit(n)))
-            return F.regexp_extract(part, rf"(?:^|[ \t-\r])({words})[ \t-\r]*$", 1), part.rlike(rf"[ \t-\r]{words}[ \t-\r]*$")
+            part = part_of(c["blocks"], F.greatest(x["s"] - n, F.lit(0)), F.least(x["s"], F.lit(n)))
+            return let(part, lambda p: F.when((x["s"] <= n) | p.rlike(rf"[ \t-\r]{words}[ \t-\r]*$"), F.regexp_extract(p, rf"(?:^|[ \t-\r])({words})[ \t-\r]*$", 1)))
 
-        (near, whole_near), (wide, whole_wide) = look(40), look(REACH)
-        return F.lower(F.when((x["s"] <= 40) | whole_near, near).when((x["s"] <= REACH) | whole_wide, wide).otherwise(""))
+        return F.lower(F.coalesce(look(40), look(REACH), F.lit("")))
 
-    def after(x: Column) -> Column:
+    def after(c: Column, x: Column) -> Column:
         def look(n: int) -> Column:
-            part = F.substring(whole, x["e"] + 1, F.lit(n))
-            return F.regexp_extract(part, rf"^{CLOSING}({ONE})", 1), part.rlike(rf"^{CLOSING}{ONE}[ \t-\r]")
+            part = part_of(c["blocks"], x["e"], F.least(c["size"] - x["e"], F.lit(n)))
+            return let(part, lambda p: F.when((c["size"] - x["e"] <= n) | p.rlike(rf"^{CLOSING}{ONE}[ \t-\r]"), F.regexp_extract(p, rf"^{CLOSING}({ONE})", 1)))
 
-        (near, whole_near), (wide, whole_wide) = look(30), look(REACH)
-        return F.lower(F.when((size - x["e"] <= 30) | whole_near, near).when((size - x["e"] <= REACH) | whole_wide, wide).otherwise(""))
+        return F.lower(F.coalesce(look(30), look(REACH), F.lit("")))
 
-    def framed(x: Column) -> Column:
+    def framed(c: Column, x: Column) -> Column:
         return F.struct(
             x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"),
-            before(x, ONE).alias("l1"), before(x, rf"{ONE}[ \t-\r]+{ONE}").alias("l2"), after(x).alias("r1"),
+            before(c, x, ONE).alias("l1"), before(c, x, rf"{ONE}[ \t-\r]+{ONE}").alias("l2"), after(c, x).alias("r1"),
         )
 
-    return rows.withColumn("found", F.coalesce(F.transform(every, framed), F.array())).drop("_base")
+    return rows.withColumn("found", let(given, frames)).drop("_base")
 
 
 def discovered(marked: DataFrame, *, rounds: int = 3, support: int = 5, confidence: float = 0.9) -> DataFrame:
@@ -227,19 +226,19 @@ def redact(docs: DataFrame, text: str = "text", **bootstrap) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets; of overlapping spans the first goes, its end extended."""
     whole = docs.select(text, F.struct(*docs.columns).alias("_doc"))  # user columns may be named like those of find
     found = find(whole, text=text, **bootstrap)
-
-    def step(a: Column, x: Column) -> Column:
-        inside = x["s"] < a["at"]
-        gap = F.substring(F.col(text), a["at"] + 1, x["s"] - a["at"])
-        mark = F.concat(F.lit("["), F.upper(x["k"]), F.lit("]"))
-        return F.struct(
-            F.greatest(a["at"], x["e"]).alias("at"),
-            F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.array(gap, mark))).alias("out"),
-        )
-
     order = F.array_sort(F.transform(F.concat("seeds", "extra"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(order, begin, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text), a["at"] + 1, F.length(text))))
+    given = F.col(text)
+
+    def without(spans: Column, reach: Column, blocks: Column) -> Column:
+        """The gaps between spans that don't begin inside earlier ones, each with the mark of the span after it, and the rest."""
+        since = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
+        mark = lambda x: F.concat(F.lit("["), F.upper(x["k"]), F.lit("]"))
+        parts = F.transform(spans, lambda x, i: F.when(x["s"] >= since(i), F.concat(part_of(blocks, since(i), x["s"] - since(i)), mark(x))).otherwise(F.lit("")))
+        rest = part_of(blocks, since(F.size(spans)), F.length(given) - since(F.size(spans)))
+        return F.concat(F.array_join(parts, ""), rest)
+
+    # how far the spans up to each one reach
+    far = lambda spans: running(F.transform(spans, lambda x: x["e"]), lambda x, y: F.greatest(x, y))
+    new = let(order, lambda spans: let(far(spans), lambda reach: let(blocks_of(given), lambda blocks: without(spans, reach, blocks))))
     changed = F.size("seeds") + F.size("extra") > 0
-    new = F.when(changed, whole).otherwise(F.col(text))
-    return found.select(*[(new if c == text else F.col("_doc")[c]).alias(c) for c in docs.columns])
+    return found.select(*[(F.when(changed, new).otherwise(given) if c == text else F.col("_doc")[c]).alias(c) for c in docs.columns])
