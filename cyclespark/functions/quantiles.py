@@ -14,6 +14,8 @@ from cyclespark.sources.shared import scratch
 
 #: Bits a round: a group has at most 2^BITS counters in a task.
 BITS = 16
+#: Once no kept prefix stands for more values than this, they are sorted.
+FEW = 20_000
 
 
 def ordered_bits(x: Column) -> Column:
@@ -31,50 +33,59 @@ def ordered_bits(x: Column) -> Column:
 def group_quantiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, float]) -> DataFrame:
     """A row a group of ``df`` with a column for each of ``wanted``, interpolated between neighbours as ``percentile`` does.
 
-    Null values don't count; a group without others gets nulls. ``df`` is read once a round, four times at most and
-    twice or three times where few values of a group share their first 32 or 48 bits. What goes from round to round has a row or two a group and quantile.
-    Null keys form a group.
+    Null values don't count; a group without others gets nulls; null keys form a group. ``df`` is read once a round: twice
+    where a prefix of 16 bits leaves at most ``FEW`` values or one value, four times at most. What goes from round to round
+    has a row or two a group and quantile.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, "quantiles")
     names = [f"_k{j}" for j in range(len(keys))]
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], value.cast("double").alias("_v"))
     rows = rows.withColumn("_b", ordered_bits(F.col("_v")))
-    # nothing kept yet: the prefix of a group's values is empty
-    kept, shift = None, 64 - BITS
+
+    def inside(kept: DataFrame, bits: Column, columns: list[str]) -> tuple[DataFrame, Column]:
+        """``kept`` with its keys renamed, and the condition that a row of the same keys has its prefix."""
+        on = bits == F.col("_p")
+        for n in names:
+            on = on & F.col(n).eqNullSafe(F.col(f"{n}_"))
+        return kept.select(*[F.col(n).alias(f"{n}_") for n in names], "_p", *columns), on
+
+    def holding(each: DataFrame) -> DataFrame:
+        """The counters that hold their rank."""
+        held = each.where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c")) | (F.col("_n") == 0))
+        return held.select(*names, F.col("_q").alias("_p"), "_n", "_c", "name", "_r", "_before", "_low", "_high")
+
+    def counted(found: DataFrame, shift: int) -> DataFrame:
+        return found.groupBy(*names, F.shiftright("_b", shift).alias("_q")).agg(F.count("_v").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+
+    def stored(found: DataFrame, name: str) -> DataFrame:
+        found.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    shift = 64 - BITS
+    first = counted(rows, shift).withColumn("_n", F.sum("_c").over(Window.partitionBy(*names)))
+    first = first.withColumn("_before", F.sum("_c").over(Window.partitionBy(*names).orderBy("_q")) - F.col("_c"))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), at.alias("_r")) for name, q in wanted.items() for at in (F.floor(q * (F.col("_n") - 1)), F.ceil(q * (F.col("_n") - 1)))])
+    whole = stored(holding(first.select("*", F.inline(F.array_distinct(ranks)))), f"{shift}")
     while True:
-        prefix = F.shiftright("_b", shift)
-        if kept is None:
-            found = rows
-        else:
-            same = F.shiftright("_b", shift + BITS) == F.col("_p")
-            for n in names:
-                same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
-            found = rows.join(kept.select(*[F.col(n).alias(f"{n}_") for n in names], "_p").distinct(), same, "left_semi")
-        counted = found.groupBy(*names, prefix.alias("_q")).agg(F.count("_v").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-        if kept is None:
-            n = F.sum("_c").over(Window.partitionBy(*names))
-            before = F.sum("_c").over(Window.partitionBy(*names).orderBy("_q")) - F.col("_c")
-            each = counted.withColumns({"_n": n, "_before": before})
-            ranks = F.array(*[F.struct(F.lit(name).alias("name"), at.alias("_r")) for name, q in wanted.items() for at in (F.floor(q * (F.col("_n") - 1)), F.ceil(q * (F.col("_n") - 1)))])
-            each = each.select("*", F.inline(F.array_distinct(ranks)))
-            # a group without values keeps a row, so that it has a result
-            picked = each.where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c")) | (F.col("_n") == 0))
-        else:
-            marks = kept.select(*[F.col(k).alias(f"{k}_") for k in names], "_p", "_n", "name", "_r", F.col("_before").alias("_start"))
-            on = F.shiftright("_q", BITS) == F.col("_p")
-            for k in names:
-                on = on & F.col(k).eqNullSafe(F.col(f"{k}_"))
-            inner = F.sum("_c").over(Window.partitionBy(*names, F.shiftright("_q", BITS)).orderBy("_q")) - F.col("_c")
-            each = counted.withColumn("_inner", inner).join(marks, on).withColumn("_before", F.col("_start") + F.col("_inner"))
-            picked = each.where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c")))
-        picked = picked.select(*names, F.col("_q").alias("_p"), "_n", "name", "_r", "_before", "_low", "_high")
-        (picked if kept is None else picked.unionByName(done)).write.parquet(f"{path}/{shift}")
-        whole = spark.read.parquet(f"{path}/{shift}")
-        open_ = (F.col("_low") < F.col("_high")) & (shift > 0)
-        done, kept = whole.where(~open_ | F.col("_low").isNull()), whole.where(open_)
-        if shift == 0 or kept.isEmpty():
+        open_ = F.coalesce((F.col("_low") < F.col("_high")) & F.lit(shift > 0), F.lit(False))
+        done, kept = whole.where(~open_), whole.where(open_)
+        most = kept.agg(F.max("_c")).first()[0]
+        if most is None:
+            break
+        marks, on = inside(kept, F.shiftright("_b", shift), [])
+        found = rows.join(marks.distinct(), on, "left_semi")
+        if most <= FEW:
+            lists = found.groupBy(*names, F.shiftright("_b", shift).alias("_q")).agg(F.sort_array(F.collect_list("_v")).alias("_l"))
+            marks, on = inside(kept, F.col("_q"), ["_n", "_c", "name", "_r", "_before"])
+            at = F.get("_l", (F.col("_r") - F.col("_before")).cast("int"))
+            sorted_ = lists.join(marks, on).select(*names, "_p", "_n", "_c", "name", "_r", "_before", at.alias("_low"), at.alias("_high"))
+            done = stored(done.unionByName(sorted_), "last")
             break
+        marks, on = inside(kept, F.shiftright("_q", BITS), ["_n", "name", "_r", F.col("_before").alias("_start")])
+        inner = F.sum("_c").over(Window.partitionBy(*names, F.shiftright("_q", BITS)).orderBy("_q")) - F.col("_c")
         shift -= BITS
+        each = counted(found, shift).withColumn("_inner", inner).join(marks, on).withColumn("_before", F.col("_start") + F.col("_inner"))
+        whole = stored(holding(each).unionByName(done), f"{shift}")
     values = {}
     for name, q in wanted.items():
         at = q * (F.max("_n") - 1)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cyclespark.functions import quantiles
 from cyclespark.functions.quantiles import group_quantiles, ordered_bits
 from cyclespark.functions.scans import across, in_ranges, ranged_fold
 from cyclespark.operators import checks, cohort, curves, segment, timeaxis
@@ -64,7 +65,10 @@ def test_ordered_bits(spark):
     assert max(got, key=lambda r: r["b"])["x"] != max(got, key=lambda r: r["b"])["x"]
 
 
-def test_quantiles(spark):
+@pytest.mark.parametrize("few", [0, 50, 20_000])
+def test_quantiles(spark, monkeypatch, few):
+    """By counters down to the last bit, by sorting what few bits leave, and both."""
+    monkeypatch.setattr(quantiles, "FEW", few)
     rng = random.Random(2)
     rows = [("hot", rng.choice([rng.gauss(0, 1), 0.5, -3.0, 1e-300, None])) for _ in range(3000)]
     rows += [(f"g{rng.randrange(40)}", rng.uniform(-9, 9)) for _ in range(400)] + [("same", 4.25)] * 300 + [("one", 7.0), ("none", None), ("none", None), (None, 1.0), (None, 2.0)]
