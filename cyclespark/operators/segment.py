@@ -109,13 +109,13 @@ def find_cycle_ends(readings: DataFrame, lag: int = 10, tolerance: float = 0.1,
     ``readings`` has n, the row's place in the cell from 0. Which candidates count follows from the one that counted
     before; that chain is followed in doubling steps.
     """
-    w = Window.partitionBy("cell_id").orderBy("n")
-    i, before, after = F.col("i"), F.lag("i").over(w), F.lead("i").over(w)
+    i, before, after = F.col("i"), F.col("_before.v"), F.col("_after.v")
+    rows = across(in_ranges(readings, ["cell_id", "n"]), ["cell_id"], previous={"_before": "i"}, following={"_after": "i"})
     spike = (F.abs(i - before) > tolerance) & (F.abs(i - after) > tolerance)
-    smooth = readings.withColumn("_i", F.when(F.coalesce(spike, F.lit(False)), after).otherwise(i))
-    smooth = smooth.withColumn("_block", F.sum((F.col("_i") >= 0).cast("int")).over(_running(w)))
-    run = F.row_number().over(Window.partitionBy("cell_id", "_block").orderBy("n")) - F.max((F.col("_i") >= 0).cast("int")).over(Window.partitionBy("cell_id", "_block"))
-    found = smooth.withColumn("_run", run).where((F.col("_i") < 0) & (F.col("_run") == lag)).select("cell_id", (F.col("n") - lag + 1).alias("n"))
+    smooth = rows.withColumn("_i", F.when(F.coalesce(spike, F.lit(False)), after).otherwise(i))
+    smooth = across(smooth.withColumn("_stop", F.when(F.col("_i") >= 0, F.col("n"))), ["cell_id"], known={"_stopped": "_stop"})
+    run = F.col("n") - F.coalesce(F.col("_stopped"), F.lit(-1))
+    found = smooth.where((F.col("_i") < 0) & (run == lag)).select("cell_id", (F.col("n") - lag + 1).alias("n"))
     marks = _chained(found, quiet).withColumn("cycle_end", F.lit(True))
     return readings.join(marks, ["cell_id", "n"], "left").withColumn("cycle_end", F.coalesce("cycle_end", F.lit(False)))
 

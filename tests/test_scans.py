@@ -262,6 +262,26 @@ def test_chained_marks(spark, quiet):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_cycle_ends_of_a_hot_cell(ranges):
+    rng = random.Random(13)
+    rows = [(c, k, rng.choice([1.0, -1.0, -1.0, -1.0, -1.0, -9.0])) for c, n in (("hot", 1500), *((f"c{j}", 37) for j in range(30))) for k in range(n)]
+    got = {(r["cell_id"], r["n"]) for r in segment.find_cycle_ends(ranges.createDataFrame(rows, "cell_id string, n int, i double").repartition(3), lag=4, tolerance=3, quiet=20).where("cycle_end").collect()}
+    want = set()
+    for c in {r[0] for r in rows}:
+        own = [i for d, _, i in rows if d == c]
+        odd = [0 < k < len(own) - 1 and abs(x - own[k - 1]) > 3 and abs(x - own[k + 1]) > 3 for k, x in enumerate(own)]
+        flat = [own[k + 1] if odd[k] else x for k, x in enumerate(own)]
+        run, last = 0, None
+        for k, x in enumerate(flat):
+            run = run + 1 if x < 0 else 0
+            if run == 4:
+                n = k - 3
+                if last is None or n <= 20 or n - last > 20:
+                    want.add((c, n))
+                    last = n
+    assert got == want and len(want) > 40
+
+
 def test_queue_of_reference_tests(spark):
     rng = random.Random(9)
     cycles, tests, want = [], [], []
