@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cyclespark.functions.parse import DATASET_IDS, name_prefix, to_number
 from cyclespark.functions.quantiles import group_quantiles
 from cyclespark.functions.scans import across, in_ranges
+from cyclespark.functions.sliding import sliding_medians
 from cyclespark.functions.windows import CYCLE, in_cell, in_cycle, upwards, whole_cell, whole_cycle
 
 
@@ -185,12 +186,17 @@ def _by_cell(cycles: DataFrame, columns: dict[str, Column], at: float = 0.5) ->
     return cycles.join(wide, "cell_id")
 
 
+def _placed_cycles(cycles: DataFrame) -> DataFrame:
+    """``cycles`` in ranges, with _place: the place in the cell from 0."""
+    rows = across(in_ranges(cycles.withColumn("_one", F.lit(1)), CYCLE), ["cell_id"], totals={"_upto": "_one"})
+    return rows.withColumn("_place", F.col("_upto") - 1)
+
+
 def median_filter_outliers(cycles: DataFrame, k: int = 21) -> DataFrame:
-    """Cycles near a zero-padded running median of qd_max and above 0.1, renumbered."""
-    half = k // 2
-    near = F.collect_list("qd_max").over(in_cell().rowsBetween(-half, half))
-    padded = F.array_sort(F.concat(near, F.array_repeat(F.lit(0.0), F.lit(k) - F.size(near))))
-    off = cycles.withColumn("_off", F.abs(F.col("qd_max") - padded[half]))
+    """Cycles near a zero-padded running median of qd_max over ``k`` (odd) cycles and above 0.1, renumbered."""
+    rows = _placed_cycles(cycles)
+    middle = sliding_medians(rows, ["cell_id"], "_place", F.col("qd_max"), k, pad=0.0).select("cell_id", (F.col("start") + k // 2).alias("_place"), "median")
+    off = rows.join(middle, ["cell_id", "_place"]).withColumn("_off", F.abs(F.col("qd_max") - F.col("median"))).select(*cycles.columns, "_off")
     kept = _by_cell(off, {"_m": F.col("_off")}).where("_off < 3 * _m and qd_max > 0.1").drop("_off", "_m")
     return kept.withColumn("cycle_number", F.row_number().over(in_cell()))
 
@@ -226,14 +232,15 @@ def hampel_shift_outliers(cycles: DataFrame, shifts: int, ths: float = 3) -> Dat
 
 def two_sided_median_outliers(cycles: DataFrame, eps: float = 0.05, w: int = 5) -> DataFrame:
     """Drop cycles far from the median of the w before and of themselves with the w-1 after."""
-    order = in_cell()
-    n, last = F.row_number().over(order), F.count(F.lit(1)).over(whole_cell())
-    before = F.percentile("qd_max", 0.5).over(order.rowsBetween(-w, -1))
-    after = F.percentile("qd_max", 0.5).over(order.rowsBetween(0, w - 1))
+    rows = _placed_cycles(cycles)
+    middle = sliding_medians(rows, ["cell_id"], "_place", F.col("qd_max"), w)
+    before = middle.select("cell_id", (F.col("start") + w).alias("_place"), F.col("median").alias("_b"))
+    after = middle.select("cell_id", F.col("start").alias("_place"), F.col("median").alias("_a"))
+    size = rows.groupBy("cell_id").agg(F.count(F.lit(1)).alias("_last"))
+    out = rows.join(before, ["cell_id", "_place"], "left").join(after, ["cell_id", "_place"], "left").join(size, "cell_id")
     far = (F.abs(F.col("qd_max") - F.col("_b")) > eps) & (F.abs(F.col("qd_max") - F.col("_a")) > eps)
-    out = cycles.withColumns({"_n": n, "_last": last, "_b": before, "_a": after})
-    inner = (F.col("_n") > w) & (F.col("_n") <= F.col("_last") - w)
-    return out.where(~(inner & far)).drop("_n", "_last", "_b", "_a")
+    inner = (F.col("_place") >= w) & (F.col("_place") < F.col("_last") - w)
+    return out.where(~(inner & far)).select(*cycles.columns)
 
 
 def missing_cycles(cycles: DataFrame) -> DataFrame:

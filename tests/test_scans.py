@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cyclespark.functions import quantiles
 from cyclespark.functions.quantiles import group_quantiles, ordered_bits
 from cyclespark.functions.scans import across, in_ranges, ranged_fold
+from cyclespark.functions.sliding import sliding_medians
 from cyclespark.operators import checks, cohort, curves, segment, timeaxis
 from cyclespark.sources import readers
 from cyclespark.streaming import ingest
@@ -397,3 +398,21 @@ def test_kernel_sums_of_a_full_bin(spark):
     p = np.exp(-((sizes[:, None] - sizes[None]) ** 2) / 18).sum(1)
     w = np.maximum(1 - (p - p.min()) / (p.max() - p.min()), 1e-6)
     assert {r["label"]: r["weight"] for r in narrow.collect()} == pytest.approx(dict(zip(sizes.tolist(), (w / w.mean()).tolist(), strict=True)), abs=1e-6)
+
+
+# --- sliding medians ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("length", "pad"), [(1, None), (2, None), (5, None), (21, 0.0), (64, None)])
+def test_sliding_medians(spark, length, pad):
+    rng = random.Random(length)
+    cells = {"hot": 400, "short": 3, "one": 1, "even": 128}
+    rows = [(c, k, rng.choice([rng.gauss(0, 1), rng.gauss(0, 1), 0.5, None, -2.0])) for c, n in cells.items() for k in range(n)]
+    got = {(r["c"], r["start"]): r["median"] for r in sliding_medians(spark.createDataFrame(rows, "c string, p int, x double"), ["c"], "p", F.col("x"), length, pad).collect()}
+    for c, n in cells.items():
+        own = [x for d, _, x in rows if d == c]
+        for start in range(1 - length, n):
+            seen = [own[k] if 0 <= k < n else None for k in range(start, start + length)]
+            seen = [pad if x is None else x for x in seen]
+            seen = [x for x in seen if x is not None]
+            assert got[c, start] == (pytest.approx(float(np.median(seen))) if seen else None), (c, start)
