@@ -86,11 +86,11 @@ def renumber_cycles(readings: DataFrame) -> DataFrame:
 
 def unwrap_cycle_index(readings: DataFrame, order: list[str], raw: str = "raw_index") -> DataFrame:
     """Add unwrapped: the first raw index, plus one at each change from row to row."""
-    w = Window.partitionBy("cell_id").orderBy(*order)
-    step = F.coalesce((F.col(raw) != F.lag(raw).over(w)).cast("int"), F.lit(0))
-    stepped = readings.withColumn("_step", step).withColumn("_first", F.first(raw).over(w))
-    running = F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return stepped.withColumn("unwrapped", F.col("_first") + running).drop("_step", "_first")
+    first = readings.groupBy("cell_id").agg(F.min_by(raw, F.struct(*order)).alias("_first"))
+    rows = across(in_ranges(readings, ["cell_id", *order]), ["cell_id"], previous={"_before": raw}, constants=first)
+    rows = rows.withColumn("_step", F.coalesce((F.col(raw) != F.col("_before.v")).cast("int"), F.lit(0)))
+    rows = across(rows, ["cell_id"], totals={"_steps": "_step"})
+    return rows.select(*readings.columns, (F.col("_first") + F.col("_steps")).alias("unwrapped"))
 
 
 def dedupe_readings(readings: DataFrame, stamp: str, tie: str) -> DataFrame:

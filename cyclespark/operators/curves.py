@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cyclespark.functions.scans import across, in_ranges
 from cyclespark.functions.windows import CYCLE
 from cyclespark.sources.shared import scratch
 
@@ -390,7 +391,7 @@ def operating_note(cycles: DataFrame) -> DataFrame:
 
 def stride_downsample(readings: DataFrame, max_points: int) -> DataFrame:
     """Every k-th row of each cell by place, so that at most about ``max_points`` are left."""
-    w = Window.partitionBy("cell_id").orderBy("cycle_number", "idx")
-    n = F.count(F.lit(1)).over(Window.partitionBy("cell_id"))
-    out = readings.withColumns({"_p": F.row_number().over(w) - 1, "_k": F.greatest(F.lit(1), F.ceil(n / max_points))})
-    return out.where("_p % _k = 0").drop("_p", "_k")
+    size = readings.groupBy("cell_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / max_points)).alias("_k"))
+    rows = in_ranges(readings.withColumn("_one", F.lit(1)), ["cell_id", "cycle_number", "idx"])
+    out = across(rows, ["cell_id"], totals={"_place": "_one"}, constants=size)
+    return out.where((F.col("_place") - 1) % F.col("_k") == 0).select(*readings.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclespark.functions.scans import across, in_ranges, ranged_fold
-from cyclespark.functions.windows import CYCLE, in_cell, in_cycle, whole_cell
+from cyclespark.functions.windows import CYCLE, in_cell, in_cycle
 from cyclespark.sources.readers import chunked
 
 
@@ -161,4 +161,4 @@ def time_descents(readings: DataFrame) -> DataFrame:
 
 def cell_span(readings: DataFrame) -> DataFrame:
     """First and last time of a cell."""
-    return readings.select("cell_id", F.min("t").over(whole_cell()).alias("first"), F.max("t").over(whole_cell()).alias("last")).distinct()
+    return readings.groupBy("cell_id").agg(F.min("t").alias("first"), F.max("t").alias("last"))
