@@ -1,108 +1,68 @@
-"""Sliding medians from summaries of neighbouring blocks.
+"""Sliding medians of groups of any length.
 
-A window of ``length`` rows lies inside two neighbouring blocks of as many rows. The values of such a pair are sorted once and
-kept as a wavelet matrix: for each bit of a value's rank, how many of the first places have it clear. The smallest values
-of any span of places are counted down bit by bit, so a median takes as many steps as the logarithm of the length.
-Pairs are groups of their own, so a long cell is spread over tasks.
+Places of a group are cut into chunks; a row goes to the chunks in which a window that holds it starts, which is one more
+at a chunk's beginning. So a task holds a chunk, never a group. Inside a task the windows of many chunks
+slide over one array, in which chunks lie a window apart; the sliding median keeps its window ordered, so a
+step costs the logarithm of the length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with value evaluated once a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _prefix_sums(x: Column, size: int) -> Column:
-    """0 and the running sums of an array of ``size`` whole numbers, in doubling steps."""
-
-    def step(reach: int) -> Callable[[Column], Column]:
-        return lambda a: F.transform(a, lambda v, i: v + F.coalesce(F.get(a, i - reach), F.lit(0)))
-
-    reach = 1
-    while reach < size:
-        x = let(x, step(reach))
-        reach *= 2
-    return F.concat(F.array(F.lit(0)), x)
-
-
-def _with_levels(pairs: DataFrame, ranks: Column, size: int) -> tuple[DataFrame, Column]:
-    """``pairs`` with the wavelet matrix of an array of the numbers below ``size``, and that matrix.
-
-    From the highest bit on: the counts of clear bits before each place; then the places are sorted by the bit.
-    """
-    bits = max(1, (size - 1).bit_length())
-    pairs = pairs.withColumn("_x", ranks)
-    for level in range(bits):
-        pairs = _with_level(pairs, level, bits - 1 - level, size)
-    return pairs.drop("_x"), F.array(*[F.col(f"_w{level}") for level in range(bits)])
-
-
-def _with_level(pairs: DataFrame, level: int, bit: int, size: int) -> DataFrame:
-    clear = lambda v: F.getbit(v, F.lit(bit)) == 0
-    counts = _prefix_sums(F.transform("_x", lambda v: F.when(clear(v), 1).otherwise(0)), size)
-    return pairs.withColumn(f"_w{level}", counts).withColumn("_x", F.concat(F.filter("_x", clear), F.filter("_x", lambda v: ~clear(v))))
-
-
-def _ranked(levels: Column, size: int, low: Column, high: Column, k: Column) -> Column:
-    """The rank of the k-th smallest (from 0) of the places from low up to high (exclusive)."""
-    bits = max(1, (size - 1).bit_length())
-    state = F.struct(low.cast("int").alias("l"), high.cast("int").alias("r"), k.cast("int").alias("k"), F.lit(0).alias("v"))
-
-    def step(level: int) -> Callable[[Column], Column]:
-        def go(s: Column) -> Column:
-            c = levels[level]
-            l0, r0, all0 = F.get(c, s["l"]), F.get(c, s["r"]), F.get(c, F.lit(size))
-            few = s["k"] < r0 - l0
-            stay = F.struct(l0.alias("l"), r0.alias("r"), s["k"].alias("k"), s["v"].alias("v"))
-            pass_ = F.struct(
-                (all0 + s["l"] - l0).alias("l"), (all0 + s["r"] - r0).alias("r"), (s["k"] - r0 + l0).alias("k"), (s["v"] + (1 << (bits - 1 - level))).alias("v")
-            )
-            return F.when(few, stay).otherwise(pass_)
-
-        return go
-
-    for level in range(bits):
-        state = let(state, step(level))
-    return state["v"]
+#: Places of a chunk, or four windows if those are more.
+CHUNK = 8192
 
 
 def sliding_medians(rows: DataFrame, group: list[str], place: str, value: Column, length: int, pad: float | None = None) -> DataFrame:
     """(group, start, median) of each window of ``length`` places of a group, ``start`` from 1 - length on.
 
-    ``place`` numbers the rows of a group from 0 without gaps. Null values and places outside the group count as ``pad``, or not
+    ``place`` numbers the rows of a group from 0 without gaps. Null and NaN values and places outside the group count as ``pad``, or not
     at all where that is None; a window without values has a null median. Even counts take the mean of the middle two.
     """
-    size = 2 * length
-    empty = F.array_repeat(F.lit(pad).cast("double"), length)
-    at = rows.select(*group, F.floor(F.col(place) / length).alias("block"), F.pmod(F.col(place), F.lit(length)).cast("int").alias("off"), value.cast("double").alias("v"))
-    blocks = at.groupBy(*group, "block").agg(F.map_from_entries(F.collect_list(F.struct("off", "v"))).alias("m"))  # a block's rows
-    whole = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda o: F.coalesce(F.try_element_at("m", o), F.lit(pad).cast("double")))
-    sides = F.explode(F.array(F.struct(F.col("block").alias("pair"), F.lit(0).alias("side")), F.struct((F.col("block") - 1).alias("pair"), F.lit(1).alias("side"))))
-    halves = blocks.select(*group, whole.alias("a"), sides.alias("s")).select(*group, "a", "s.*")
-    half = lambda side: F.coalesce(F.first(F.when(F.col("side") == side, F.col("a")), ignorenulls=True), empty)
-    pairs = halves.groupBy(*group, "pair").agg(F.concat(half(0), half(1)).alias("a"))
-    pairs = pairs.withColumn("sorted", F.array_sort(F.transform("a", lambda v, i: F.struct(v.isNull().alias("none"), v.alias("v"), i.alias("i")))))
-    ranks = F.array_sort(F.transform("sorted", lambda x, r: F.struct(x["i"].alias("i"), r.alias("r"))))["r"]
-    known = _prefix_sums(F.transform("a", lambda v: v.isNotNull().cast("int")), size)
-
-    def medians(levels: Column, counts: Column, order: Column) -> Column:
-        def at_start(j: Column) -> Column:
-            n = F.get(counts, j + length) - F.get(counts, j)
-            pick = lambda k: F.get(order, _ranked(levels, size, j, j + length, k))["v"]
-            low, high = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
-            return F.when(n > 0, F.when(low == high, pick(low)).otherwise(pick(low) * 0.5 + pick(high) * 0.5))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), at_start)
-
-    pairs, levels = _with_levels(pairs, ranks, size)
-    # bound once a pair; inside the lambda they would be worked out for each window
-    found = let(F.struct(levels.alias("w"), known.alias("n"), F.col("sorted").alias("o")), lambda x: medians(x["w"], x["n"], x["o"]))
-    each = pairs.select(*group, "pair", F.posexplode(found).alias("j", "median"))
-    return each.select(*group, (F.col("pair") * length + F.col("j")).alias("start"), "median").where(F.col("start") > -length)
+    size = max(CHUNK, 4 * length)
+    at = F.col(place).cast("long")
+    chunks = F.sequence(F.floor((at - (length - 1)) / size), F.floor(at / size))
+    dealt = rows.select(*group, at.alias("_p"), value.cast("double").alias("_v"), F.explode(chunks).alias("_chunk"))
+    keys = [*group, "_chunk"]
+    types = dict(dealt.dtypes)
+
+    def medians(b: pd.DataFrame) -> pd.DataFrame:
+        """All windows of the whole chunks in ``b``, which is sorted by chunk and place."""
+        first = ~b.duplicated(keys).to_numpy()
+        begin = np.flatnonzero(first)
+        p, v = b["_p"].to_numpy(), b["_v"].to_numpy(float)
+        last = np.append(begin[1:], len(b)) - 1
+        # from a window before the chunk's first row, or from the chunk's beginning, to its last row; then a window's gap
+        low = np.maximum(b["_chunk"].to_numpy()[begin] * size, 1 - length)
+        spans = p[last] - low + 1
+        base = np.concatenate([[0], np.cumsum(spans + length - 1)])
+        flat = np.full(base[-1], np.nan if pad is None else pad)
+        of = np.cumsum(first) - 1
+        flat[base[of] + p - low[of]] = np.where(np.isnan(v), np.nan if pad is None else pad, v)
+        rolled = pd.Series(flat).rolling(length, min_periods=1).median().to_numpy()
+        counts = np.minimum(spans, (b["_chunk"].to_numpy()[begin] + 1) * size - low)
+        chunk = np.repeat(np.arange(len(begin)), counts)
+        step = np.arange(len(chunk)) - np.repeat(np.cumsum(counts) - counts, counts)
+        out = b[group].iloc[begin[chunk]].reset_index(drop=True)
+        return out.assign(start=low[chunk] + step, median=rolled[base[chunk] + step + length - 1])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for b in batches:
+            b = b if left is None else pd.concat([left, b], ignore_index=True)
+            tail = (b[keys] == b[keys].iloc[-1]).all(axis=1).to_numpy() if len(b) else np.zeros(0, bool)
+            left = b[tail]  # the last chunk may go on in the next batch
+            if not tail.all():
+                yield medians(b[~tail])
+        if left is not None and len(left):
+            yield medians(left)
+
+    schema = ", ".join([*[f"`{g}` {types[g]}" for g in group], "start long, median double"])
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys, "_p").mapInPandas(run, schema)
+    return found.withColumn("median", F.when(~F.isnan("median"), F.col("median")))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cyclespark.functions import quantiles
+from cyclespark.functions import quantiles, sliding
 from cyclespark.functions.quantiles import group_quantiles, ordered_bits
 from cyclespark.functions.scans import across, in_ranges, ranged_fold
 from cyclespark.functions.sliding import sliding_medians
@@ -404,7 +404,9 @@ def test_kernel_sums_of_a_full_bin(spark):
 
 
 @pytest.mark.parametrize(("length", "pad"), [(1, None), (2, None), (5, None), (21, 0.0), (64, None)])
-def test_sliding_medians(spark, length, pad):
+def test_sliding_medians(spark, monkeypatch, length, pad):
+    monkeypatch.setattr(sliding, "CHUNK", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     rng = random.Random(length)
     cells = {"hot": 400, "short": 3, "one": 1, "even": 128}
     rows = [(c, k, rng.choice([rng.gauss(0, 1), rng.gauss(0, 1), 0.5, None, -2.0])) for c, n in cells.items() for k in range(n)]
@@ -416,3 +418,5 @@ def test_sliding_medians(spark, length, pad):
             seen = [pad if x is None else x for x in seen]
             seen = [x for x in seen if x is not None]
             assert got[c, start] == (pytest.approx(float(np.median(seen))) if seen else None), (c, start)
+        assert sum(c == d for d, _ in got) == n + length - 1
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
