@@ -15,13 +15,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclespark.functions.folds import sorted_fold
-from cyclespark.sources.shared import scratch
+from cyclespark.sources.shared import discard, scratch
+
+#: Where ranges name their table, in the metadata of _at.
+TABLE = "cyclespark.table"
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    return read.withMetadata("_at", {TABLE: path}) if "_at" in df.columns else read
 
 
 def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
@@ -36,13 +40,14 @@ def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
 
 def across(
     rows: DataFrame, group: list[str], *, previous: dict[str, str] | None = None, following: dict[str, str] | None = None,
-    totals: dict[str, str] | None = None, known: dict[str, str] | None = None, upcoming: dict[str, str] | None = None, constants: DataFrame | None = None,
+    totals: dict[str, str] | None = None, known: dict[str, str] | None = None, upcoming: dict[str, str] | None = None, constants: DataFrame | None = None, spent: bool = False,
 ) -> DataFrame:
     """``rows`` of ``in_ranges`` with further columns, each named new: old, as if by windows over whole groups.
 
     previous, following: structs with the value of the row before and after, null at the group's ends; totals: sum
     up to the row; known, upcoming: the last non-null value up to the row, the next one from it on; constants: a
-    table with one row a group, whose other columns are added. The result is written, so that calls can follow each other.
+    table with one row a group, whose other columns are added. The result is written, so that calls can follow each other;
+    ``spent`` says that ``rows`` isn't used after this one, so that their table goes.
     """
     previous, following, totals, known, upcoming = (x or {} for x in (previous, following, totals, known, upcoming))
     keys = [*group, "_range"]
@@ -78,7 +83,10 @@ def across(
         | {new: F.coalesce(F.last(old, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)), f"_c_{new}") for new, old in upcoming.items()}
     )
     out = rows.join(summary, keys).withColumns(new_columns)
-    return _stored(out.drop(*[c for c in summary.columns if c.startswith("_c_")]), "across")
+    written = _stored(out.drop(*[c for c in summary.columns if c.startswith("_c_")]), "across")
+    if spent and (table := rows.schema["_at"].metadata.get(TABLE)):
+        discard(rows.sparkSession, table)
+    return written
 
 
 def ranged_fold(

@@ -79,7 +79,7 @@ def compare_before_after(before: DataFrame, after: DataFrame, tol: float = 1e-6)
     """Per cell: lengths, exact and close equality, largest v and i errors by place; missing partners show."""
     def placed(df: DataFrame, p: str) -> DataFrame:
         rows = df.select("cell_id", "cycle_number", "idx", F.col("v").alias(f"v_{p}"), F.col("i").alias(f"i_{p}"), F.lit(1).alias("_one"))
-        ranged = across(in_ranges(rows, ["cell_id", "cycle_number", "idx"]), ["cell_id"], totals={"n": "_one"})
+        ranged = across(in_ranges(rows, ["cell_id", "cycle_number", "idx"]), ["cell_id"], totals={"n": "_one"}, spent=True)
         return ranged.select("cell_id", "n", f"v_{p}", f"i_{p}")
 
     both = placed(before, "a").join(placed(after, "b"), ["cell_id", "n"], "full")
@@ -99,7 +99,7 @@ def flatten_for_inspection(readings: DataFrame, first_n: int, size: int = 10_000
     """
     rows = readings.where(F.col("cycle_number") <= first_n).select("cell_id", "cycle_number", "idx", "v", "i", "qd", "t")
     n = rows.groupBy("cell_id").agg(F.least(F.count("v"), F.count("i"), F.count("qd")).alias("n"))
-    ranged = across(in_ranges(rows.withColumn("_one", F.lit(1)), ["cell_id", "cycle_number", "idx"]), ["cell_id"], totals={"_place": "_one"}, constants=n)
+    ranged = across(in_ranges(rows.withColumn("_one", F.lit(1)), ["cell_id", "cycle_number", "idx"]), ["cell_id"], totals={"_place": "_one"}, constants=n, spent=True)
     kept = ranged.where(F.col("_place") <= F.col("n"))
     chunks = chunked(kept, ["cell_id", "cycle_number", "idx"], ["n", "v", "i", "qd", "t"], size)
     return chunks.select("cell_id", F.get("points.n", 0).alias("n"), "chunk", "first", *[F.col(f"points.{c}").alias(c) for c in ("v", "i", "qd", "t")])

@@ -87,9 +87,9 @@ def renumber_cycles(readings: DataFrame) -> DataFrame:
 def unwrap_cycle_index(readings: DataFrame, order: list[str], raw: str = "raw_index") -> DataFrame:
     """Add unwrapped: the first raw index, plus one at each change from row to row."""
     first = readings.groupBy("cell_id").agg(F.min_by(raw, F.struct(*order)).alias("_first"))
-    rows = across(in_ranges(readings, ["cell_id", *order]), ["cell_id"], previous={"_before": raw}, constants=first)
+    rows = across(in_ranges(readings, ["cell_id", *order]), ["cell_id"], previous={"_before": raw}, constants=first, spent=True)
     rows = rows.withColumn("_step", F.coalesce((F.col(raw) != F.col("_before.v")).cast("int"), F.lit(0)))
-    rows = across(rows, ["cell_id"], totals={"_steps": "_step"})
+    rows = across(rows, ["cell_id"], totals={"_steps": "_step"}, spent=True)
     return rows.select(*readings.columns, (F.col("_first") + F.col("_steps")).alias("unwrapped"))
 
 
@@ -165,7 +165,7 @@ def fill_with_cycle_median(readings: DataFrame, column: str) -> DataFrame:
     """Null or NaN values take the median of the finite ones of their cycle."""
     value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
     rows = in_ranges(readings, [*CYCLE, "idx"])
-    out = across(rows, CYCLE, constants=group_quantiles(rows, CYCLE, value, {"_m": 0.5}))
+    out = across(rows, CYCLE, constants=group_quantiles(rows, CYCLE, value, {"_m": 0.5}), spent=True)
     return out.withColumn(column, F.coalesce(value, "_m")).select(*readings.columns)
 
 
@@ -188,7 +188,7 @@ def _by_cell(cycles: DataFrame, columns: dict[str, Column], at: float = 0.5) ->
 
 def _placed_cycles(cycles: DataFrame) -> DataFrame:
     """``cycles`` in ranges, with _place: the place in the cell from 0."""
-    rows = across(in_ranges(cycles.withColumn("_one", F.lit(1)), CYCLE), ["cell_id"], totals={"_upto": "_one"})
+    rows = across(in_ranges(cycles.withColumn("_one", F.lit(1)), CYCLE), ["cell_id"], totals={"_upto": "_one"}, spent=True)
     return rows.withColumn("_place", F.col("_upto") - 1)
 
 

@@ -393,5 +393,5 @@ def stride_downsample(readings: DataFrame, max_points: int) -> DataFrame:
     """Every k-th row of each cell by place, so that at most about ``max_points`` are left."""
     size = readings.groupBy("cell_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / max_points)).alias("_k"))
     rows = in_ranges(readings.withColumn("_one", F.lit(1)), ["cell_id", "cycle_number", "idx"])
-    out = across(rows, ["cell_id"], totals={"_place": "_one"}, constants=size)
+    out = across(rows, ["cell_id"], totals={"_place": "_one"}, constants=size, spent=True)
     return out.where((F.col("_place") - 1) % F.col("_k") == 0).select(*readings.columns)

@@ -110,10 +110,10 @@ def find_cycle_ends(readings: DataFrame, lag: int = 10, tolerance: float = 0.1,
     before; that chain is followed in doubling steps.
     """
     i, before, after = F.col("i"), F.col("_before.v"), F.col("_after.v")
-    rows = across(in_ranges(readings, ["cell_id", "n"]), ["cell_id"], previous={"_before": "i"}, following={"_after": "i"})
+    rows = across(in_ranges(readings, ["cell_id", "n"]), ["cell_id"], previous={"_before": "i"}, following={"_after": "i"}, spent=True)
     spike = (F.abs(i - before) > tolerance) & (F.abs(i - after) > tolerance)
     smooth = rows.withColumn("_i", F.when(F.coalesce(spike, F.lit(False)), after).otherwise(i))
-    smooth = across(smooth.withColumn("_stop", F.when(F.col("_i") >= 0, F.col("n"))), ["cell_id"], known={"_stopped": "_stop"})
+    smooth = across(smooth.withColumn("_stop", F.when(F.col("_i") >= 0, F.col("n"))), ["cell_id"], known={"_stopped": "_stop"}, spent=True)
     run = F.col("n") - F.coalesce(F.col("_stopped"), F.lit(-1))
     found = smooth.where((F.col("_i") < 0) & (run == lag)).select("cell_id", (F.col("n") - lag + 1).alias("n"))
     marks = _chained(found, quiet).withColumn("cycle_end", F.lit(True))
@@ -150,10 +150,10 @@ def _chained(candidates: DataFrame, quiet: int) -> DataFrame:
 
 def segment_rpt_runs(readings: DataFrame) -> DataFrame:
     """segment and kind: runs of one non-null ``rpt`` are RPT, runs of nulls Cycling; a run of one row has no segment."""
-    rows = across(in_ranges(readings, READING), ["cell_id"], previous={"_before": "rpt"}, following={"_after": "rpt"})
+    rows = across(in_ranges(readings, READING), ["cell_id"], previous={"_before": "rpt"}, following={"_after": "rpt"}, spent=True)
     same = lambda side: F.col(side).isNotNull() & F.col("rpt").eqNullSafe(F.col(side)["v"])
     rows = rows.withColumns({"_new": (~same("_before")).cast("int"), "_alone": ~same("_before") & ~same("_after")})
-    out = across(rows, ["cell_id"], totals={"segment": "_new"})
+    out = across(rows, ["cell_id"], totals={"segment": "_new"}, spent=True)
     out = out.withColumn("segment", F.when(~F.col("_alone"), F.col("segment")))
     return out.withColumn("kind", F.when(F.col("rpt").isNotNull(), "RPT").otherwise("Cycling")).drop("_new", "_before", "_after", "_alone", "_at", "_range")
 
@@ -165,15 +165,15 @@ def direction_runs(readings: DataFrame) -> DataFrame:
     """
     rows = in_ranges(readings, READING)
     scale = group_quantiles(rows, ["cell_id"], F.abs("i"), {"_p": 0.9})
-    rows = across(rows, ["cell_id"], previous={"_before": "t"}, constants=scale)
+    rows = across(rows, ["cell_id"], previous={"_before": "t"}, constants=scale, spent=True)
     eps = F.greatest(F.lit(1e-8), 0.02 * F.col("_p"))
     rows = rows.withColumn("_s", F.when(F.col("i") > eps, 1).when(F.col("i") < -eps, -1))
-    rows = across(rows, ["cell_id"], known={"_back": "_s"}, upcoming={"_ahead": "_s"})
+    rows = across(rows, ["cell_id"], known={"_back": "_s"}, upcoming={"_ahead": "_s"}, spent=True)
     dt = F.greatest(F.coalesce(F.col("t") - F.col("_before.v"), F.lit(0.0)), F.lit(0.0))
     rows = rows.withColumns({"dir": F.coalesce("_back", "_ahead", F.lit(0)), "_dt": dt})
-    rows = across(rows, ["cell_id"], previous={"_last": "dir"})
+    rows = across(rows, ["cell_id"], previous={"_last": "dir"}, spent=True)
     rows = rows.withColumn("_new", F.coalesce((F.col("dir") != F.col("_last.v")).cast("int"), F.lit(0)))
-    return across(rows, ["cell_id"], totals={"run": "_new"}).drop("_p", "_s", "_new", "_before", "_back", "_ahead", "_last")
+    return across(rows, ["cell_id"], totals={"run": "_new"}, spent=True).drop("_p", "_s", "_new", "_before", "_back", "_ahead", "_last")
 
 
 def paired_runs(majors: DataFrame) -> DataFrame:
@@ -183,11 +183,11 @@ def paired_runs(majors: DataFrame) -> DataFrame:
     the one before, every second one closes a pair: the state is the parity of the place in the stretch.
     """
     rows = in_ranges(majors.select("cell_id", "run", "dir", F.struct("run", "dir").alias("_own"), F.lit(1).alias("_one")), ["cell_id", "run"])
-    rows = across(rows, ["cell_id"], previous={"_before": "_own"}, totals={"_place": "_one"})
+    rows = across(rows, ["cell_id"], previous={"_before": "_own"}, totals={"_place": "_one"}, spent=True)
     turns = F.coalesce(F.col("dir") == -F.col("_before.v.dir"), F.lit(False))
-    rows = across(rows.withColumn("_begin", F.when(~turns, F.col("_place"))), ["cell_id"], known={"_from": "_begin"})
+    rows = across(rows.withColumn("_begin", F.when(~turns, F.col("_place"))), ["cell_id"], known={"_from": "_begin"}, spent=True)
     closes = (F.col("_place") - F.col("_from")) % 2 == 1
-    rows = across(rows.withColumn("_closes", closes.cast("int")), ["cell_id"], totals={"_n": "_closes"})
+    rows = across(rows.withColumn("_closes", closes.cast("int")), ["cell_id"], totals={"_n": "_closes"}, spent=True)
     return rows.where("_closes = 1").select("cell_id", F.col("_before.v.run").alias("low"), F.col("run").alias("high"), (F.col("_n") - 1).cast("int").alias("id"))
 
 
@@ -198,7 +198,7 @@ def nearest_interval(runs: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     starts = pairs.select("cell_id", F.col("low").alias("run"), F.struct("low", "high", "id").alias("_start"))
     rows = in_ranges(runs.select("cell_id", "run").join(starts, ["cell_id", "run"], "left"), ["cell_id", "run"])
-    rows = across(rows, ["cell_id"], known={"_last": "_start"}, upcoming={"_next": "_start"})
+    rows = across(rows, ["cell_id"], known={"_last": "_start"}, upcoming={"_next": "_start"}, spent=True)
     run, last, following = F.col("run"), F.col("_last"), F.col("_next")
     nearer = F.when(last.isNull(), following["id"]).when(following.isNull() | (run - last["high"] <= following["low"] - run), last["id"]).otherwise(following["id"])
     return rows.select("cell_id", "run", F.coalesce(nearer, F.lit(0)).alias("full_cycle"))
@@ -212,7 +212,7 @@ def split_full_cycles(readings: DataFrame) -> DataFrame:
     )
     runs = in_ranges(runs, ["cell_id", "run"])
     typical = group_quantiles(runs.where("q > 0"), ["cell_id"], F.col("q"), {"_m": 0.5})
-    runs = across(runs, ["cell_id"], constants=typical)
+    runs = across(runs, ["cell_id"], constants=typical, spent=True)
     least = F.greatest(F.lit(1e-4), 0.01 * F.coalesce("_m", F.lit(0.0)))
     majors = runs.where(~((F.col("points") < 5) | (F.col("seconds") < 60) | (F.col("q") < least)))
     marks = nearest_interval(runs, paired_runs(majors))
@@ -223,13 +223,13 @@ def split_full_cycles(readings: DataFrame) -> DataFrame:
 
 def rpt_throughput(segmented: DataFrame) -> DataFrame:
     """First row of each RPT run: order, rpt and throughput before it."""
-    rows = across(in_ranges(segmented.withColumn("_own", F.struct("t", "segment")), READING), ["cell_id"], previous={"_before": "_own"})
+    rows = across(in_ranges(segmented.withColumn("_own", F.struct("t", "segment")), READING), ["cell_id"], previous={"_before": "_own"}, spent=True)
     flow = F.greatest(-F.col("i"), F.lit(0.0)) * F.greatest(F.coalesce(F.col("t") - F.col("_before.v.t"), F.lit(0.0)), F.lit(0.0)) / 3600
     first = F.coalesce(F.col("segment") != F.col("_before.v.segment"), F.col("segment").isNotNull())
-    rows = across(rows.withColumns({"_flow": flow, "_first": first}), ["cell_id"], totals={"_sum": "_flow"})
+    rows = across(rows.withColumns({"_flow": flow, "_first": first}), ["cell_id"], totals={"_sum": "_flow"}, spent=True)
     starts = rows.where("_first and kind = 'RPT'").withColumn("throughput", F.coalesce(F.col("_sum"), F.lit(0.0)) - F.coalesce(F.col("_flow"), F.lit(0.0)))
     starts = starts.select("cell_id", "rpt", "throughput", "cycle_number", "idx", F.lit(1).alias("rpt_order"))
-    starts = across(in_ranges(starts, READING), ["cell_id"], totals={"_order": "rpt_order"})
+    starts = across(in_ranges(starts, READING), ["cell_id"], totals={"_order": "rpt_order"}, spent=True)
     return starts.select("cell_id", F.col("_order").cast("int").alias("rpt_order"), "rpt", "throughput", "cycle_number", "idx")
 
 

@@ -155,7 +155,7 @@ def monotone_time_axis(readings: DataFrame) -> DataFrame:
 def time_descents(readings: DataFrame) -> DataFrame:
     """Rows after which the time of the cell, to six places, goes down; next_t is that time."""
     rows = in_ranges(readings.withColumn("_t", F.round("t", 6)), ["cell_id", "cycle_number", "idx"])
-    rows = across(rows, ["cell_id"], following={"_next": "_t"})
+    rows = across(rows, ["cell_id"], following={"_next": "_t"}, spent=True)
     return rows.where(F.col("_next.v") < F.col("_t")).withColumn("next_t", F.col("_next.v")).drop("_t", "_next", "_at", "_range")
 
 

@@ -98,7 +98,7 @@ def chunked(rows: DataFrame, order: list[str], point: list[str], size: int = 10_
     ``order`` begins with cell_id. Places run along the whole cell, so the rows of a cell of any length are bounded, and
     an array's place and ``first`` give a point's place back. Rows come from sorted ranges; no task holds a cell.
     """
-    placed = across(in_ranges(rows.withColumn("_one", F.lit(1)), order), ["cell_id"], totals={"_place": "_one"})
+    placed = across(in_ranges(rows.withColumn("_one", F.lit(1)), order), ["cell_id"], totals={"_place": "_one"}, spent=True)
     points = F.array_sort(F.collect_list(F.struct((F.col("_place") - 1).alias("place"), *point)))
     chunks = placed.groupBy("cell_id", F.floor((F.col("_place") - 1) / size).cast("int").alias("chunk")).agg(points.alias("points"))
     slim = F.transform("points", lambda x: F.struct(*[x[c].alias(c) for c in point]))

@@ -20,3 +20,11 @@ def scratch(spark: SparkSession, name: str) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="spark-cyclespark-")
         spark.conf.set("cyclespark.scratch.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``scratch`` named; any other path is left."""
+    if path.rsplit("/", 1)[0] != scratch(spark, "x").rsplit("/", 1)[0]:
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
