@@ -48,9 +48,9 @@ def _shift(length: int) -> np.ndarray:
 
 
 def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(each code's place among the distinct ones, the distinct ones)."""
+    """(each code's place among the distinct ones, the distinct ones); places are 64 bits wide, as they are multiplied by numbers of words."""
     encoded = pa.array(codes).dictionary_encode()
-    return encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary.to_numpy(zero_copy_only=False)
+    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary.to_numpy(zero_copy_only=False)
 
 
 def ngrams(texts: pa.Array, buckets: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:

@@ -264,3 +264,13 @@ def test_check_sums_are_joined():
     for n, (of, bucket) in enumerate(grams):
         assert [bucket[of == k].tolist() for k in range(len(texts_))] == [w[n] for w in want]
     assert n_words.tolist() == [len(w[0]) for w in want]
+
+
+def test_many_distinct_words():
+    """A batch in which distinct pairs times distinct words pass 2^31."""
+    rng = random.Random(6)
+    texts_ = [" ".join(f"w{rng.randrange(40_000)}" for _ in range(1000)) for _ in range(100)]
+    _, grams = resampling.ngrams(pa.array(texts_), 1 << 31)
+    for n, (of, bucket) in enumerate(grams):
+        for k in (0, 50, 99):
+            assert bucket[of == k].tolist() == [zlib.crc32(f.encode()) % (1 << 31) for f in features(texts_[k]) if f.count(" ") == n]
