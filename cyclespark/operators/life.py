@@ -1,4 +1,7 @@
-"""Cycle aggregates, state of health and life labels (survey group F)."""
+"""Cycle aggregates, state of health and life labels (survey group F).
+
+A label that no integer can hold, as of a line that is flat up to rounding, is null.
+"""
 
 from __future__ import annotations
 
@@ -40,12 +43,12 @@ def life_label(health: DataFrame, end: float = 0.8, near: float = 0.825, k: int
     placed = health.withColumn("position", F.row_number().over(in_cell()))
     cells = placed.groupBy("cell_id").agg(F.max_by("soh", "cycle_number").alias("last_soh"), F.min(F.when(F.col("soh") <= end, F.col("position"))).alias("first"))
     out = cells.join(_tail_fit(health, k, end), "cell_id", "left")
-    eol = F.when(F.col("last_soh") >= near, None).when(F.col("last_soh") > end, F.col("line").cast("int")).otherwise(F.col("first"))
-    return out.select("cell_id", "last_soh", eol.cast("int").alias("eol"))
+    eol = F.when(F.col("last_soh") >= near, None).when(F.col("last_soh") > end, F.col("line").try_cast("int")).otherwise(F.col("first"))
+    return out.select("cell_id", "last_soh", eol.try_cast("int").alias("eol"))
 
 
 def extrapolate_life(health: DataFrame, k: int = 20, at: float = 0.8) -> DataFrame:
-    return _tail_fit(health, k, at).select("cell_id", F.col("line").cast("int").alias("eol"))
+    return _tail_fit(health, k, at).select("cell_id", F.col("line").try_cast("int").alias("eol"))
 
 
 def life_label_first_cycle_nominal(caps: DataFrame, rules: DataFrame, end: float = 0.9, near: float = 0.925, k: int = 20) -> DataFrame:
@@ -65,8 +68,8 @@ def life_label_first_cycle_nominal(caps: DataFrame, rules: DataFrame, end: float
         bend = F.min(F.when(F.col("early") & (F.col("soh") <= near), F.col("position"))).over(whole_cell())
         tail = h.withColumn("_bend", bend).where(F.col("_bend").isNull() | (F.col("position") <= F.col("_bend"))).drop("_bend")
     out = cells.join(_tail_fit(tail, k, end), "cell_id", "left")
-    eol = F.when(F.col("low") <= end, F.col("first")).when(F.col("low") < near, F.col("line").cast("int"))
-    return out.select("cell_id", "low", eol.cast("int").alias("eol"))
+    eol = F.when(F.col("low") <= end, F.col("first")).when(F.col("low") < near, F.col("line").try_cast("int"))
+    return out.select("cell_id", "low", eol.try_cast("int").alias("eol"))
 
 
 def _crossings(health: DataFrame, tau: float) -> DataFrame:
@@ -85,7 +88,7 @@ def life_last_crossing(health: DataFrame, tau: float = 0.8, near: float = 0.825,
     out = cells.join(_tail_fit(health, k, tau), "cell_id", "left")
     tail = F.when((F.col("y_last") > tau) & (F.col("y_last") < near), F.col("line"))
     eol = F.coalesce("cross", F.when(F.col("y_first") <= tau, F.col("x_first").cast("double")), tail)
-    return out.select("cell_id", F.ceil(eol).cast("int").alias("eol"))
+    return out.select("cell_id", F.ceil(eol).try_cast("int").alias("eol"))
 
 
 def life_first_crossing(health: DataFrame, tau: float = 0.8) -> DataFrame:
@@ -100,7 +103,7 @@ def life_first_crossing(health: DataFrame, tau: float = 0.8) -> DataFrame:
     line = p["x0"] + (tau - p["y0"]) * (p["x1"] - p["x0"]) / F.nullif(p["y1"] - p["y0"], F.lit(0.0))
     ahead = F.when(line >= p["x1"], line)
     eol = F.when(F.col("y_first") <= tau, F.col("x_first").cast("double")).otherwise(F.coalesce("cross", ahead))
-    return cells.select("cell_id", F.ceil(eol).cast("int").alias("eol"))
+    return cells.select("cell_id", F.ceil(eol).try_cast("int").alias("eol"))
 
 
 def efc_curve(throughput: DataFrame, capacity: DataFrame) -> DataFrame:
