@@ -1,8 +1,8 @@
-"""Exact quantiles of groups of any size by distributed selection.
+"""Exact quantiles of groups of any size: small groups are sorted, large ones go by distributed selection.
 
-A double is read as a whole number of the same order. The numbers of a group are counted by their
+For a large group a double is read as a whole number of the same order. The numbers of a group are counted by their
 highest bits, the prefix that holds a wanted rank is kept, and the next bits are counted inside it, until
-every kept prefix stands for one value. Tasks hold counters, never the values of a group.
+every kept prefix stands for one value. Tasks hold counters, never the values of a large group.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from cyclespark.sources.shared import scratch
 
 #: Bits a round: a group has at most 2^BITS counters in a task.
 BITS = 16
-#: Once no kept prefix stands for more values than this, they are sorted.
+#: Groups of at most so many values are sorted; so are those of kept prefixes once none stands for more.
 FEW = 20_000
 
 
@@ -33,14 +33,23 @@ def ordered_bits(x: Column) -> Column:
 def group_quantiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, float]) -> DataFrame:
     """A row a group of ``df`` with a column for each of ``wanted``, interpolated between neighbours as ``percentile`` does.
 
-    Null values don't count; a group without others gets nulls; null keys form a group. ``df`` is read once a round: twice
-    where a prefix of 16 bits leaves at most ``FEW`` values or one value, four times at most. What goes from round to round
-    has a row or two a group and quantile.
+    Null values don't count; a group without others gets nulls; null keys form a group. ``df`` is read to count the groups and
+    to sort those of at most ``FEW`` values. If there are larger ones it is read once more for each of their rounds, of which there are
+    two to four, so callers write a ``df`` that is dear to compute. What goes from round to round has a row or two a group and quantile.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, "quantiles")
     names = [f"_k{j}" for j in range(len(keys))]
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], value.cast("double").alias("_v"))
-    rows = rows.withColumn("_b", ordered_bits(F.col("_v")))
+    large = rows.groupBy(*names).agg(F.count("_v").alias("_m")).where(F.col("_m") > FEW).select(*[F.col(n).alias(f"{n}_") for n in names])
+    large.write.parquet(f"{path}/large")  # a row for each FEW rows of the table at most
+    large = spark.read.schema(large.schema).parquet(f"{path}/large")
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
+    if large.isEmpty():
+        return _sorted_quantiles(rows, names, wanted, keys)
+    small = _sorted_quantiles(rows.join(F.broadcast(large), same, "left_anti"), names, wanted, keys)
+    rows = rows.join(F.broadcast(large), same, "left_semi").withColumn("_b", ordered_bits(F.col("_v")))
 
     def inside(kept: DataFrame, bits: Column, columns: list[str]) -> tuple[DataFrame, Column]:
         """``kept`` with its keys renamed, and the condition that a row of the same keys has its prefix."""
@@ -93,4 +102,15 @@ def group_quantiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[
         high = F.max(F.when(F.col("name") == name, F.struct("_r", "_low")))["_low"]
         values[name] = F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
     out = done.groupBy(*names).agg(*[v.alias(name) for name, v in values.items()])
-    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], *wanted)
+    return small.unionByName(out.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], *wanted))
+
+
+def _sorted_quantiles(rows: DataFrame, names: list[str], wanted: dict[str, float], keys: list[str]) -> DataFrame:
+    """The quantiles of groups that are small enough to sort."""
+    lists = rows.groupBy(*names).agg(F.sort_array(F.collect_list("_v")).alias("_l"))
+    values = {}
+    for name, q in wanted.items():
+        at = q * (F.size("_l") - 1)
+        low, high = F.get("_l", F.floor(at).cast("int")), F.get("_l", F.ceil(at).cast("int"))
+        values[name] = F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+    return lists.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], *[v.alias(name) for name, v in values.items()])

@@ -10,6 +10,7 @@ from cyclespark.functions.quantiles import group_quantiles
 from cyclespark.functions.scans import across, in_ranges
 from cyclespark.functions.sliding import sliding_medians
 from cyclespark.functions.windows import CYCLE, in_cell, in_cycle, upwards, whole_cell, whole_cycle
+from cyclespark.sources.shared import scratch
 
 
 # --- B: projection, filters, renumbering ---------------------------------------------
@@ -178,7 +179,13 @@ def attach_cycle_summary(cycles: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def _by_cell(cycles: DataFrame, columns: dict[str, Column], at: float = 0.5) -> DataFrame:
-    """``cycles`` with a quantile over the cell for each of ``columns``, all of them selected in the same rounds."""
+    """``cycles`` with a quantile over the cell for each of ``columns``, all of them selected in the same rounds.
+
+    ``cycles`` is written first, as it is read several times.
+    """
+    path = scratch(cycles.sparkSession, "by-cell")
+    cycles.write.parquet(path)
+    cycles = cycles.sparkSession.read.schema(cycles.schema).parquet(path)
     values = F.explode(F.array(*[F.struct(F.lit(n).alias("_of"), c.cast("double").alias("_x")) for n, c in columns.items()])).alias("_v")
     long = cycles.select("cell_id", values).select("cell_id", "_v.*")
     found = group_quantiles(long, ["cell_id", "_of"], F.col("_x"), {"_q": at})

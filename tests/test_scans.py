@@ -11,11 +11,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cyclespark.functions import quantiles, sliding
+from cyclespark.functions import quantiles, scans, sliding
 from cyclespark.functions.quantiles import group_quantiles, ordered_bits
 from cyclespark.functions.scans import across, in_ranges, ranged_fold
 from cyclespark.functions.sliding import sliding_medians
-from cyclespark.operators import checks, cohort, curves, segment, timeaxis
+from cyclespark.operators import checks, clean, cohort, curves, segment, timeaxis
 from cyclespark.sources import readers
 from cyclespark.streaming import ingest
 
@@ -420,3 +420,28 @@ def test_sliding_medians(spark, monkeypatch, length, pad):
             assert got[c, start] == (pytest.approx(float(np.median(seen))) if seen else None), (c, start)
         assert sum(c == d for d, _ in got) == n + length - 1
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_small_groups_read_their_source_once(spark):
+    """E3 writes the distances instead of computing them for each round; the median of small groups takes no rounds."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = [(c, k, float((k * 7 + c) % 13)) for c in range(3) for k in range(1, 41)]
+    source = spark.createDataFrame(rows, "cell_id long, cycle_number int, qd_max double").mapInPandas(count, "cell_id long, cycle_number int, qd_max double")
+    assert clean.hampel_shift_outliers(source, 3).count() == len(rows)
+    assert seen.value == len(rows)
+
+
+def test_direction_runs_write_few_tables(spark, monkeypatch):
+    """D11: ranges, and two passes over them."""
+    written = []
+    stored = scans._stored
+    monkeypatch.setattr(scans, "_stored", lambda df, name: written.append(name) or stored(df, name))
+    rows = [("c", 1, k, float(k), float((-1) ** (k // 4)) * (k % 3)) for k in range(40)]
+    out = segment.direction_runs(spark.createDataFrame(rows, "cell_id string, cycle_number int, idx int, t double, i double"))
+    assert out.count() == 40 and written == ["ranges", "across", "across"]
