@@ -40,16 +40,16 @@ def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
 
 def across(
     rows: DataFrame, group: list[str], *, previous: dict[str, str] | None = None, following: dict[str, str] | None = None,
-    totals: dict[str, str] | None = None, known: dict[str, str] | None = None, upcoming: dict[str, str] | None = None, constants: DataFrame | None = None, spent: bool = False,
+    totals: dict[str, str] | None = None, known: dict[str, str] | None = None, prior: dict[str, str] | None = None, upcoming: dict[str, str] | None = None, constants: DataFrame | None = None, spent: bool = False,
 ) -> DataFrame:
     """``rows`` of ``in_ranges`` with further columns, each named new: old, as if by windows over whole groups.
 
     previous, following: structs with the value of the row before and after, null at the group's ends; totals: sum
-    up to the row; known, upcoming: the last non-null value up to the row, the next one from it on; constants: a
+    up to the row; known, prior, upcoming: the last non-null value up to the row, before it, the next one from it on; constants: a
     table with one row a group, whose other columns are added. The result is written, so that calls can follow each other;
     ``spent`` says that ``rows`` isn't used after this one, so that their table goes.
     """
-    previous, following, totals, known, upcoming = (x or {} for x in (previous, following, totals, known, upcoming))
+    previous, following, totals, known, prior, upcoming = (x or {} for x in (previous, following, totals, known, prior, upcoming))
     keys = [*group, "_range"]
     up, down = Window.partitionBy(*keys).orderBy("_at"), Window.partitionBy(*keys).orderBy(F.desc("_at"))
     ranges, back = Window.partitionBy(*group).orderBy("_range"), Window.partitionBy(*group).orderBy(F.desc("_range"))
@@ -59,7 +59,7 @@ def across(
         [F.max_by(F.struct(F.col(old).alias("v")), "_at").alias(f"_c_{new}") for new, old in previous.items()]
         + [F.min_by(F.struct(F.col(old).alias("v")), "_at").alias(f"_c_{new}") for new, old in following.items()]
         + [F.sum(old).alias(f"_c_{new}") for new, old in totals.items()]
-        + [F.max_by(old, there(old)).alias(f"_c_{new}") for new, old in known.items()]
+        + [F.max_by(old, there(old)).alias(f"_c_{new}") for new, old in (known | prior).items()]
         + [F.min_by(old, there(old)).alias(f"_c_{new}") for new, old in upcoming.items()]
     )
     summary = rows.groupBy(*keys).agg(*(ends or [F.count(F.lit(1)).alias("_c_")]))
@@ -67,7 +67,7 @@ def across(
         {f"_c_{new}": F.lag(f"_c_{new}").over(ranges) for new in previous}
         | {f"_c_{new}": F.lead(f"_c_{new}").over(ranges) for new in following}
         | {f"_c_{new}": F.sum(f"_c_{new}").over(earlier) for new in totals}
-        | {f"_c_{new}": F.last(f"_c_{new}", ignorenulls=True).over(earlier) for new in known}
+        | {f"_c_{new}": F.last(f"_c_{new}", ignorenulls=True).over(earlier) for new in known | prior}
         | {f"_c_{new}": F.last(f"_c_{new}", ignorenulls=True).over(later) for new in upcoming}
     )
     summary = summary.withColumns(carried)
@@ -80,6 +80,7 @@ def across(
         | {new: F.coalesce(F.lead(own(old)).over(up), f"_c_{new}") for new, old in following.items()}
         | {new: F.coalesce(F.sum(old).over(running) + F.coalesce(f"_c_{new}", F.lit(0)), f"_c_{new}") for new, old in totals.items()}
         | {new: F.coalesce(F.last(old, ignorenulls=True).over(running), f"_c_{new}") for new, old in known.items()}
+        | {new: F.coalesce(F.last(old, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)), f"_c_{new}") for new, old in prior.items()}
         | {new: F.coalesce(F.last(old, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)), f"_c_{new}") for new, old in upcoming.items()}
     )
     out = rows.join(summary, keys).withColumns(new_columns)

@@ -165,15 +165,17 @@ def direction_runs(readings: DataFrame) -> DataFrame:
     """
     rows = in_ranges(readings, READING)
     scale = group_quantiles(rows, ["cell_id"], F.abs("i"), {"_p": 0.9})
-    rows = across(rows, ["cell_id"], previous={"_before": "t"}, constants=scale, spent=True)
     eps = F.greatest(F.lit(1e-8), 0.02 * F.col("_p"))
-    rows = rows.withColumn("_s", F.when(F.col("i") > eps, 1).when(F.col("i") < -eps, -1))
-    rows = across(rows, ["cell_id"], known={"_back": "_s"}, upcoming={"_ahead": "_s"}, spent=True)
+    local = rows.select("cell_id", "_range").distinct().join(scale, "cell_id")  # a cell may span many ranges
+    rows = rows.join(local, ["cell_id", "_range"]).withColumn("_s", F.when(F.col("i") > eps, 1).when(F.col("i") < -eps, -1))
+    rows = across(rows, ["cell_id"], previous={"_before": "t"}, prior={"_back": "_s"}, spent=True)
+    # rest rows have the direction before, so a run begins where a direction differs from the one known before
+    first = rows.groupBy("cell_id").agg(F.min_by("_s", F.when(F.col("_s").isNotNull(), F.col("_at"))).alias("_ahead"))
     dt = F.greatest(F.coalesce(F.col("t") - F.col("_before.v"), F.lit(0.0)), F.lit(0.0))
-    rows = rows.withColumns({"dir": F.coalesce("_back", "_ahead", F.lit(0)), "_dt": dt})
-    rows = across(rows, ["cell_id"], previous={"_last": "dir"}, spent=True)
-    rows = rows.withColumn("_new", F.coalesce((F.col("dir") != F.col("_last.v")).cast("int"), F.lit(0)))
-    return across(rows, ["cell_id"], totals={"run": "_new"}, spent=True).drop("_p", "_s", "_new", "_before", "_back", "_ahead", "_last")
+    rows = rows.withColumns({"_dt": dt, "_new": F.coalesce((F.col("_s") != F.col("_back")).cast("int"), F.lit(0))})
+    rows = across(rows, ["cell_id"], totals={"run": "_new"}, constants=first, spent=True)
+    rows = rows.withColumn("dir", F.coalesce("_s", "_back", "_ahead", F.lit(0)))
+    return rows.select(*readings.columns, "dir", "run", "_dt", "_at", "_range")
 
 
 def paired_runs(majors: DataFrame) -> DataFrame:
