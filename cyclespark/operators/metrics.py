@@ -141,12 +141,18 @@ def grouped_forecast_score(series: DataFrame, freq: dict[str, int]) -> DataFrame
     return out.select("grp", *[F.round(c, 3).alias(c) for c in ("smape", "mape", "mase")], F.round(owa, 3).alias("owa"))
 
 
-def mmd_rbf(pairs: DataFrame, vector: str, block_rows: int = 2048, multiplier: float = 2.0, kernels: int = 5) -> DataFrame:
+def _blocks(n: int, most: int, tasks: int) -> int:
+    """Blocks of at most about ``most`` of ``n`` rows; more, down to 2,048 rows, as long as there are fewer pairs of them than tasks."""
+    return max(math.ceil(n / most), min(math.ceil(n / 2048), math.ceil(math.sqrt(2 * tasks))))
+
+
+def mmd_rbf(pairs: DataFrame, vector: str, block_rows: int = 16_384, multiplier: float = 2.0, kernels: int = 5) -> DataFrame:
     """Two-sample statistic of all rows of side 0 and 1 (id, side, vector); rows without a vector don't count.
 
     The bandwidth is the mean squared distance, from sums by place in the vector. Then each block
-    of about ``block_rows`` rows meets each other one once, so a task's size is bounded and the
-    number of block pairs grows with the square of the table. Sides of unlike number are weighed
+    of about ``block_rows`` rows at most meets each other one once, so a task's size is bounded and the
+    number of block pairs, and so what is shuffled, grows with the square of the table over that of a block. Blocks are
+    smaller, from 2,048 rows on, where there would be fewer pairs than shuffle partitions. Sides of unlike number are weighed
     by their own numbers. An empty side gives null, rows that are all equal give NaN.
     """
     rows = pairs.where(F.col(vector).isNotNull()).select("id", "side", F.col(vector).cast("array<double>").alias("x"))
@@ -156,7 +162,7 @@ def mmd_rbf(pairs: DataFrame, vector: str, block_rows: int = 2048, multiplier: f
         return pairs.sparkSession.range(1).select(F.lit(None).cast("double").alias("mmd"))
     places = rows.select(F.posexplode("x").alias("p", "v")).groupBy("p").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
     width = places.agg(F.sum(2 * (n * F.col("q") - F.col("s") * F.col("s")))).first()[0] / (float(n) * n - n)
-    blocks = math.ceil(n / block_rows)
+    blocks = _blocks(n, block_rows, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def packed(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("side", kind="stable")
@@ -173,15 +179,15 @@ def mmd_rbf(pairs: DataFrame, vector: str, block_rows: int = 2048, multiplier: f
         (x, a), (y, c) = signed(two.iloc[0]), signed(two.iloc[-1])
         total, y2 = 0.0, (y * y).sum(1)
         with np.errstate(invalid="ignore", divide="ignore", under="ignore"):
-            for at in range(0, len(x), 256):
-                part = x[at : at + 256]
+            for at in range(0, len(x), 128):
+                part = x[at : at + 128]
                 d = np.maximum((part * part).sum(1)[:, None] + y2 - 2 * part @ y.T, 0)
                 kernel = np.exp(d / (-width * multiplier ** (kernels - 1 - kernels // 2)))  # the widest
                 summed = kernel.copy()
                 for _ in range(kernels - 1):
                     kernel = kernel**multiplier
                     summed += kernel
-                total += float(a[at : at + 256] @ summed @ c)
+                total += float(a[at : at + 128] @ summed @ c)
         return pd.DataFrame({"part": [total * (1 if key[0] == key[1] else 2)]})
 
     own = F.pmod(F.xxhash64("id", "side"), F.lit(blocks)).cast("int")

@@ -324,3 +324,11 @@ def test_reset_report_of_one_reading(spark):
     both = frame(spark, [5]).union(frame(spark, [5, 6], cell="d"))
     got = {r["cell_id"]: (r["resets"], r["gaps"], r["reset_at"], r["gap_list"]) for r in timeaxis.reset_report(both).collect()}
     assert got == {"c": (None, None, [], []), "d": (0, 0, [], [])}
+
+
+def test_mmd_blocks():
+    """Each block is shuffled once for each other one: few blocks for large tables, enough pairs for all tasks of small ones."""
+    assert metrics._blocks(300_000, 16_384, 200) == 20  # 147 blocks of 2,048 rows before
+    assert metrics._blocks(3_000_000, 16_384, 200) == 184
+    assert metrics._blocks(10_000, 16_384, 8) == 4 and metrics._blocks(2_000, 16_384, 8) == 1
+    assert metrics._blocks(100, 16, 8) == 7
