@@ -207,6 +207,19 @@ def salted_left_join(big: DataFrame, small: DataFrame, keys: list[str], on_row:
     return left.join(right, on, "left").drop("_salt", "_salt_r", *[f"_k_{k}" for k in keys])
 
 
+def may_hold(ids: DataFrame, key: str, slots: int = 1 << 22) -> Callable[[Column], Column]:
+    """A test for values of the type of ``key``: false only for those that no row of ``ids`` has there.
+
+    It reads a map of ``slots`` bits, so its size is fixed; the more ids, the more others share a bit with one.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots)).cast("int")
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(s, F.lit(64)))
+    bits = ids.select(slot(key).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(bit(F.col("s"))).alias("bits"))
+    words = ids.sparkSession.range(slots // 64).withColumnRenamed("id", "w").join(bits, "w", "left").select("w", F.coalesce("bits", F.lit(0)).alias("bits"))
+    bitmap = words.agg(F.sort_array(F.collect_list(F.struct("w", "bits")))["bits"].alias("b")).scalar()
+    return lambda c: bit(slot(c)).bitwiseAND(F.get(bitmap, F.shiftright(slot(c), 6))) != 0
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, with as many underscores in front as make it differ from ``columns``."""
     taken = {c.lower() for c in columns}

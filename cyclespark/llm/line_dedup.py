@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, let, partitions
+from .common import Tables, let, may_hold, partitions
 
 
 def _blanks(line: Column) -> Column:
@@ -186,12 +186,7 @@ def dedup_lines(
     gone = copied_lines(t, lines, min_lines, min_words).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("_gone"))
     gone = t.write(gone.withColumnRenamed("row", "_row"), "gone")
     # texts that lose nothing aren't shuffled, but for those that share their bit with one that does
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots)).cast("int")
-    bits = gone.select(slot("_row").alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, s % 64)")).alias("bits"))
-    words = docs.sparkSession.range(slots // 64).withColumnRenamed("id", "w").join(bits, "w", "left").select("w", F.coalesce("bits", F.lit(0)).alias("bits"))
-    bitmap = words.agg(F.sort_array(F.collect_list(F.struct("w", "bits")))["bits"].alias("b")).scalar()
-    hit = F.expr("shiftleft(1L, _s % 64)").bitwiseAND(F.get(bitmap, F.shiftright("_s", 6))) != 0
-    marked = numbered.withColumn("_s", slot("row")).withColumn("_hit", hit)
+    marked = numbered.withColumn("_hit", may_hold(gone, "_row", slots)(F.col("row")))
     some = marked.where("_hit").join(gone, F.col("row") == F.col("_row"), "left")
     joined = some.unionByName(marked.where("not _hit").withColumns({"_row": F.lit(None).cast("long"), "_gone": F.lit(None).cast("array<int>")}))
     parts = F.split("_text", "\n")

@@ -329,13 +329,16 @@ def near_duplicates(
     classes = members.groupBy("s1", "s2").agg(F.min("id").alias("id"))
     reps = t.write(members.join(classes, ["s1", "s2", "id"], "left_semi").dropDuplicates(["id", "s1", "s2"]), "classes")
     keys = keys_of(reps, index_plan(symbols, errors, chunks))
+    # most buckets hold one id, which is linked with nothing there; only the others' rows go on
+    shared = keys.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most").select("bucket")
     # one band of sizes holds what can be similar, but for its two neighbours
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("int")
-    ends = keys.groupBy("bucket", band.alias("band")).agg(F.min(F.struct("n", "id")).alias("low"), F.max(F.struct("n", "id")).alias("high"))
-    over = Window.partitionBy("bucket")
-    ends = ends.withColumns({"least": F.min("low").over(over), "most": F.max("high").over(over), "next": F.lead("low").over(over.orderBy("band"))})
-    ends = t.write(ends.where("least.id != most.id").select("bucket", "band", F.col("low.id").alias("low"), F.col("high.id").alias("high"), F.col("next.id").alias("next")), "ends")
-    buckets = t.write(keys.withColumn("band", band).join(ends, ["bucket", "band"]), "buckets")
+    keys = t.write(keys.withColumn("band", band).join(shared, "bucket", "left_semi"), "keys")
+    ends = keys.groupBy("bucket", "band").agg(F.min(F.struct("n", "id")).alias("low"), F.max(F.struct("n", "id")).alias("high"))
+    ends = ends.withColumn("next", F.lead("low").over(Window.partitionBy("bucket").orderBy("band")))
+    ends = t.write(ends.select("bucket", "band", F.col("low.id").alias("low"), F.col("high.id").alias("high"), F.col("next.id").alias("next")), "ends")
+    buckets = t.write(keys.join(ends, ["bucket", "band"]), "buckets")
+    t.drop("keys")
     pair = lambda x, y: buckets.where(f"{x} != {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     across = ends.where("next is not null and next != high").select(F.least("high", "next").alias("a"), F.greatest("high", "next").alias("b"))
     stars = pair("id", "low").union(pair("id", "high")).union(across).distinct()

@@ -378,6 +378,15 @@ def test_near_duplicates(spark, docs, empty):
     assert near.near_duplicates(empty).count() == 0
 
 
+def test_a_key_with_several_texts_hides_no_link(spark):
+    # the smallest and the largest set of a bucket are of one key, the set between them is of another
+    w = [f"w{k}" for k in range(3000)]
+    rows = [(5, w[1:]), (5, [*w, "w3000"]), (7, w), (9, [f"v{k}" for k in range(3000)])]
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in near.near_duplicates(table).collect()}
+    assert got == {(5, 5), (7, 5), (9, 9)}
+
+
 def test_near_pairs_stay_few(spark):
     """Near copies of one text and texts that share a passage are compared a few times each, not with one another."""
     rng = np.random.default_rng(14)

@@ -66,6 +66,35 @@ def test_stages_without_a_copy(spark, docs):
     assert out.count() > 0
 
 
+def shuffled(spark) -> int:
+    """Bytes that the session's tasks have written for shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
+    """Also where no table is small enough to be broadcast; keys may be narrower than the operator's."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"{rng.getrandbits(64):x}" for _ in range(10_000))
+    rows = [(k, text()) for k in range(40)]
+    copy, again = text(), text()
+    rows += [(100, copy), (101, copy), (102, again), (102, f"{again} more"), (None, copy)]
+    spark.createDataFrame(rows, "doc_id int, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    was, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+        out.write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    moved = shuffled(spark) - before
+    got = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got, key=str) == sorted([*rows[:40], (100, copy), (102, again), (None, copy)], key=str)
+    assert moved < sum(len(t) for _, t in rows[:40]) / 2
+
+
 def test_names_of_other_folders_are_left(spark, docs, tmp_path):
     kept = tmp_path / ("mine-" + "0" * 32)
     kept.mkdir()
